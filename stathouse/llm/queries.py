@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_rules, secret_scan, token_store, toxicity
+from . import language_id, mixing, packing, quality_rules, secret_scan, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_line_quality, op3_source_mix, op4_secret_scan, op5_packing, op7_language_id, op8_toxicity)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_line_quality, op3_source_mix, op4_secret_scan, op5_packing, op7_language_id, op8_toxicity, op10_substring_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i AS s, hash(array_to_string(ws[i:i+49], ' ')) AS h, md5(array_to_string(ws[i:i+49], ' ')) AS m
+  FROM w, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+owner AS (SELECT h, m, min(doc_id) AS o FROM win GROUP BY h, m HAVING min(doc_id) < max(doc_id)),
+late AS (SELECT win.doc_id, win.s FROM win JOIN owner USING (h, m) WHERE o < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, s + j AS p FROM late, unnest(range(0, 50)) AS t(j)),
+g AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed,
+    CASE WHEN g.n IS NULL THEN ws ELSE [x.w FOR x IN list_transform(ws, lambda x, i: {'w': x, 'gone': list_contains(g.ps, i)}) IF NOT x.gone] END AS ks
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept""",
+}

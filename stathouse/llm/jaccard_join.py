@@ -359,4 +359,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, k, percent)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")

@@ -137,30 +137,39 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return leaves.withColumn("_hi", F.sum("_got").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_got")).drop("_got")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_passes: int = 2, block_words: int = 1 << 16, shard_words: int = 1 << 24, seed: int = 17, whole: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and where the copies go: draws = array of (pass, shard, place, words)."""
-    text = F.col("text")
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 28)
-    sizes = materialize(docs.select("doc_id", "source", n_words_of(text).alias("size"), place.alias("_place")), "sizes")
+def _placed(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with size (words) and _place (36 bits: where the row stands in its source's permutation)."""
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 28)
+    return docs.withColumns({"size": n_words_of(F.col("text")), "_place": place})
+
+
+def _decide(docs: DataFrame, weights: tuple[int, ...], budget: float, max_passes: int, block_words: int, shard_words: int, seed: int, whole: bool) -> DataFrame:
+    """``docs`` with size, source_size, target, draws.
+
+    One pass over texts counts words; what is decided about sources, cells
+    and blocks are small tables, joined to the rows of ``docs`` as they are
+    read, so that texts are not shuffled.
+    """
+    sizes = materialize(_placed(docs, seed).select("doc_id", "source", "size", "_place"), "sizes")
     sources = source_targets(sizes, weights, budget, max_passes)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("_passes", passes.cast("long"))
     sources = materialize(sources.withColumn("_quota", (F.round("target") - F.col("_passes") * F.col("source_size")).cast("long")), "sources")
-    keyed = sizes.withColumnRenamed("source", "_source")
-    numbered = sources.select(F.col("source").alias("_name"), "_src")
     null_key = lambda c: F.struct(F.col(c).isNull(), F.coalesce(F.col(c), F.lit("")))  # noqa: E731  null is a source
-    keyed = join_small(keyed.withColumn("_k", null_key("_source")), numbered.select(null_key("_name").alias("_k"), "_src"), ["_k"], spread="_place").drop("_k")
+    numbered = materialize(sources.select(null_key("source").alias("_k"), "_src"), "numbers")
+    with_number = lambda d: join_small(d.withColumn("_k", null_key("source")), numbered, ["_k"], spread="_place").drop("_k")
+    keyed = with_number(sizes)
     ends = _quota_end(keyed.where(F.col("size") > 0), sources)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
     block_of = lambda p: F.floor(p.cast("double") * F.col("_blocks") / float(1 << 36)).cast("long")
-    ends = ends.withColumn("_blocks", blocks)
+    ends = ends.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
     ends = ends.withColumn("_draws", F.col("_passes") * F.col("_blocks") + F.when(F.col("_quota") > 0, block_of(F.col("_end")) + 1).otherwise(0))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, math.ceil(budget * total / shard_words), 8)
+    shards = max(8, math.ceil(budget * total / shard_words))
     ranges = splitting_tree(ends.select("_src", "_draws"), shards, seed)
     owner = ranges.where("_hi > _lo").select("_src", "shard", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_draw"))
     owner = materialize(owner, "owner")  # a row for each drawn block
-    df = join_small(keyed, ends.select("_src", "source_size", "target", "_passes", "_end", "_left", "_there", "_blocks"), ["_src"], spread="_place")
+    rows = keyed if set(docs.columns) <= {"doc_id", "source", "text"} else with_number(_placed(docs, seed))
+    df = join_small(rows, ends.select("_src", "source_size", "target", "_passes", "_end", "_left", "_there", "_blocks"), ["_src"], spread="_place")
     part = F.when(F.col("_there") > 0, (F.col("size") * F.col("_left")).cast("decimal(38,0)") / F.col("_there")).otherwise(0)
     rest = F.when(F.col("_place") < F.col("_end"), F.col("size")).when(F.col("_place") > F.col("_end"), 0)
     at_end = F.floor(part).cast("long") if not whole else F.when(2 * F.col("_left") >= F.col("_there"), F.col("size")).otherwise(0)
@@ -169,19 +178,22 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
         words = F.when(F.col("_passes") > n, F.col("size")).when(F.col("_passes") == n, F.col("_rest")).otherwise(0)
         df = df.withColumn(f"_words{n}", words).withColumn("_draw", F.when(F.col(f"_words{n}") > 0, F.lit(n) * F.col("_blocks") + F.col("_block")))
         df = join_small(df, owner.withColumnRenamed("shard", f"_shard{n}"), ["_src", "_draw"], "left", spread="_place").drop("_draw")
-    draws = F.filter(F.array(*(F.when(F.col(f"_shard{n}").isNotNull(), F.struct(F.lit(n).alias("pass"), F.col(f"_shard{n}").alias("shard"), F.xxhash64(F.lit(seed + n + 1), "_place").alias("place"), F.col(f"_words{n}").alias("words"))) for n in range(max_passes))), lambda x: x.isNotNull())
-    df = df.withColumn("draws", draws)
+    draw = lambda n: F.struct(F.lit(n).alias("pass"), F.col(f"_shard{n}").alias("shard"), F.xxhash64(F.lit(seed + n + 1), "_place").alias("place"), F.col(f"_words{n}").alias("words"))
+    return df.withColumn("draws", F.filter(F.array(*(F.when(F.col(f"_shard{n}").isNotNull(), draw(n)) for n in range(max_passes))), lambda x: x.isNotNull()))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_passes: int = 2, block_words: int = 1 << 16, shard_words: int = 1 << 22, seed: int = 17, whole: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and where the copies go: draws = array of (pass, shard, place, words)."""
+    df = _decide(docs.select("doc_id", "source", "text"), weights, budget, max_passes, block_words, shard_words, seed, whole)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return df.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each time a document is drawn (whole documents), shards in order and shuffled inside."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_passes: int = 2, block_words: int = 1 << 16, shard_words: int = 1 << 22, seed: int = 17) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time a document is drawn (whole documents), shards together and shuffled inside."""
     columns = docs.columns
-    plan = mix_plan(docs, whole=True, **options)
-    plan = plan.select(F.col("doc_id").alias("_id"), "size", "draws").where(F.size("draws") > 0).dropDuplicates(["_id", "size", "draws"])
-    keyed = docs.withColumns({"_size": n_words_of(F.col("text"))})
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
-    rows = joined.select(*columns, F.explode("draws").alias("_draw"))
+    own = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_row"))
+    df = _decide(own, weights, budget, max_passes, block_words, shard_words, seed, True)
+    rows = df.select("_row", F.explode("draws").alias("_draw"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "_draw.shard", "_draw.place").sortWithinPartitions("_draw.shard", "_draw.place").select(*columns)
+    return rows.repartition(parts, "_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place").select("_row.*")

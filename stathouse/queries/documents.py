@@ -48,7 +48,7 @@ def html_links(spark, sf):
     return html.parse_pages(table(spark, sf, "pages"), "page_id", "html")
 
 
-@registry.add("SELECT c_custkey, replace(c_name, ',', ';') AS c_name, NULLIF(c_nationkey, 0) AS c_nationkey, NULLIF(c_acctbal, 0) AS c_acctbal, c_mktsegment FROM customer")
+@registry.add("SELECT NULLIF(c_custkey, 0) AS c_custkey, replace(c_name, ',', ';') AS c_name, NULLIF(c_nationkey, 0) AS c_nationkey, NULLIF(c_acctbal, 0) AS c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip(spark, sf):
     """Exported with clean values, read by schema: 0 and empty are null, commas are semicolons."""
     rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")

@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: One pitch appearance's log: what is read of it.  Class tags of a document are ignored.
-PITCH = """pitch_app_id string, pitcher_id int, batter_id int, bbref_game_id string, park_sv_id string, ab_id int, ab_count int, ab_total int, id int,
-inning int, des string, type string, pdes string, mlbam_pitch_name string, stand string, p_throws string, strikes int, balls int, zone_location int,
-start_speed double, px double, pz double, spin_rate int, launch_speed double, launch_angle double, time_pitch_thrown_str string, has_zone_location boolean"""
-PITCH_LOG = T.StructType.fromDDL(f"pitcher_name string, pitcher_id_mlb int, pitch_app_id string, total_pitch_count int, pitch_count_by_inning map<string,int>, bbref_game_id string, pitchfx_log array<struct<{PITCH.replace(chr(10), ' ')}>>".replace(" string", ":string").replace(" int", ":int").replace(" double", ":double").replace(" boolean", ":boolean").replace(" map", ":map").replace(" array", ":array"))
-GAMES_FOR_DATE = T.StructType.fromDDL("dashboard_url string, game_count int, game_date_str string, games array<struct<bbref_game_id: string, url: string>>")
-
-
-def read_documents(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+_PITCH = (
+    "pitch_app_id: string, pitcher_id: int, batter_id: int, bbref_game_id: string, park_sv_id: string, ab_id: int, ab_count: int, ab_total: int, "
+    "id: int, inning: int, des: string, type: string, pdes: string, mlbam_pitch_name: string, stand: string, p_throws: string, strikes: int, "
+    "balls: int, zone_location: int, start_speed: double, px: double, pz: double, spin_rate: int, launch_speed: double, launch_angle: double, "
+    "time_pitch_thrown_str: string, has_zone_location: boolean"
+)
+PITCH_LOG = (
+    "pitcher_name string, pitcher_id_mlb int, pitch_app_id string, total_pitch_count int, pitch_count_by_inning map<string,int>, "
+    f"bbref_game_id string, pitchfx_log array<struct<{_PITCH}>>"
+)
+GAMES_FOR_DATE = "dashboard_url string, game_count int, game_date_str string, games array<struct<bbref_game_id: string, url: string>>"
+
+
+def read_documents(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """One row for each file; what doesn't parse is kept in ``_corrupt``."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    return spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(paths).withColumn("_path", F.input_file_name())
+    return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(paths).withColumn("_path", F.input_file_name())
 
 
-def read_first(spark: SparkSession, folders: list[str], name: str, schema: T.StructType) -> DataFrame | None:
+def read_first(spark: SparkSession, folders: list[str], name: str, schema: str) -> DataFrame | None:
     """The document from the first folder that has it; None if no folder does."""
     hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
     for folder in folders:

@@ -17,11 +17,13 @@ link when 100 * |A & B| >= ``percent`` * |A | B|.
    bands take neighbourhoods, large ones exact segments.  Sets that come out
    with too few (checked for each) are joined on their single shingles.
 3. Candidates.  Rows are sorted by signature; each class meets the first
-   class of its signature's group.  Verified links are contracted to
-   components; then groups that still span components test what is left:
-   small groups their pairs, large groups one new centre after another, and
-   only for classes whose signatures outside large groups don't suffice.
-   No group emits all its pairs unless it is small.
+   class of its signature's group, and verified links are contracted to
+   components.  A class that has more groups left that span components than
+   it can spare signatures may still lack a link.  Such classes (made mostly
+   of passages that many share) get the cheapest allocation that remains: a
+   segment for each of their rarest shingles; there, some classes of each
+   group meet all others, and links are contracted, until no group spans
+   components.  Groups never emit all their pairs at once.
 4. Verification intersects whole sets.  Links are contracted by alternating
    large-star and small-star steps on distributed tables.
 
@@ -40,16 +42,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, rolling, text_slices, word_hashes
+from .common import BROADCAST_ROWS, materialize, mix64, rolling, text_slices, word_hashes
 
 _LAST = (1 << 63) - 1
 #: Bands grow by this factor.
 GROWTH = 1.7
-#: A signature of more classes than this is hot.
-HOT = 16
+#: Classes of a group that are tested against all its others in a round.
+HOT = 128
 
 
 class Bands:
@@ -101,35 +104,47 @@ class Bands:
                 break
         return at if best < math.inf else (max(1, int(need.max())), max(1, int(need.max())))
 
-    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Signatures of a sorted set of hashes, and for each of its bands what its non-empty segments count beyond the need (negative: too few)."""
-        out, spare = [], []
+    def _segments(self, s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Where each non-empty segment of a sorted set starts, its number, its size, and how many numbers get neighbourhoods."""
+        m, doubled = self.plan(band)
+        segment = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # the set is sorted, so segments are runs
+        first = np.flatnonzero(np.diff(segment, prepend=-1))
+        return first, segment[first], np.diff(first, append=len(s)), doubled
+
+    def spares(self, s: np.ndarray) -> list[int]:
+        """For each band of a set, what its non-empty segments count beyond the need (negative: too few).
+
+        A one-shingle segment's neighbourhood is the empty set, which is no
+        signature; it counts once.
+        """
+        out = []
+        for band in self.takes_part(len(s)):
+            need = self.differences(len(s), band) + 1
+            if need == 1:  # partners are equal sets, which are one class
+                out.append(0)
+                continue
+            first, which, sizes, doubled = self._segments(s, band)
+            out.append(len(first) - need + (int(((which < doubled) & (sizes > 1)).sum()) if doubled else 0))
+        return out
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """The signatures of a sorted set of hashes, in all its bands; the lowest bit tells the band."""
+        out = []
         with np.errstate(over="ignore"):
             for band in self.takes_part(len(s)):
-                need = self.differences(len(s), band) + 1
-                if need == 1:  # partners are equal sets, which are one class
-                    spare.append(0)
+                if self.differences(len(s), band) == 0:
                     continue
-                m, doubled = self.plan(band)
-                segment = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # the set is sorted, so segments are runs
-                first = np.flatnonzero(np.diff(segment, prepend=-1))
-                which = segment[first]
+                first, which, sizes, doubled = self._segments(s, band)
                 token = mix64(s ^ np.uint64((band * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
                 total = np.add.reduceat(token, first)
                 seed = mix64(which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band))
-                parity = np.uint64(band & 1)
-                key = lambda x: (mix64(x) & ~np.uint64(1)) | parity  # noqa: E731, B023  the lowest bit tells the band
-                out.append(key(total + seed))
+                keys = [total + seed]
                 if doubled:
-                    own = np.flatnonzero(segment < doubled)
-                    run = np.searchsorted(first, own, side="right") - 1
-                    lengths = np.diff(np.append(first, len(s)))
-                    own, run = own[lengths[run] > 1], run[lengths[run] > 1]
-                    out.append(key(total[run] - token[own] + seed[run]))
-                # a one-shingle segment's neighbourhood is the empty set, which is no signature: it counts once
-                lengths = np.diff(np.append(first, len(s)))
-                spare.append(int(len(first) + ((which < doubled) & (lengths > 1)).sum() - need))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), spare
+                    run = np.repeat(np.arange(len(first)), sizes)
+                    own = np.flatnonzero((which[run] < doubled) & (sizes[run] > 1))
+                    keys.append(total[run[own]] - token[own] + seed[run[own]])
+                out.append((mix64(np.concatenate(keys)) & ~np.uint64(1)) | np.uint64(band & 1))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 @lru_cache(maxsize=4)
@@ -160,7 +175,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """_id, n, fp (null for empty sets), the spare of the set's own and next band, and its own band's parity."""
+    """_id, _same, n, fp (null for empty sets), the spare of the set's own and next band, and its own band's parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, plan = Sets(k), bands(percent)
@@ -170,10 +185,10 @@ def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for s in sets.read(texts):
                     n.append(len(s))
                     fp.append(fingerprint(s) if len(s) else None)
-                    spare.append([*plan.signatures(s)[1], None, None][:2] if len(s) else [None, None])
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array([x[0] for x in spare], pa.int32()), pa.array([x[1] for x in spare], pa.int32()), pa.array([plan.of(x) & 1 for x in n], pa.int32())], names=["_id", "n", "fp", "own", "next", "parity"])
+                    spare.append([*plan.spares(s), None, None][:2] if len(s) else [None, None])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, len(texts)), batch.column("_same").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array([x[0] for x in spare], pa.int32()), pa.array([x[1] for x in spare], pa.int32()), pa.array([plan.of(x) & 1 for x in n], pa.int32())], names=["_id", "_same", "n", "fp", "own", "next", "parity"])
 
-    return docs.mapInArrow(run, "_id long, n long, fp long, own int, next int, parity int")
+    return docs.mapInArrow(run, "_id long, _same long, n long, fp long, own int, next int, parity int")
 
 
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -187,7 +202,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for s in sets.read(texts):
                     if len(s) and (fp := fingerprint(s)) not in seen:
                         seen.add(fp)
-                        sigs.append(plan.signatures(s)[0])
+                        sigs.append(plan.signatures(s))
                         fps.append(np.full(len(sigs[-1]), fp, np.int64))
                 if len(seen) > 1 << 20:  # bounded; a class may then be sent twice
                     seen.clear()
@@ -235,7 +250,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 fps = pa.array([fingerprint(s) if len(s) else 0 for s in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([fps, batch.column("fp").slice(lo, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["fp", "asked", "s"])
 
-    chosen = docs.join(wanted, "_id").select("text", "fp")
+    few = wanted.count() <= BROADCAST_ROWS  # then texts needn't be shuffled
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, "_id").select("text", "fp")
     return chosen.mapInArrow(run, "fp long, asked long, s array<long>").where("fp = asked").select("fp", "s")
 
 
@@ -283,60 +299,90 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _rest(members: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links, given those to first centres; members: sig, fp of the groups of three or more classes.
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (with fp) and the component of each class."""
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _spanning(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of groups that hold more than one component."""
+    per = rows.groupBy(key).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(key)
+    return rows.join(per, key)
+
+
+def _poor(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that may still lack a link; members: sig, fp of the groups of three or more classes.
 
     Two linked classes share more signatures than either can spare.  While
     they are in different components and untested, each group they share
     spans components.  So only classes with more such groups than they can
-    spare matter; among those, small groups test their pairs and large ones
-    a new centre in each round.
+    spare may lack a link, and only to one another.
     """
     parity = F.col("sig").bitwiseAND(1).cast("int")
     spare = F.when(parity == F.col("parity"), F.col("own")).otherwise(F.col("next"))
-    of_class = classes.select("fp", "own", "next", "parity")
-    left = members
-    for step in range(48):
-        roots = components(links)
-        rows = left.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        spans = lambda d: d.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.lit(step)), "fp")).alias("c"), F.count("*").alias("size")).where("lo < hi").select("sig", F.col("c.fp").alias("center"), "size")  # noqa: E731, B023
-        rows = materialize(rows.join(spans(rows).select("sig"), "sig"), "open")
-        counted = rows.select("fp", "sig").join(of_class, "fp").groupBy("fp", parity.alias("_p")).agg(F.count("*").alias("c"), F.max(spare).alias("spare"))
-        poor = counted.where("c > spare").select("fp", "_p")
-        rows = rows.withColumn("_p", parity).join(poor, ["fp", "_p"]).select("sig", "fp", "root")
-        rows = materialize(rows.join(spans(rows), "sig"), "poor")
+    rows = materialize(_spanning(_rooted(members, links), "sig"), "open")
+    counted = rows.select("fp", "sig").join(classes.select("fp", "own", "next", "parity"), "fp").groupBy("fp", parity.alias("_p")).agg(F.count("*").alias("c"), F.max(spare).alias("spare"))
+    poor = counted.where("c > spare").select("fp", "_p")
+    return _spanning(rows.withColumn("_p", parity).join(poor, ["fp", "_p"]).drop("_p"), "sig").select("fp").distinct()
+
+
+def _rest(poor: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links, given all but some among the poor classes.
+
+    What is cheapest for them is one segment for each shingle: two linked
+    sets share one of their rarest H + 1 shingles.  In each round a group
+    tests some of its classes against all others, and drops them.
+    """
+    poor = materialize(poor, "poor")
+    if poor.isEmpty():
+        return links
+    own = sets.join(poor, "fp").dropDuplicates(["fp"])
+    tokens = own.select("fp", F.size("s").alias("n"), F.explode("s").alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    by_rarity = W.partitionBy("fp").orderBy("df", "token")
+    common = materialize(tokens.join(df, "token"), "tokens")
+    # shingles of no other class come first
+    place = F.row_number().over(by_rarity) + (F.col("n") - F.count("*").over(W.partitionBy("fp")))
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    left = materialize(common.withColumn("_place", place).where(F.col("_place") <= need).select("token", "fp"), "left")
+    while True:
+        rows = materialize(_spanning(_rooted(left, links), "token"), "rows")
         if rows.isEmpty():
             return links
-        small, large = rows.where(F.col("size") <= HOT), rows.where(F.col("size") > HOT)
-        if step == 47:
-            small = rows  # what 47 centres of a group haven't settled
-        pairs = small.alias("p").join(small.alias("q"), "sig").where("p.fp < q.fp AND p.root <> q.root").select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
-        center = large.where("fp = center").select("sig", F.col("root").alias("_root"))
-        star = large.where("fp <> center").join(center, "sig").where("root <> _root").select(F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b"))
-        links = materialize(links.unionByName(_verify(pairs.unionByName(star).distinct(), sets, classes, percent)), "links")
-        left = materialize(large.where("fp <> center").select("sig", "fp"), "left")
-    return links
-
-
-def _uncovered(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Candidate pairs of classes with too few signatures: they meet every class that shares a shingle."""
-    few = classes.where("own < 0 OR next < 0").select("fp", "_id")
-    if few.isEmpty():
+        rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy("token").orderBy(F.xxhash64("fp"), "fp")))
+        turn = rows.where(F.col("_turn") <= HOT).select("token", F.col("fp").alias("a"), F.col("root").alias("_a"), F.col("_turn").alias("_t"))
+        met = rows.join(turn, "token").where("_turn > _t AND root <> _a").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+        links = materialize(links.unionByName(_verify(met, sets, classes, percent)), "links")
+        left = materialize(rows.where(F.col("_turn") > HOT).select("token", "fp"), "left")
+
+
+def _uncovered(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs of classes with too few signatures: they meet every class of a fitting size that shares a shingle."""
+    few = classes.where("own < 0 OR next < 0")
+    largest = few.agg(F.max("n")).first()[0]
+    if largest is None:
         return classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    theirs = _sets_of(docs, few, k).select(F.col("fp").alias("a"), F.explode("s").alias("shingle"))
-    every = _sets_of(docs, classes.select("fp", "_id"), k).select(F.col("fp").alias("b"), F.explode("s").alias("shingle"))
+    theirs = _sets_of(docs, few.select("fp", "_id"), k).select(F.col("fp").alias("a"), F.explode("s").alias("shingle"))
+    fitting = classes.where(F.col("n") * percent <= largest * 100).select("fp", "_id")
+    every = _sets_of(docs, fitting, k).select(F.col("fp").alias("b"), F.explode("s").alias("shingle"))
     met = theirs.join(every, "shingle").where("a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_members of each row of ``docs`` (doc_id, text)."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), "text")
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """_id (the largest number for null), _same (equal for equal texts), text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_same"), "text", *more)
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """_id, _same, n of each row; root, component and n_members, null for empty sets."""
+    keyed = _keyed(docs)
     members = materialize(_members(keyed, k, percent), "members")
     first = lambda c: F.min(c).alias(c)
     classes = materialize(members.where("fp IS NOT NULL").groupBy("fp").agg(*map(first, ("_id", "n", "own", "next", "parity")), F.count("*").alias("copies")), "classes")
     groups = materialize(_groups(_signatures(keyed, k, percent)), "groups")
-    pairs = groups.select(F.col("center").alias("a"), F.col("fp").alias("b")).unionByName(_uncovered(keyed, classes, k)).distinct()
+    pairs = groups.select(F.col("center").alias("a"), F.col("fp").alias("b")).unionByName(_uncovered(keyed, classes, k, percent)).distinct()
     size = lambda c: classes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"))
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = materialize(pairs.join(size("a"), "a").join(size("b"), "b").where(near).select("a", "b"), "pairs")
@@ -345,18 +391,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(wider.select("fp")).distinct().join(classes.select("fp", "_id"), "fp")
     sets = materialize(_sets_of(keyed, wanted, k), "sets")
     links = materialize(_verify(pairs, sets, classes, percent), "links")
-    links = _rest(wider, links, classes, sets, percent)
+    links = _rest(_poor(wider, links, classes), links, classes, sets, percent)
     roots = components(links)
     rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("_id").alias("component_id"), F.sum("copies").alias("n_members"))
-    out = members.join(rooted.join(least, "root").select("fp", "component_id", "n_members"), "fp", "left")
-    known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), known("_id")).otherwise(known("component_id")).alias("component_id"), F.coalesce("n_members", F.lit(1)).alias("n_members"))
+    least = rooted.groupBy("root").agg(F.min("_id").alias("component"), F.sum("copies").alias("n_members"))
+    labels = rooted.join(least, "root").select("fp", "root", "component", "n_members")
+    return members.join(labels, "fp", "left").select("_id", "_same", "n", "root", "component", "n_members")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_members of each row of ``docs`` (doc_id, text)."""
+    known = lambda c: F.when(c != _LAST, c)
+    component = F.coalesce("component", "_id")
+    return _labelled(docs, k, percent).select(known(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), F.coalesce("n_members", F.lit(1)).alias("n_members"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does: the one with the least doc_id (all rows without a word stay)."""
-    found = jaccard_components(docs, k, percent)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    """The rows of ``docs`` that stay when one row of each component does: the one with the least doc_id (of rows without a word, one of each doc_id and text)."""
+    found = materialize(_labelled(docs, k, percent), "labelled")
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_same")).alias("_r")).select("_r.*")
+    stay = first.unionByName(found.where("root IS NULL").select("_id", "_same").distinct())
+    kept = _keyed(docs, F.struct(*docs.columns).alias("_row")).drop("text").join(stay, ["_id", "_same"])
+    return kept.dropDuplicates(["_id", "_same"]).select("_row.*")

@@ -13,7 +13,8 @@ Null text has no words: all counts are 0 and the base rules fail it.  Very
 long texts are handled in their own row, in time linear in their words (a
 sort, where windows repeat).  Rows are independent: repeated rows repeat, an
 empty table stays empty, other columns pass through untouched unless they
-bear the name of an output, which then replaces them.
+bear the name of an output, which then replaces them, or of a working column
+(_w, _h, _s, _p, _lines, _good), which goes.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import int_lists, materialize, mix64, rolling, text_slices, word_hashes
+from .common import int_lists, mix64, rolling, text_slices, word_hashes
 
 _LAST = (1 << 63) - 1
 
@@ -126,7 +126,7 @@ def _candidates(docs: DataFrame, k: int, sketch, log_bits: int) -> DataFrame:
 def removal_starts(docs: DataFrame, k: int = 50, log_bits: int = 26) -> DataFrame:
     """_id, _tag, starts: the first words of all windows to remove of a document (``docs`` has _id, _tag, text)."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k, log_bits))
-    windows = materialize(_candidates(docs, k, sketch, log_bits), "windows")
+    windows = _candidates(docs, k, sketch, log_bits)  # read twice: hashing again is cheaper than keeping them on disk
     owners = windows.groupBy("hash").agg(F.min("_id").alias("owner"), F.max("_id").alias("_last")).where("owner < _last").select("hash", "owner")
     late = windows.join(owners, "hash").where("owner < _id")
     tag, place = F.col("at").bitwiseAND((1 << 30) - 1), F.shiftrightunsigned("at", 30)

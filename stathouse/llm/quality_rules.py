@@ -99,5 +99,8 @@ def quality_rules(docs: DataFrame, max_loss: float = 0.5, min_words: int = 50, t
         "cleaned_text": F.array_join("_good", "\n"),
     }).drop(*own)
     df = df.withColumn("lost_words", F.col("n_words") - n_words_of(F.col("cleaned_text")))
+    found = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "cleaned_text", "lost_words")
+    # a generator is a wall: without it, a filter on the result would be rewritten into the array functions, once per element
+    df = df.select(*(c for c in df.columns if c not in found), F.inline(F.array(F.struct(*found))))
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= max_loss * F.col("n_words")))

@@ -300,7 +300,7 @@ def id_lists_by_predicate(spark, sf):
 
 @registry.add("""
 WITH i AS (SELECT l_orderkey, l_suppkey, MIN(l_linenumber) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
-ids AS (SELECT l_orderkey, list(l_suppkey ORDER BY r) AS returned_ids, COUNT(*) AS returned_count FROM i GROUP BY 1)
+ids AS (SELECT l_orderkey, list(l_suppkey ORDER BY r, l_suppkey) AS returned_ids, COUNT(*) AS returned_count FROM i GROUP BY 1)
 SELECT a.l_orderkey, lines, any_returned, COALESCE(returned_count, 0) AS returned_count, COALESCE(returned_ids, []) AS returned_ids
 FROM (SELECT l_orderkey, CAST(SUM(l_linenumber) AS BIGINT) AS lines, bool_or(l_returnflag = 'R') AS any_returned FROM lineitem GROUP BY 1) a LEFT JOIN ids ON ids.l_orderkey = a.l_orderkey""")
 def event_audit(spark, sf):

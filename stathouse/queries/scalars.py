@@ -101,8 +101,8 @@ def stat_line(spark, sf):
 
 
 @registry.add("""
-WITH d AS (SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '·2B' ELSE 'HR' END, ',' ORDER BY l_linenumber) AS text, MAX(CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS INT) END) AS second,
-  SUM(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 0 END) AS odd, COUNT(*) AS items, MAX(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 100 + CAST(l_quantity AS INT) END) % 100 AS last FROM lineitem GROUP BY 1)
+WITH d AS (SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '·2B' ELSE 'HR' END, ',' ORDER BY l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || '·2B' ELSE 'HR' END) AS text,
+  COUNT(*) AS items, arg_max(CAST(l_quantity AS INT), {'a': l_linenumber, 'b': CAST(CAST(l_quantity AS INT) AS VARCHAR) || '·2B'}) FILTER (WHERE l_linenumber % 2 = 0) AS last FROM lineitem GROUP BY 1)
 SELECT l_orderkey, text, CAST(items AS INT) AS items, CAST(COALESCE(last, 0) AS INT) AS doubles FROM d""")
 def detail_lists(spark, sf):
     """Text of details to an array, and one stat of it (the last of its name)."""

@@ -52,7 +52,7 @@ _LAST = (1 << 63) - 1
 #: Bands grow by this factor.
 GROWTH = 1.7
 #: Classes of a group that are tested against all its others in a round.
-HOT = 128
+HOT = 32
 
 
 class Bands:
@@ -283,26 +283,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root of each node of the edges (a, b): large-star and small-star steps until nothing changes."""
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+    before = state(edges)
+    for _ in range(rounds if before[0] else 0):
         both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.u", "e.v")
-        after = materialize(small.where("u <> v").distinct(), "edges")
-        count = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        done = count(after) == count(edges)
-        edges = after
-        if done:
+        edges = materialize(small.where("u <> v").distinct(), "edges")
+        after = state(edges)
+        if after == before:
             break
+        before = after
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` (with fp) and the component of each class."""
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _spanning(rows: DataFrame, key: str) -> DataFrame:
@@ -311,8 +311,8 @@ def _spanning(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(per, key)
 
 
-def _poor(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes that may still lack a link; members: sig, fp of the groups of three or more classes.
+def _poor(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes (fp, known) that may still lack a link; members: sig, fp, known of the groups of three or more classes.
 
     Two linked classes share more signatures than either can spare.  While
     they are in different components and untested, each group they share
@@ -321,40 +321,47 @@ def _poor(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame
     """
     parity = F.col("sig").bitwiseAND(1).cast("int")
     spare = F.when(parity == F.col("parity"), F.col("own")).otherwise(F.col("next"))
-    rows = materialize(_spanning(_rooted(members, links), "sig"), "open")
+    rows = materialize(_spanning(_rooted(members, roots), "sig"), "open")
     counted = rows.select("fp", "sig").join(classes.select("fp", "own", "next", "parity"), "fp").groupBy("fp", parity.alias("_p")).agg(F.count("*").alias("c"), F.max(spare).alias("spare"))
     poor = counted.where("c > spare").select("fp", "_p")
-    return _spanning(rows.withColumn("_p", parity).join(poor, ["fp", "_p"]).drop("_p"), "sig").select("fp").distinct()
+    return _spanning(rows.withColumn("_p", parity).join(poor, ["fp", "_p"]).drop("_p"), "sig").select("fp", "known").distinct()
 
 
-def _rest(poor: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links, given all but some among the poor classes.
+def _rest(poor: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root of all components, given those without some links among the poor classes.
 
     What is cheapest for them is one segment for each shingle: two linked
     sets share one of their rarest H + 1 shingles.  In each round a group
     tests some of its classes against all others, and drops them.
     """
-    poor = materialize(poor, "poor")
+    poor = materialize(poor, "poor")  # fp, known
     if poor.isEmpty():
-        return links
+        return roots
     own = sets.join(poor, "fp").dropDuplicates(["fp"])
-    tokens = own.select("fp", F.size("s").alias("n"), F.explode("s").alias("token"))
+    tokens = own.select("fp", "known", F.size("s").alias("n"), F.explode("s").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     by_rarity = W.partitionBy("fp").orderBy("df", "token")
     common = materialize(tokens.join(df, "token"), "tokens")
     # shingles of no other class come first
     place = F.row_number().over(by_rarity) + (F.col("n") - F.count("*").over(W.partitionBy("fp")))
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    left = materialize(common.withColumn("_place", place).where(F.col("_place") <= need).select("token", "fp"), "left")
+    left = materialize(common.withColumn("place", place).where(F.col("place") <= need).select("token", "fp", "n", "place", "known"), "left")
+    fits = f"100 * least(n, _n) >= {percent} * greatest(n, _n)"
+    # at the first shingle that two sets share, what follows in either must hold the rest of the overlap that they need
+    reach = f"({100 + percent}) * (1 + least(n - place, _n - _place)) >= {percent} * (n + _n)"
     while True:
-        rows = materialize(_spanning(_rooted(left, links), "token"), "rows")
+        rows = materialize(_spanning(_rooted(left, roots), "token"), "rows")
         if rows.isEmpty():
-            return links
-        rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy("token").orderBy(F.xxhash64("fp"), "fp")))
-        turn = rows.where(F.col("_turn") <= HOT).select("token", F.col("fp").alias("a"), F.col("root").alias("_a"), F.col("_turn").alias("_t"))
-        met = rows.join(turn, "token").where("_turn > _t AND root <> _a").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-        links = materialize(links.unionByName(_verify(met, sets, classes, percent)), "links")
-        left = materialize(rows.where(F.col("_turn") > HOT).select("token", "fp"), "left")
+            return roots
+        rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy("token").orderBy(F.desc("known"), "fp")))
+        turn = rows.where(F.col("_turn") <= HOT).select("token", F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("_turn").alias("_t"), F.col("n").alias("_n"), F.col("place").alias("_place"))
+        met = rows.join(turn, "token").where(f"_turn > _t AND root <> _root AND {fits} AND {reach}")
+        met = met.select(F.least("_fp", "fp").alias("a"), F.greatest("_fp", "fp").alias("b")).distinct()
+        new = materialize(_verify(met, sets, classes, percent), "links")
+        if not new.isEmpty():
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = materialize(components(known.unionByName(new)), "roots")
+        left = materialize(rows.where(F.col("_turn") > HOT).select("token", "fp", "n", "place", "known"), "left")
 
 
 def _uncovered(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -382,17 +389,22 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = lambda c: F.min(c).alias(c)
     classes = materialize(members.where("fp IS NOT NULL").groupBy("fp").agg(*map(first, ("_id", "n", "own", "next", "parity")), F.count("*").alias("copies")), "classes")
     groups = materialize(_groups(_signatures(keyed, k, percent)), "groups")
-    pairs = groups.select(F.col("center").alias("a"), F.col("fp").alias("b")).unionByName(_uncovered(keyed, classes, k, percent)).distinct()
+    shared = groups.select("sig", "fp").unionByName(groups.select("sig", F.col("center").alias("fp")).distinct())
+    # what many near copies come from shares most of its signatures: it is the best centre for them
+    known = shared.groupBy("fp").agg(F.count("*").alias("c")).join(classes.select("fp", "n"), "fp").select("fp", (F.col("c") / F.col("n")).alias("known"))
+    shared = materialize(shared.join(known, "fp"), "shared")
+    centers = shared.groupBy("sig").agg(F.max_by("fp", F.struct("known", "fp")).alias("center"), F.count("*").alias("size"))
+    star = shared.join(centers, "sig")
+    pairs = star.where("fp <> center").select(F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b"))
+    pairs = pairs.unionByName(_uncovered(keyed, classes, k, percent)).distinct()
     size = lambda c: classes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"))
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = materialize(pairs.join(size("a"), "a").join(size("b"), "b").where(near).select("a", "b"), "pairs")
-    wide = groups.groupBy("sig").agg(F.count("*").alias("size"), F.min("center").alias("fp")).where("size >= 2")
-    wider = materialize(groups.join(wide.select("sig"), "sig").select("sig", "fp").unionByName(wide.select("sig", "fp")), "wider")
+    wider = materialize(star.where("size >= 3").select("sig", "fp", "known"), "wider")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(wider.select("fp")).distinct().join(classes.select("fp", "_id"), "fp")
     sets = materialize(_sets_of(keyed, wanted, k), "sets")
-    links = materialize(_verify(pairs, sets, classes, percent), "links")
-    links = _rest(_poor(wider, links, classes), links, classes, sets, percent)
-    roots = components(links)
+    roots = materialize(components(_verify(pairs, sets, classes, percent)), "roots")
+    roots = _rest(_poor(wider, roots, classes), roots, classes, sets, percent)
     rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_id").alias("component"), F.sum("copies").alias("n_members"))
     labels = rooted.join(least, "root").select("fp", "root", "component", "n_members")

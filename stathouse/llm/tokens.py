@@ -6,6 +6,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 from .common import BoundedCache
 
@@ -13,12 +14,21 @@ _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACES = re.compile(r" (?=\S)")
 
 
+#: Words of these characters are in normal form, and everyone agrees on their classes and lower case.
+_PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\u012f\u0131-\u0236]+")
+#: How the vocabularies' own patterns cut such words.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SPACED_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+
+
 class WordEncoder:
     """For vocabularies that drop white space: words between ASCII white space are encoded one by one.
 
     The normalizer (NFC, white space to one space, lower case by code point)
     and the splitting pattern never look across white space, so the ids of a
-    text are those of its words, one after another.
+    text are those of its words, one after another.  A new word of plain
+    characters is cut into pieces as the vocabulary's pattern does, so that
+    a stem with another comma or capital is encoded only once.
     """
 
     def __init__(self, path: str):
@@ -26,15 +36,23 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = BoundedCache(lambda word: self._ids(word.decode("utf-8", "replace")))
+        self.pieces = BoundedCache(self._ids, 400_000)
+        self.cache = BoundedCache(self._word, 300_000)
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text):
+            return self._ids(text)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         ids = b"".join(map(self.cache.__getitem__, text.split()))
         self.cache.trim()
+        self.pieces.trim()
         return ids
 
 
@@ -47,10 +65,15 @@ class SpacedEncoder(WordEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = BoundedCache(self._ids)
-        self.rest = BoundedCache(lambda word: self._ids(" " + word))
+        self.first = BoundedCache(lambda word: self._spaced(word, ""), 100_000)
+        self.rest = BoundedCache(lambda word: self._spaced(word, " "), 300_000)
         self.newline = self._ids("\n")
 
+    def _spaced(self, word: str, space: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self._ids(space + word)
+        return b"".join(map(self.pieces.__getitem__, _SPACED_PIECES.findall(space + word)))
+
     def encode(self, text: bytes) -> bytes:
         first, rest, out = self.first, self.rest, []
         for line in _LINES.split(text.decode("utf-8", "replace")):
@@ -58,6 +81,7 @@ class SpacedEncoder(WordEncoder):
             out.append((first[head] if head else b"") + b"".join(map(rest.__getitem__, words)))
         first.trim()
         rest.trim()
+        self.pieces.trim()
         return self.newline.join(out)
 
 

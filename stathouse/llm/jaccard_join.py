@@ -273,9 +273,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -
 
     size = lambda c: sizes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"))
     near = pairs.join(size("a"), "a").join(size("b"), "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    one = near.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-    both = one.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
+    near = materialize(near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"), "near")
+    x, y = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    if near.count() <= BROADCAST_ROWS:  # then only the sets of these pairs are shuffled
+        x, near = x.join(F.broadcast(near.select("a").distinct()), "a"), F.broadcast(near)
+    both = y.join(near, "b").join(x, "a")
     return both.mapInArrow(run, "a long, b long")
 
 

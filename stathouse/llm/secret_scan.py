@@ -36,7 +36,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Bytes-level tests that any base or context match passes; they spare most texts the slower patterns.
-_NAMES = re.compile(rb"(?i)pass|secret|token|api_?key|pwd|credential|auth|bearer|private_?key|access_?key")
+_NAMES = re.compile(rb"(?i)pass|secret|token|api_?key|pwd|credential|auth|bearer|(?:api|private|access|client|signing)[_-]?key")
 _LONG = re.compile(rb"AKIA|[0-9a-f]{24}")
 _CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|client|signing)[_-]?(?:key|secret))"

@@ -161,6 +161,19 @@ def test_redaction(spark, edge):
     assert secret_scan.redact(edge).columns == edge.columns
 
 
+@pytest.mark.parametrize("name", [
+    "password", "passwd", "passphrase", "passcode", "pass", "pwd", "secret", "token", "credential", "credentials", "auth", "authorization", "bearer", "X-Api-Key",
+    *(a + b + c for a in ("api", "private", "access", "client", "signing") for b in ("", "_", "-") for c in ("key", "secret")),
+])
+def test_every_context_passes_the_prefilter(name):
+    for form in (name, name.upper()):
+        text = f"a {form}: xK9#vQ2!pL7@zR4 b"
+        lo = text.index("xK9")
+        spans = secret_scan.scan(text.encode(), 10.0)[1]
+        assert any(a <= lo < b for a, _, b in spans)
+        assert (lo, 3, lo + 15) in spans
+
+
 @pytest.mark.parametrize(("weak", "strong"), [("password1", "xK9#vQ2!pL"), ("qwertyuiop", "qmzrtwxuip"), ("aaaaaaaaaaaaaaaa", "aXbQcZdWeVfUgThS"), ("2019-05-17", "20a9c05b17"), ("abcabcabcabc", "abzqbcxkabwj")])
 def test_guess_cost(weak, strong):
     assert secret_scan.guess_cost(weak) < secret_scan.guess_cost(strong)

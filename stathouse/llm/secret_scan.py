@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
+from .word_list import WORDS
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -43,7 +44,7 @@ _CONTEXT = re.compile(
     r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE | re.ASCII,
 )
 
-#: Common words of passwords, most common first (their rank is their cost).
+#: Common words of passwords, most common first (their rank is their cost); those of prose (WORDS) follow.
 COMMON_WORDS = (
     "password", "qwerty", "letmein", "welcome", "admin", "login", "monkey", "dragon", "master", "princess", "sunshine",
     "football", "baseball", "shadow", "michael", "jennifer", "jordan", "superman", "batman", "iloveyou", "trustno",
@@ -55,8 +56,8 @@ COMMON_WORDS = (
 )
 #: Rows of a keyboard.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *WORDS]))}
+_LONGEST = max(map(len, _RANK))
 _STEP = {(row[i], row[i + d]) for row in KEY_ROWS for d in (1, -1) for i in range(len(row)) if 0 <= i + d < len(row)}
 _LEET = str.maketrans("430157@$!", "aeoistasi")
 _DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d)")
@@ -71,7 +72,8 @@ def guess_cost(value: str) -> float:
 
     best[i] is the cheapest cost of the first i characters.  Each span adds
     its own log cost; brute force adds one character at a time.  A run of one
-    character, or of equal blocks, costs its block and its count.
+    character, or of equal blocks, costs its block and its count, whatever
+    the length of either.
     """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
@@ -87,6 +89,8 @@ def guess_cost(value: str) -> float:
             run_to[i] = run_to[i + 1]
         if (low[i], low[i + 1]) in _STEP:
             walk_to[i] = walk_to[i + 1]
+    last: dict[str, int] = {}
+    copied: dict[int, int] = {}
     for i in range(n):
         relax(i, i + 1, math.log10(_class_size(value[i])))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
@@ -98,12 +102,19 @@ def guess_cost(value: str) -> float:
             relax(i, found.end(), math.log10(120 if found.end() - i == 4 else 365 * 120))
         if run_to[i] - i >= 3:
             relax(i, run_to[i], math.log10(_class_size(value[i]) * (run_to[i] - i)))
-        for size in (2, 3, 4):
-            times = 1
-            while value[i : i + size] == value[i + times * size : i + (times + 1) * size] and len(value[i : i + size]) == size and times < 64:
-                times += 1
-            if times > 1:
-                relax(i, i + size * times, sum(math.log10(_class_size(c)) for c in value[i : i + size]) + math.log10(times))
+        # What stands ``back`` characters before, again; each run is measured once.
+        for back in {2, 3, 4, i - last.get(value[i : i + 4], i)}:
+            if 0 < back <= i:
+                if copied.get(back, 0) <= i:
+                    end = i
+                    while end < n and value[end] == value[end - back]:
+                        end += 1
+                    copied[back] = end
+                again = copied[back] - i
+                if again >= back:
+                    relax(i, i + again // back * back, math.log10(1 + again // back))
+                    relax(i, i + again, math.log10(1 + again / back))
+        last[value[i : i + 4]] = i
         if walk_to[i] - i >= 3:
             relax(i, walk_to[i], math.log10(47 * 4 * (walk_to[i] - i)))
     return best[n]

@@ -1,0 +1,1343 @@
+"""Words of at least four letters, most frequent first.
+
+Whole words of the vocabularies of ``public_tokenizers`` in the order of their
+merges: English words that byte_bpe_50k and word_bpe_49k both have, and words
+of byte_bpe_multi_50k.  The vocabularies are under the MIT License, Copyright
+(c) 2022 OpenAI (byte_bpe) and (c) 2012-2021 Gabriel Ilharco and others
+(word_bpe).
+"""
+
+WORDS = """
+that this with from have like will your they their what just more said there know about cont which here were comp some going would other think been
+want really them then thing year right when people than over also time because part look very into work only these after every play could need first
+comm back make under most again good cons even where somet little much things start years diff inter should those well kind through differ being
+something does take down talk many call actually before happ such gonna long prov come show pres inst different made last vide feel stud count help
+point used same while yeah game quest pers report great still doing world though trans mean conf find spec around hand between against high found
+person real next love sign follow video today team import system give lead tell govern sure life read didn support supp cour fact always both serv
+three each important says during okay char public thank prog happen power might state head keep poss another stat guys able child place since produ
+develop exper pass done turn better second care disc never exam month government without dist best hard level problem watch pret course effect cent
+question allow doesn interest result using number must thought commun direct everything open post compl seem toget together week already form called
+told trump understand stand looking mark pretty information prob getting invest side test rest coll full dire case less list partic friend home left
+water data move attack build main including maybe away name class music change small plan percent camp sort gener process program anything four coming
+return word belie group current means inform women came near free working design example chang whole book trying kill probably country school order
+million oper started days prof health times wanted talking having least contin prom creat hist term went until later light view cost enough hope
+making money united large business learn clear american expect nice comes past organ expl perform story season claim within line stuff project control
+everyone check family sing police techn looks vers appear complet idea defin ever grow company once bring fore saying hear major mind often human
+someone available contro record conc news following stop hour become quite resp took remember product certain deal seen reason elect live official
+moment possible hold sound city cool sever children includ night else john questions americ body whether author makes proper event intern meet short
+super orig para believe press wait protect quick goes several speak given miss fund requ mill states games particular students five complete account
+prot connect others experience stay young along food according members please among community employ likely russ president access euro house known
+early fight walk sent market based yourself plus strong room death const social campaign break months pain step stre nothing players success present
+begin suggest christ face crit inside land friends local leave political asked easy area former answer close front york beaut across matter comb focus
+interesting create individual pick value exact space future couple above heart europe ready almost amount either half charac fail pract special black
+basically fire taking study incre wanna consider media thinking university single republic issue watching nicht taken true works trad film mess added
+type happened similar character girl pour color reported sense however rese entire norm history whatever discuss self guess fall ener wond object
+player click rather service situ happy myself provide cover party exist behind function wasn opportun series points share below appro specific chall
+previous custom minutes chann court treat wrong subs version deter ways address field enjoy feat common link action terms attempt mult shall forward
+himself research dest definitely hours further listen america north videos national stra mention song recent auch general gets period sometimes
+perfect phys cult descri include position heard simple cannot everybody init needs diffic relations ground security concern white cond seems stri pull
+wind itself beautiful mass pack amazing outside mach sept foot difficult third evidence threat item lang represent rece significant channel simply
+bott longer file upon energy themselves words ahead tool exactly woman favor text require military kids review subject instead ones issues happens
+code model higher pict especially page soon method subscri avail policy exec accept continue final changes appe prop respect damage fast total
+development results obama hands rights brit haven running anim port mater rate building educ target phot finish block aust mais hello south activ
+shows playing site risk began size decision wonder morning parent deep drug polit individ request write host ident material relationship fine services
+role cred invol clinton collect office track langu ball personal takes increase needed econom lost became piece groups reach wrote dead impro http
+webs bene learning clean statement cook repres release touch thanks original card screen cases environ section figure eyes washington imag required
+king seeing countries hair applic german cell completely knew shoot anyone situation phone west affect online israel sorry september ability huge
+content detail force sold clos soft companies article convers recomm como held released somebody federal anal interview install offer received vous
+feeling source serious created cause draw department late living difference legal opportunity weeks dass regard price quickly problems leaders prep
+profess contract usually base potential dans lower equal june becom contact mother moving march china necess provided average grand shot tast played
+jesus officials gives industry normal impact dies finally round doll user range você private gave mich except worked dragon liter performance bill
+indust environment happening worth wants chance speed japan obviously match recommend response wouldn felt bottom member grad gone redu turned july
+recently alright star camera cong blood comput comment middle couldn select introdu killed sleep drink august expected talked choose image jour
+prevent inte involved offic candid mentioned earlier fill popular send sett engine various compet levels door road language users extra improve father
+beginning search refer forget loss events billion dark prim areas starting twitter google stick vote nearly yout included technology giving explain
+whose civil respond features lives economic respons april priv excited option sens training effects teach epis occur welcome wall website email
+currently goal conv push decided travel rele election favorite looked button quality slow table staff tried addition lack wide board anti continu path
+straight correct victim jump property eine network date subscribe prin reports capital towards command allowed vari paper capt picture numbers brought
+fair broad sich prior comments congress approach dream center emer built rules financial considered manage products recogn visit benef document
+conduct calif ment soci written apply published secret facebook surpr haben sexual standard fell youtube foreign friday green regular increased flow
+demon additional production interested international race changed student town attention terror meeting park arrest thous absolutely fear extreme
+practice workers directly population separ october experien january david cross message nation poll carry parents feed russia save natural trade
+multiple fans parts compan global movie necessary details wish sund medical minus monday voice hill skin receive eight baby bank device places está
+safe canada lots systems assist battle aren growth cast plans crazy stage leav movement display enter honest paul repl avoid knows lord spent hundred
+sounds forces learned incred drop november fuck immediately russian setting americans shown sind conditions worry hier certainly includes announced
+caus republican described education county multip alone december pressure european club tuesday drive paid attacks challeng blue characters director
+load signific positive rout brand california trust communic islam weight asking nature career latest putting roll note teams consist costs obvious
+temper implement sugg arri comfort sunday plat seven concept demand feels particip treatment danger gotta british challenge physical related remain
+supposed viol notice street trou easily minute uses coun leader types reading gold awesome designed machine appears choice measure particularly london
+tout allows ideas jest wednesday although truth relative spend application science episode fish society throw circ english poor tour direction writing
+noch print feet purp limited store meaning jack achie actual effort brain thursday mist autom studies cold investigation increasing easier integr wife
+laws modern administration heav powerful telling claims resources dann earth title beyond knowledge anymore sell maint violence east compared bien
+options throughout files james appreci determ named disco items lose emot scene tamb complex immedi status books died becomes aware slight breat
+perhaps income weird https platform helps majority forg greater luck safety negative showed counter stories leading background donald switch defense
+princi finan muslim continued kinds provides prison pray economy understanding brother weapons analysis plant culture software wonderful officers
+remains starts india psych rock wear square literally passed despite heat insp toward catch region mount values surface officer pieces style sand
+conversation reasons activity senate calls gente letter spirit quarter sitting strength bigger patients waiting charge dollars imagine credit dise
+moved computer names feature fing rule sche solution michael patter angel double iraq saturday bunch pattern sweet associated unique train germ behav
+individuals pred summer arch description college texas fully followed indian aqui february hosp jobs seemed tools basic reality lines structure
+growing totally biggest windows rates celebr fait suff william mart coach mine kore journal false contain vacc rich chinese shape meant onto join
+condition frame purpose organization tend critic larger actions eating kept benefits taste surv skills vehicle chief shop efforts estab league seconds
+adult cand overall encour speech entre highly female birth error effective hang failed spread programs consum crime opin location iran agree behavior
+rare caused scient ship sudden active reflect firm clearly rais agency memory band spot suspect influ absolute lock zero cards destroy porque appeared
+folks launch compon length blog kann anyway audience forced relig thousands extrem minister qual french generally cute thus whom exerc ensure histor
+apparent este religious minor primary smart developed funny peace somewhere creating famil families transform smith limit perspect resist showing
+eventually helped apple prem sales fant floor speaking stock church script mode slide gradu sources initial kinda burn muit reached male tomorrow
+climate remove alleged remind avec images schools neigh aspect stream ourselves previously associ default rank council scen weapon century citizens
+progress expand hero reci batter wild accom update beat customers criminal paint christian contrib leaving tree born otherwise basis mechan deliver
+crowd central bought download stress thom window unit announ fighting predict heavy football glass transfer therefore trick mission noted vill disease
+till edit temperature graph brown repe adding raised tele tick agreement strugg degree server debate helping smell largest context successful calcul
+democratic realize syria loved owners offers finished shooting defend aber records employees devices benefit prec instit harm alex jetzt medic shut
+smaller intell station intelligence flor requires hospital adjust offered scale produce prefer cris ended котор daily afric voters internet distrib
+extremely opinion vict gain hous useful budget discover enemy conse trial establish quant chin continues kick steps union posted tonight grab rise
+germany signed appreciate england fresh projects conference communities responsible arab frequ george partners minim returned australia brief anybody
+highest changing commission incident essentially nuclear element micro charges virt prices dance draft runs walking candidate management phil liked
+separate über instance master oder unless operations faith react disapp activities girls traditional turns tight mouth surround weap argument decide
+spending patient theory calling corner influence bell commit photo agre revealed enforce investig committee distance chem warm digital miles pand
+covid removed proud achieve teaching advantage allah slightly wood colors placed mostly wird connected layer produced connection driver perspective
+cloud executive assault reduce subst decades remo serve assess thoughts goals senior parties werden hurt franc shit existing meat willing critical
+isso famous comfortable species animals enjoyed healthy older teacher doctor thread matt capac manager afraid professional notes organiz doubt
+interact opened incredible attract daughter string republicans shouldn solid chicken cities faster random florida oppos depend nous scott exciting
+claimed journey core opening believed holding brow specifically authorities engage cream score cells edge bull neighbor indic district hopefully hate
+worse concerns effic presidential policies hall independent justice thousand protection strategy quar missing necessarily politics bright spell labor
+itunes researchers closed transport challenges chicago none hearing marriage elements listening dram pero wearing supported balance testing massive
+guard border copy perm opportunities owner task france restaur issued wenn western delicious detect handle shared cancer independ explained multi
+campus investment topic rain panel belief crisis operation contains driving express finding funding input categ established fold dangerous faire
+freedom presence authority ring standing valid weak sauce reference sides collection desp tells einen providing sister democrats sont purposes tien
+japanese truly documents disp hell reject korea victims witness prepared reform caught tough traffic trip models apart served libr secretary agreed
+magn muito units mike nine variety origin confirmed entirely helpful purchase flat cash familiar determine cars closer views administ drugs covered
+mental mere partner unlike stopped util johnson schon skill becoming coffee appropriate weekend appl sites animal anywhere charged divid methods cert
+sick judge weren debt fort edition album commercial discovered discussion chain output hillary carol dish abuse careful annual optim stated residents
+allowing equip factors planning occurred solve injury insurance repeated arms construction planet forms visual equipment laughing regarding thick
+chair bringing proceed murder supply wealth institute sugar ride highlight located nobody chat proposed funds innov attach spoke earn rice collabor
+exchange pair arrested killing identified transl mobile examples chose hundreds chris trend electric experiment bomb sequ coverage expensive appeal
+generation robert soul maxim photos salt rough keeping concerned todo lived suggested herself husband millions nach comme radio combat reve gree
+focused fuel yesterday strate tests managed advice measures attend jose rela vision frank gender carried virgin arrived failure minimum worst intended
+forth illegal determined math bless raise dress experiences package farm reduced mary pictures novel capacity trouble bird impossible plays married
+interests conflict requirements operating committed purch christmas relatively afford austral identity knowing decisions instagram accused esta
+victory californ seek drag brush humans sched internal vamos appoint forgot enforcement association canadian gift joined differences degrees protest
+twice army ends everywhere expression materials microsoft maximum eval realized bound scared assum standards jones winning spect broken classes
+defined introduce competition equation island painting announce encourage client exercise possibly crew editor pandemic sale milk pages motion
+opposition refuge flight cheese africa altern applications sust glad britain depending introduced sharing diet functions mehr jeff passion accounts
+motiv alle african bush gather plug scientists fantastic legislation hole survey maintain leadership strateg alive islamic magic tank cart prime
+figures sobre customer fourth presented reaction alcohol session alternative instr approx objects android significantly mont television jewish sehr
+dial motor appearance weather smooth strike leaves concent louis belong shift demonst mort butter indeed satisf recognize rent volume listed launched
+lift clothes peter clin stuck supreme scri sets applied fucking housing joining cette powers remaining acad causes manner suggests yellow angeles
+phase scientific coal immer thomas yang completed spring monitor shock vehicles wheel affected construct root follows homes largely votes brings
+businesses foundation intellig yards ingred guide sports taxes decade gard dropped delay screw prote secure treated filed column evening consult
+stitch entry есть clim marijuana apparently increases normally citiz bike religion noise liqu organizations personally boost legs award factor wash
+enemies quiet accident forever martin slowly noticed stars même whenever format versus plane soldiers agent suit nerv responsibility auss rapid meas
+très believes boss shad appropri hasn artist mexico sanders virus hung constant harry snow seat metal revolution offensive veget returns gotten accur
+river wave candidates percentage songs prove relax manufact possibility expert library fellow suddenly laugh signs angle pure worried filled battery
+unable lights vast identify carolina circumstances feedback bodies developing experienced domestic combined typically chemical trees pool busy markets
+presentation conservative strange supporters thin agencies tired conducted pulled tiny advance license creative fixed surprise craft infect pump
+relevant entered viel leads flex paying truck lect updates greatest plastic height likes capable commer asse offering cake virginia planned colle
+champ francisco plate prospect donc teen taught ryan severe flag deploy prepare matters adapt depends lands univers payment carbon bread losing volt
+distribution waste israeli keeps combination stor honor plenty seeking colum plants beer moves peut finger properly stretch symbol estimated defensive
+dynam positions links opponent tweet habe talks attorney begins teachers environmental storage marg transition breath ordered remained prompt spin
+updated experts somehow ancient moments performed neither fundament manufacture selected ultimately bath label harder giant tips electron wars bond
+interpret gibt evil boston bitcoin clar amazon mask honestly advanced pens surprised communication sole potentially originally deck grew divers stood
+empt youth bern involve aircraft confirm messages rend richard existence evalu turning desire mistake dinner neighborhood lake birthday pointed bear
+professor expressed reven bare relationships diss cath writer recorded broke complicated orders opposite immigration picked contrast neck batt
+excellent technical creation sein laughs auth exch aussi extent chocolate sample accepted wieder fired stands boot param statements versions crack
+selling promise retail depart movies wire terrible perfectly syrian resolution approved incredibly replace tack settings sport dealing emergency
+automatically route banks initi paris pros assign corporate selection também audio egypt attempts findings index polic storm essential holy reasonable
+considering nervous numerous können seriously compar referred consistent ganz facts theme drawing revenue passing todos blow unknown hook browser
+circle architect reporting surprising watched answers somewhat powder yours cann boys receiving joint lunch cultural mole facing winter lucky
+increasingly signal streets wondering cooking williams adults democr loop curious obtained marketing supporting detailed virtual buying restaurant
+sight developers grant persons verd warning faculty narr observed zone medium crow refused spokesman sher también acts struggle category employee
+afghan guns steve fairly gentle muss troops agents confident empty sector universe dude remote destroyed moral analy toronto constantly eggs installed
+então violent solar practices hide penn improved guid properties cutting iron jackson afternoon przy gosh proof disci holds resident resistance vert
+menu split confidence cuts quote exception copyright kitchen icon australian technique household infrast fees susp component drivers bible regulations
+solutions accompl assume escape liquid champions heads causing targets rein adds usual articles injured makeup bowl explains linked discussed occasion
+acting faces denied upload hast knight approximately boat cycle disappoint loud voting institutions legisl struct nearby guilty upper reward apps
+advert filter promot recording dismiss cere crimes saved sufficient historical stupid fest succeed tradition wake widely feelings beauty definition
+conscious jews lets shoes disappe frequently intention butt privacy aquí config rail cooper divided acqu tested delivered komm depth writes assets
+components proced walked participants importance injuries nose registered intent fashion missed sentence assistance soil database diese buildings shap
+classic thinks ohio effectively facility forest hacer chapter dogs latter admitted singing georg knock impress posts lawyer очень lond mand controlled
+fazer andrew protected amounts loves native poly esse moon represents abandon tall carrying lens sustain declared punish fruit infrastructure liber
+opposed hardware recipe describe owned meal portion governments therap compare offense desk valley corpor mail correspond ruling replaced renew shots
+studio armed flavor saving buff pesso efficient hers einem flood consequences horse pleasure evolution tail explore proposal supports controls einer
+merely situations decre emotional blind korean legit dess suffered dear adopt excess houston simpl angry stores меня requests consumers crash lesson
+goods niet elected linux artists blocks elections equals broadcast cheap nations seasons chart fields profile authors vent deaths quand formed
+mountain ongoing muslims solo ukraine coast schol voted michigan víde ingredients scary locations princip spiritual define interface parte exceed
+clients favour duty pitch parce responded extended magazine limits gall external variable vaccine younger immediate philos hidden unfortunately plot
+exposure wrap expansion pink pushed algorith hits scot iphone narrow profession getty turkey enable engineering advent precise regime tent chosen dent
+recommended arguments exists tiene machen breaking electr tutorial permission consumer closely quer hopes array purs geht labour readers employment
+creature datab resulting accurate swim argued soll sought evol suffering incor bonus circum comparison joseph durch sending transp attached sees
+typical finds flying asia emails confront repeat adam calm understood dedicated ideal tech conven rape aside hoping argue heaven containing habit
+schedule liberal publicly heavily quel facilities division fasc stan shares infin distinct medicine seattle trading initially instrument grade
+paragraph roughly consumption essa films wine obtain gest grown suicide surrounding underneath java serving inch jail exposed lies earned instruct
+specified diagn centre dollar consequ fewer terr attacked stronger domain fabric enem penalty declined subt fraud currency lady rising sympt talent
+village acid aspects involving phen terrorist register saudi einfach visible struck bridge drawn inner threats defeat scream suppose faced absol
+symptoms будет falling ending matches explanation tape conversations letters risks flash reportedly spons subjects attempted valu unlikely colorado
+marked info fingers charles боль clip ireland doctors voor granted mens smoke payments podcast primarily kingdom deals scheduled fundamental protein
+pushing isol newspaper gear hotel queen navig approval equivalent être classroom insert extension grav everyday garden generated esto vary fault
+soviet chest patterns potato shell pare puts delivery frust processing brook mixed industrial pode brazil desc politicians indicate profit competitive
+sacr diam defe shield decl trigger mond lovely bench guar carefully recovery colon dreams strongly allegations reporters techniques mechanism strict
+parking whoa pakistan sorts eric guitar regions intellect propos beach conclusion extensive nove neuro inspired territory successfully allies
+processes networks smile execut opponents pron regardless silver stone wage drinking radical gang decent fake uncle investors challenging walls
+publish generate studying promote curve collected differently warned instructions convert criticism counsel suis asian reduction deeply estimates vida
+choices joke permanent athlet tournament contained entertain holly reveal volunte encoun isis orange absor steel spaces gaming houses pregn resource
+scored bard sharp scheme weil decline flour possession restrict yield davis twenty daniel elev colleagues kiss principles courses implementation
+transm nuest repeatedly atmos catholic immig deeper northern ticket alongside cable wins upcoming survive statistics reco urban quarterback abilities
+cuando quando academic asks mainten spanish commitment acknow rally captured teeth allegedly electronic regional veloc myth ocean miller trem bottle
+directed extract institution vice creates clock ships kevin activists arizona abortion void crim explicit engaged numer rating alles apartment estate
+constitution stephen immigrants robot soup targeted stead чтобы informed neighb communicate driven elimin regularly basket frequency emphas principle
+stun roman alert democracy represented capture layers advoc announcement decor lear refugees resol recognized flip hadn pilot surgery chop returning
+trail routine wanting courts friendly horiz italy staying grateful impressive remark afghanistan technologies nick shoulder rose southern outcome
+elsewhere invent retire pounds communications mundo loan precis ratio align empire knife fool promised invite circumst operate dough jordan bite neut
+lecture warrant lawsuit reviews ford verse featured zijn poverty laid mirror creatures estim atmosphere royal brad tables scenes valuable taylor tone
+audi carl wilson mistakes entr если blame shout putin respectively fifth пред governor grass purchased hack intense было vector hungry parall tied
+vídeo destruction occup doors legend accord graduate intel fulf flowers uniform crypt texture nada recon celebrate adopted pill scores italian perman
+indicated recover holes pacific personnel rapp machines entering jersey punch complaint matrix exhib steven speaker meters squad stable keys damn
+poder ital relief manif module participate говор muscle woll consent continuing vulner guardian rear provision croch meetings sheet auto naturally
+programming proved stab caption breakfast newly greek twist deux passes guest armor inches linear tempor tracks просто lists alter prepar eastern dash
+fought scope blank aggressive assim rarely behalf sequence controversial worker colour mainly cham organized concluded chances configuration coordin
+withdraw brian subm tries delta samples golden oppon photograph parliament contest letting signing exit sleeping pizza racial reuters sword romney
+trib protocol miami tous shipping amendment howard vraiment happiness princess anth prze surveillance honey winner unusual brows shirt ties practical
+upset province priority describes branch hanging turk fighters detroit voltage entreprene judgment ghost neutral sagen palestinian forma hollywood
+summ claiming genetic topics upgrade developer mini josh disney goodness barely framework illness patch menschen dallas protests elle pulling wing
+render cada greg bast focusing threatened roof fred nood advertising improvements друг errors assemb sensitive navy museum exclusive sque structures
+stored academy brothers temporary için tickets possess scratch contracts emotions captain enorm spain equally rejected transaction henry probability
+impl provisions faut gained directory illust lying raising console memories uncertain measured viewers plain innovation seats dict estimate
+contributed episodes formula terrorism movements spray suffer mainstream ques wedding wolf franchise demands pepper agenda febru dozen clinical gate
+visited actor approxim concert contribute juice dynamic premium bang irish assigned scholars crying worldwide narrative checking relation covers mars
+shadow steal orient replied ultimate titles uncom hyper officially difficulty encounter resulted viet barack restrictions arts maps cruz electricity
+flower cameras violation usage permit tego chron stack thrown alien dust kent rick dying pace moist poison discipl tower formal languages genuine algo
+procedure foods trained crucial setup champion wherever unter writers connections rand tastes achieved checks privile assistant territ bother borrow
+personality gains commonly coup rely oregon bathroom vulnerable shopping tony occurs может vessel brill scotland discrimination subsequent tremend
+fantasy aller marks ordinary representative petition adventure engagement ignore philadelphia factory tasks depression estar annoy eligible reducing
+natürlich striking philosophy prayer moore avenue incorpor ruled scenario beaucoup nasa debut ears absence falls chairman therm diversity rapidly
+substantial edges santa lessons minnesota assessment temps bron thumbs budd zealand brut hardly hitting transactions hearts screens submitted domin
+strikes zoom które senator disorder locked picking emissions hong filming shortly rival seed calculate reaching когда jason segu stations arrive
+applies congr anger grande healthcare aimed можно awareness regulation jury squared airport sections prince dancing spark veter menos importantly
+replacement emotion lowest vlog minds puede involves procedures bills cleaning figured improvement expectations aggress intellectual correctly stir
+balt barrel static врем parallel dare handling beings journalists comic stro excuse alpha surf hunter pocket beliefs kita brew medal tempo displayed
+fiscal moscow tension kong stim aver kelly weiter requirement entitled elite glue fits boxes heading copies losses steam trop reporter superior только
+birds therapy chic peak müssen perce responses confused consideration accomplish casa loyal influen instant bone extend convicted strategies founder
+bardzo latin stom substance magaz minority explan manufacturing attended corn circuit equival guarantee dieser exha headed loose logic nurs proven
+admit attrib investigate mesmo requested behaviour crop reader здесь oven roles implemented puis serves templ cited variables overwhel repair critics
+myst producing fluid rounds submit vital anxiety password publication prominent speaks tong bars spicy smoking tons indicates polls secondary monster
+ownership saya paste null musical thro garlic galaxy oxygen corruption shel hint stayed greatly lapt begun invited anton confir embarrass maintenance
+dozens dive humanity alabama gathered работ attacking seeds wisconsin saint baseball contributions piano literature authent container explos fallen
+websites breast veteran channels interviews banned philosop bits concerning expenses frag doch matthew columbia entity keine reliable christians meter
+beef opinions compete manip sono thorough employed horrible establishment lawyers cooked efficiency mood disaster velocity ages oblig casual enabled
+applying emerged cabin ridic childhood registration algorithm roster interaction kidding transportation tomato attempting defence thumb rush scan
+atlanta answered categories conclud rational struggling graphics grounds vegetables distributed momento sanctions introduction founded mario loving
+wages addresses boom iowa attitude dirty collaboration discovery supplies vais gran recru convinced objective tudo suppl crochet downtown phenomen
+embr survival settlement zeit rooms xbox dont ethnic maintained breaks easter recognition addressed kansas drama whereas papers importante ministry
+waves acquired arrange duration vertical burning heel folder illinois knee goddess performing rolling welfare enhance notion cannabis diego manchester
+covering citizen phones studied raid ignored segment modified apolog platforms suggesting clothing austin получ damit stages architecture phrase inher
+providers silence demonstrated races toil sink historic proc viewed accessible intervention speakers periods sarah diverse reverse landing muscles
+protesters salary negoti pennsylvania mayor vidé riding featuring sempre footage servers fond finance closing etwas breathing firms fois lighting
+threw obst leur vegas swing spoken loaded nicely phoenix verb throwing firing animation tracking width monthly resc hired coisa allen trabaj turkish
+creep dates basketball arabia assumed quot affairs applaud expecting populations conver complaints purple exem scoring mining landscape visitors
+damaged characteristics stomach caso pent flags execution expans kilomet testimony gust nintendo agric kernel overwhelming aged applicable petit roads
+commands manual offices receiver entertainment viele congratulations reads employer involvement wirklich clicking logo democrat stats conserv
+constitutional referring tackle backed traveling principal defeated sake mouse seemingly jenn gene discount theta clubs ampl marsh administr healing
+tipo marry ranks collapse opens bacter echo oldu soph physically racist enormous pier comprehensive farmers congrat proportion designs negotiations
+virtually batman slides warn legitimate convention consistently compensation heute punishment voices balls bureau guests philipp ross algun thunder
+counts educational mucho drew touched trials preferred signature parameters retired bytes regul suspected capabilities failing heroes appointed divide
+agora expanded monitoring coalition convin concentration stolen stops concrete holiday lgbt beta warming anderson prend producer accuracy marvel
+patrick biden membership transformation removal courage dave että solely guidelines recall buttons suspended premier anthony canal abandoned criter
+horror który tenemos campaigns tube değil albert stamp infl ahora formation discussions mixture criteria enjoying installation publisher rescue
+assembly distract alexander alors deserve observ visiting rural tact bump loans deix harris fate worship suck applause ladies strategic diseases forum
+illeg headquarters sang releases disabled partnership unexpected node unclear boring passage improving reveals decrease impression editing cyber
+encouraged particles conspiracy pessoas operator skip handful classified dramatic investigators hace widespread checked collective journalist smells
+actors temperatures inspect missile grace ratings universal pharm disrupt esper walker wheels deny kommt provider tremendous espe massachusetts unus
+fails guidance waters ease scar contents contribution manifest handed shame outcomes stability preparing weigh fiction tiss consciousness stake lewis
+pants demonstrate melt profits votre battles drives sony lawmakers protecting lamb representing straw imper utah incidents laura innocent initiative
+spots conventional corporations lips blocked encore refers buck shower underlying bass investigating dimension pregnancy touchdown caller fears
+extraord remarks deriv experiments judges participation weekly grat pitt indiana narrator infection cosa settled strip dump vend argu references
+acceler nail alliance encont cleveland fishing ranked temple keyboard stadium deadly desde breathe documentation compos greece sensor gross newsp
+arrival bund desert drum supplement pork margin intake facil organic searching dialogue functional baltimore desired drove utility font mountains amid
+decir spells civilians entrance сейчас distur controversy contrary eles packages shoulders fancy progressive brilliant reserved inspiration samsung
+printed centers questo tang kennedy odds contr surely independence advis passengers espn shake identical representation iraqi prost axis pregnant
+theore benefic signals density dice nominee maar permitted oklahoma authorized dumb alarm crush generations edward controller сдел approached tanto
+weakness ramp buddy fascinating homeless челов bernie notre marx calculated alleg devil quit herr occasionally bullet están girlfriend promises teng
+cancel corporation terrorists utter canad abroad которые estamos dich drops concepts equality burden ceremony olymp fighter nost euch bags elder conce
+ontario disag harassment anticip fried missions monde resolve combine followers recommendations silent timing prisoners kings trim approaches eigen
+precisely coron funded kadar psychological mile tears leon pause barb usted denn wider atlantic overcome rome noodles pleased pointing inflation nuts
+jess requiring donde qualified andere bones sizes corrupt celeb moder omega actively fortun deputy transgender deuts summary briefly vocês heal chef
+savings legacy uncomfortable denver etern wounded pursue afterwards semi daha dual knees elizabeth centuries evident 있습니다 sist unemployment biological
+memor soldier będzie bias dating mice país energ rocket certificate iranian extraordinary grid sweden tissue racism mystery examine stem sits hiding
+hoped chronic tongue pays portland theater scandal carries прав phenomenon filling retirement biss duties blend dose implic scroll interior
+championship poco reddit coin overs posting bold molec deemed physics neat stepped synth voter majesty moderate maryland gens restricted ought roots
+export drunk wise desper frequent interpretation dependent coins diagram justin fatal tens coat confusion acknowledge custody morgan voir favourite
+restaurants acknowledged fert ther genes tactics compass mexican noting cameron inject targeting wisdom credits forgive demo representatives climb
+legislative removing tweeted carter forcing laptop spir males vietnam molt contra jerusalem sant belt emperor этого compreh slot athletes этом termin
+lobby bisschen hasta lifetime cognitive consists equity festival dele magical pose mein ruby councill imposed immune analyt lean quad expense
+acceptable equipped tort computers dutch merc roberts disappear glasses dishes spawn minimal abst rook vancouver resign affordable doub gary arena
+stays implications maintaining guards insane derived executed innoc mant theories outer quoted andre discussing convenient avoir shapes spectrum gray
+dentro recruit macht monsters destination attractive foss presents tune reply сказ delight tuned affects leaf donations choosing beast regret
+investigations hunting torn sessions portray comedy marine predicted todas horizont remarkable eliminate bind cual advocates writ gaza charity caps
+onion babies fleet difer designated integrated delayed eigentlich pride loading template appearances webinar translation meine beneath pued
+instruction perceived examined microphone eager igual coaches produces continuous hire blade suitable duke relate cara bruce considerable diesem
+forecast investing ballot instantly integration pencil picks rocks civilian cooperation meaningful walks investments wszyst legally wound threatening
+dismissed sour ecos harvard myster refuse antes managing connecting professionals böyle universities anniversary genre complain transit hurry restore
+explaining asset transferred burst gibi larg meets insisted needle surrounded asleep comun lane existed perception satellite infant rect meanwhile
+hurts tobacco flesh pues beating cheering gathering jonathan badly empower contacted einmal ridiculous token functionality limitations disability meth
+subscribers veterans irgend trends directions clark separated mold relating activist explosion cats insight astron counterpart anderen tennessee simon
+toler overseas rings toilet displays experiencing slip hospitals sandwich streaming berlin femin castle interrupt nowhere conversion bugs accus jean
+dean gameplay warren highlights nato touching demanding luke awarded regulatory hart wurde pixel automatic khan pense python sexually даже bedroom
+desktop antonio posit manufacturers premi cant conviction satisfied programme publ bend threshold serial awful employers jumping brands lleg
+sustainable candy landed producers pipe cock dominant momentum fights corp wollen toxic chel telephone darkness pant mysterious outfit engaging
+witnesses questioned brexit quantity cort endorse scientist того underground hosts grants erst summon annoying suspension guaranteed ecosystem sean
+żeby shin referendum fled trash shocked partly transmission человек homosexual matth boards incorrect bacteria sehen snap availability priest span
+convince safely converted olympic practicing reserve прод chill inherent lemon flexible graham pipeline distingu charlie cave consensus eben rewards
+html regist popularity charging integrity whoever exclusively drill torture burned administrative yarn manufacturer engineer isolated backup wings
+promoting trauma commander reprodu chip flee passionate russell awkward forgotten missouri không residence wand wealthy años rifle expanding hamilton
+dipl receives furn prize хорош associate mild observe propaganda anonymous gifts struggled outrage beijing leather nouve boyfriend worlds broader
+cetera nive tear proposals iter surve borders sondern shade lugar simultaneously urged gordon documentary mejor thompson comprom tanks dirt
+outstanding volunteers trap managers teas camps artificial compatible argues unfair offset этот быть disappointed insan viewing towns rolled sacrifice
+jumped buried constra sixth antib mechanisms tasty congressional controvers agreements lighter closest cott notification mush scholar pist racing
+singer cheaper unex integral violations anna beck chips anche dick composition thor sisters smartphone defending alla jeremy banking rubber respective
+compens drinks bands vibr liverpool grip impacts openly arrow reviewed verify cole della wales mathemat shelter imperial koll grac suggestions slave
+blockchain competing promising lado soccer tokyo unlock accompanied identification invasion industries shorter subtle tener survived flaw deficit
+stabil yani arguing downt contemporary vocal vidéo spokesperson emerging gentlemen preparation jahr suspects dealt impressed pear steady tooth
+decreased yard gradually toda barn portfol calendar compliance chamber belly passenger painful sydney defect gleich packed amend gods harsh mate
+accommod visits kentucky quoi killer lifestyle divine minha nomination engines trailer kommen buffer councillor phill radiation tricks couples
+politically skull bloom ancest sentenced disk optional tire sais corresponding prés scottish hitler recovered avez designer disorders expertise tiempo
+chaos silly carrier routes jacket javascript trav unions federation cogn tesla completion equations privilege neur thirty titled painted prosecutors
+vess rhythm ainda bulk poster était attending licensed potatoes blast titan flame profound bucks participating anime masks regarded sons crown
+experimental dungeon comply seized constructed settle avait hosted dois georgia islands divor blocking pretend besides neighbors sweat horm
+recommendation uber occupied aims grocer dramatically substant semester engineers ours earnings который grams stance dropping exercises dressed swear
+incent justify prompted neces speeds giants hors describing overse harvest entities потому inquiry otro pressed перв raises glory netflix amongst
+assuming waren significance toujours remembered frankly nevada warriors würde jane terminal bitch naked gulf azure bueno desperate presidency accent
+handled mixing disappeared swimming determination eliz capitalism fare satell bombs schedul aaron zwei exhaust ritual beans chelsea pound promotion
+ward toss atom francis personas reminds strengthen déjà murray bran kicked drone może preventing recy retro cruel время float filing greet styles
+builds epic alum stew outs trabal preserve mechanical wright интер occasional interactions owns frames hockey goodbye logical cher griff stopping
+mushroom operated tant reaches tatto delete pollution brooklyn sevent baking hash gravity dieses intensity alan hebben liability gerade neighbour
+fires technically revolutionary orleans dawn carb execute electrical fruits fais nazi eaten vaccines pelo pressing bail workout nope demanded sans
+backing possibilities mothers pend variation zaman grave interviewed persona rookie peaceful seal diver victoria lyrics stating instruments lung
+clouds criticized europ fran backwards robin detected shine adjusted bubble opposing reactions conflicts matching cosas trek долж executives exemple
+liberty resil talented podemos surprisingly females oakland embed robust retain ugly cord deployed andy тоже lisa michel partially tends comey gesagt
+documented нужно brutal marisha enroll theft query lincoln sabe publishing wore notable codes blah residential mortality nutr gorgeous occasions
+gemacht recalled taiwan shops outra cous obamacare brack economics cares examination midfield layout floating travis lightning conservatives surviv
+sketch tempt coloc emphasis apologize metro merch motivation yemen environments seam drain reflects analyst households ster navigate reforms blessed
+deadline earning nights invalid delhi particle wireless hostile ally tier outlets abstract polar adviser kenn bases slic certific courtesy crossing
+cleared explo refugee throws disagree reflected próxim singapore daar raven embrace chen appointment placing throat investigated problema photographs
+evolved stroke encouraging precious prosecution corners fossil tricky diabetes firearms propag accepting crap resort hunt sustained crossed attributes
+rotation damages lever spoon adams dism victor mounted больш confirmation mismo spider processor pentagon realistic authentic robinson appearing
+analyze evaluation interess halt intelligent duck tweets withd worn rebels saber netherlands overview acquisition frozen adverse organisation prose
+harper collecting adoption circul sticks eller dorm patent quietly laser genau preview tienen horn meditation peer mindset unto reson attracted
+vielleicht worthy chemistry preference indians freely ense lineup controlling ranking highway binding cheer struggles pittsburgh portfolio comics
+estos kommer relatives fright probe wrest corps primer qualify testim compassion libraries migrants entries salad consecutive solving inequality perd
+traits sculpt enthus missiles essence sends chains wishes christopher jacob advocate districts flexibility reagan influenced screaming challenged
+entrepreneurs acquire insect prev тебя poke tale thereby snake brave strongest alloc kills finishing esca reduces orientation sams trace loads oppose
+però moet murdered expon montreal adequate lamp poland sheriff magnetic operators modes discipline oral palestinians hence ranging distant hydrogen
+deutsch wrapped chemicals soit indirect consegu gallery consequence untuk countless alaska departure refund anch seeks mechanics alike resolved stere
+cache maria distinction exploring transparent modest criminals jung grup indication darker encountered doug ideology jimmy mane hiring tutaj crystal
+horizontal penalties capability vine productive siempre balanced naar playoffs gill backs sigma absurd citing trillion obligation alumin nelson
+multipl shoe wallet releasing edited accomplished númer planes feeding puzzle disclosure grain dimensions reasonably partial graphic vegan cómo
+unprecedented advised assad vacation fixes meals caution ents strings panels cheek leak pricing больше saints observations prophet suggestion woke
+ukrainian barrier diesen boundary compound bears flows luxury orbit heck marc exempt fiber hans jerry bust golf lately wiki endless obser easiest vlad
+revenues cocon furniture casting diplomatic intro innovative bonds coaching modules patriots roast enhanced jeden proceedings teammates compromise
+flew reflection creativity unnecessary doctrine orlando playoff виде beaten vezes placement slee newsletter timeline ipad acted imagination decks
+deleted constru secrets asylum cultures belongs geomet mana difficulties foam bankrupt composed militants mormon stocks diye bart multiply admin
+creator grabbed unser rated grasp excessive treasure accum whit inventory billions venture defender nombre assumption coinc franch entonces inevitable
+nichts structural beneficial cheers compelling determining juste hammer rhetoric boundaries quantum whites fridge quem trips addiction powered dazu
+recipes russians buzz anytime capitol circles conclusions solved coronavirus pope bubb reset contempor decides commissioner screws hybrid legendary
+tunnel insult selbst columb troll bucket detention evaluate chrome idol prospects reputation hecho performances achievement poem projected awards
+batteries blake gently pending instinct sixt developments parameter ikke philippines altogether jahren oldest detection laughter molecules wayne
+donors dakota moins excit motivated invested purchases louisiana globe departments horses clips prevented dominated rotate complexity richtig incl
+xiao ensuring naught realm heißt speculation plates resid devoted slaves onions compat quotes ceiling intim fraction slice advantages immun grows
+stunning similarly hardest texts measurement trains sneak temporarily overnight outro treasury mega expects acceptance mercy radar junior curric
+observation confusing sentences analysts stitches vague clause gost czas directors catal cabinet liam researcher eyel poorly näch infinity manhattan
+freed listened themes pole praise libya trusted cease coop bombing friendship migration tylko sciences chap municipal revealing gehen uncertainty
+battlefield listing persist waited spotted handy lone symp rows slavery nutri creek sistema wooden arthur counting supposedly winds надо analyses
+alternate consumed effectiveness pert paths après enables escaped smiled acab tendency fitness impose pension snack diamond harmful pasta printing
+hatte colleg tragedy reign invis mutual också replacing sesi toll addressing один harr medicaid marshall shark boil divorce slower parker refr panic
+quarters treating rats christianity sacred много declare rien delivering ejemplo larry meta integrate roger header disabilities trapped knocked
+triangle oxford survivors demonstration zomb assists bere hood judicial secured cups hosting lifted weiß crunch diagnosis measuring stewart nationwide
+obligations mandatory suspicious mortgage прив prosecutor editorial processed focuses startup breach bizarre retreat hawaii handsome productivity
+absent пров identifying kein promoted inbox notifications branches inclusive answering mods nowadays spirits bolt riders avant occupation fifty nodes
+hatred anyways sophisticated defended такой thoroughly hoje medicare blamed seja sticking donation insist eagles substantially grey keen stairs
+conclude shaped mississippi parad studios rangers commons laughed clever leute treatments obesity elderly complained день epid explosive gesch arsenal
+clay annually bored buddh slope surge craig schön colleague kirk scenarios competitors falar dried stanford rope separately habits workshop estud
+measurements accompany plugin reminder coconut convey approaching arrangement affecting barriers permits useless destroying inqu aven electoral tinha
+transparency volunteer graduates statistical activated squeeze hampshire lawrence romantic anos infer operational evans witnessed clue launching
+assured binary lambda dong exploration admission avoided thankful hawai simulator celebrated activate cluster nash qued cloth spare enterprise wichtig
+flights otra curios regards empres trucks contacts immense patrol была beside whis repet viable ficar triggered comparable sobie gaining prosper
+polling shar firearm penal fence variations pledge cure violated cookies rushed pale collins canadians frage laboratory verdad graduated devot traded
+warrior franklin sexy strain anne swedish seventh benn melhor indu syndrome wondered awak cube journalism rebel parl classical queens dwell dafür
+playstation operates toys excitement glaube longest deserves derivative reserves cops ottawa tali cotton egyptian confer hypothesis columns purchasing
+nunca indo strictly beispiel questioning taxpayers rolls airpl ports infinite bottles taliesin devastating compiled medication pokemon twelve perry
+leaked translate unity infected sonra traveled jealous mcdonald bearing moisture sins zones benim wounds succeeded iconic screening ministers perf
+separation beloved tablet offence washing ninja protective cass cuba chronicle fastest stanley enters comparing organize halloween purely safer
+nosotros potter attributed photography blessing bitter robots fulfill prevention dengan belo thou influential depois forums starter citizenship
+accusations digest sensitivity tires peel summit agricultural estas firmly simult invention translated kilometers partir manera mccain bros pouco beim
+essay legends subsequ ammunition frau shooter supplied generic trave climbing warri grund indones frustration scra terry curs neighborhoods median
+brains minut draws altered gegen skilled behaviors shrim declaration devast feminist kyle weld accounting echt flowing rehab meantime physician
+campbell leverage brandon correl contributing interactive tengo helmet shipped brake completing craw spreading случ accurately acute beth nurse
+symbols civilization unemploy considers genius venue aujourd peoples baker letz bundes todd hills incom liver agrees fisher auction societ threads
+lacking worden celebration intens przez singh rage phantom headlines bent responding vitamin boots viral wipe stones churches dece murphy denial
+makers ronald amen generous morris fortunate transformed kickstarter arrives sacrific rental attorneys crops disg matched buyers gaan cambridge upside
+ethics parece justified marginal charl respected serge warner attitudes chord qualities anticipated pronoun barry computing dank garbage lesser peers
+musik submission respondents euros orchest receipt agriculture refriger jeszcze passive societies reminded interference scrutiny witch conducting
+funcion exchanges kinder mitchell banana diameter jokes benjamin workforce guarante lions equilib highlighted arkansas suite deliber pile felony
+practically actress sheep visa embedded vacuum earliest coord sooner steep exploit symm ultra właśnie necessity dated lonely masses rachel
+subscription temos presumably philip acho extends forming blur unders insulin recre secular electrons whilst spiel winners beam deliberately idiot
+hypothes mandate gram ihre warnings commentary sieht aest sonic reasoning tenho breakdown digit undergrad zombie thrust disconnect technological
+deciding curriculum trafficking perché swift repeal entrepreneur modi theoret diagnosed insights zusammen jihad grandmother calories humor flynn chuck
+punto deposit rede affair colored virtue satisfaction expectation switzerland creo shook counties unsere charlotte transcript redd alternatives вообще
+expressions nosso shocking reds jennifer planets collapsed madrid были vont accidentally frustrated rehe chick huff kont labels berkeley комп jets
+pairs bisa magnitude aging mason onde diffé emerge garage newspapers ambitious tran richards grocery exhibition pursuit consistency scripts
+arrangements cookie loses jake durante understands approve intend supportive believing toutes taxpayer mature quebec swiss sido realmente quelque
+counted damaging ambassador arrests eleg juga prescribed independently fierce sticky stressed mentor suits baseline invented melbourne reun arriving
+inevit polít funeral combo deployment guer choses invisible rendering unlocked vladimir wang kurdish eternal sounded detained interf daughters
+disturbing unfortunate attendance parks memorial alice instances mình shan philosoph shifted passe pivot prototype communist jamais coment tyler
+participated vessels dispar tribe assumptions honored crude wäre inclusion advances coisas conservation buffalo möchte madison stimul activation
+homework unconscious satan susan arranged revers rumors soap dessert keith avoiding começ guilt hogy apro olympics sail columbus vibe harvey mentally
+summar ubuntu freaking superman intentions pinch likelihood wszystk mindful watson noises urge occurring twin voilà chore politician refresh relaxed
+troubles pilots distribute audit algorithms rivals bastante crashed advant tract shed consume тебе condemned miracle excluded establishing compact
+heritage spectacular toes designing snowden protections vaccinated macro basics functioning ethical ignor governing ferguson angles restored
+permanently pueden creepy severely nutrition triple arise compute newer lair adjustment nuestro gamers historically analog longtime prescription
+shadows klar maine deity usar capitalist güzel blacks danny harmon animated ingredient grandfather rendered streak psychology frost welt suspicion
+estão nvidia vulnerability compress isolation cooling barcelona cocaine mutation rack entit dread outdoor yourselves sheer deutschland
+responsibilities prevents truc stiff athletic abund było companion earthqu packs knights fart maintenant streams pela shore appeals steering electro
+patience statue inspection karen tales sensors stein lion peux withdrawal objectives bloody priorit lazy preliminary costume thickness brasil wreck
+doubled affili norway feared veut pouvoir arguably ncaa attacker eliminated lucas paintings brady pean blues cust aconte delegates colleges spite
+assessed laying lease confidential manning sealed этой teenager mock switched resume nonsense puerto lanes palest contre palace variant arbit
+wikipedia exceptional michelle cents manages copper exports gospel clinic elevated monetary malaysia toute strand biology praised número volumes
+nonprofit nucle objet chor descend ginger advocacy dabei finn priorities gloves rogers substitute jefferson lightly portal shifts drones workplace
+preferences debates displ helicopter mettre honour municip considerably spat accessibility condemn apare tender turner karl oliver traditions
+advertisement archive sera villages dots implementing dietary gaps switching интерес emily financing interval lasted precision wrist designers olduğ
+tragic initiatives joins него sometime deus generating searches randomly batch jazz posed pursuing blowing senators johnny thermal taliban rubio
+ignoring tattoo autre refusing heating labeled pleasant поним exclus triumph aboard zurück folk chase hora lite teens terrain abused более supporter
+tampa newest admits ende pine failures nico continent accommodate проб alberta yoga marie revised filmed minorities fork tomatoes rosen proteins
+aggression facilitate illegally audiences noble poetry behave origins doen verdict sentiment tuning wildlife anxious burg piss convenience tych
+warfare martial argent incoming intermedi tolerance assignment souls foul limiting lore acknowled adventures synd varied probl verdade expose hacking
+magnet educated figuring incentive oversight shelf tribes belgium organis licensing artic specialist corbyn hips overlook inappropriate downloaded
+intersection demonstrates bloomberg marker oscar celebrating glucose certified humanitarian prayers renewable rust distinguish revel dense recept
+editors peters конечно arctic cape locally lasting después tensions formerly valve dealers woods cultiv defines proceeds proxy bash podr sheets weit
+hind theatre chapters dign destro imagined occas holder daddy restart hamas disclose straightforward immigrant treaty legion meng crowds especial
+rushing toast douglas mentions fortune investor след caring masters associations valor analytics provincial walter unlimited ebola revenge outright
+fitting públic formally nails problematic hazard spine encryption hemos leben loyalty welcomed себя misleading shaking shifting institutional donated
+nursing exhibit introducing muhammad mobility varying hydro scrap cela enabling socialist billy cargo conhe farms midnight sponsored charts quiz
+adjacent halfway algum manga midst legislature neil testament tourists vale behavi nevertheless conna drafted substances breed tags sana manufactured
+ange polish determines utterly sect condu gates aluminum satisfy elaborate indigenous spencer prey ruin installing всего boun kerry wires amor desires
+autism gamma micros hurricane использ cycles monet jahre deaf maker betray mistaken whatsoever sells undert cooler jessica sectors sophistic chili
+trademark presenting assembled molecule saves видео conqu vermont farming voll knit bullets membr dari maintains acres shrimp coordinator прот
+counterparts chunk praying accordingly перед equilibrium germans ranges absorb holland plasma swap athlete inspire rams infections spinning patches
+facial traditionally revelation nest sweep glance graduation lynch impacted aunt reid correlation repository reed tactical compt quinn estava raped
+scal fame delays raiders coordinate whistle novels publications commerce aston roth dynamics continuously parade cincinnati gerne patreon waist
+staring alias кажд mitig securities jedi weiss memo retailers dangers eyebr voluntary interpreted careers ohne saud threaten bradley pulls stranger
+quindi bernard theoretical holidays ware flames misunder bout defining dimin ordering inputs persistent bild subsidies adequ dignity cartoon towel
+differential scales surveys indonesia artwork gentleman unch cycling affirm sagt innings aliens grandma predictions aftermath assez dort miner clarity
+pronounced creators enhan earthquake sequel reception sequences prod delivers blown estoy lifting greenhouse yapt rober tokens teenage sued haber vest
+forty offseason nossa riot defenders automated deleg крас standpoint appreciated disad doses costly được wrestling trophy dissol nerve pledged
+playback attackers radius holders sucks transfers люди palette hindu drown tema appealing contrad disclosed maior navigation photographer applauding
+rider conoc vikings announcing rogue inspiring renewed dispos organisations compounds tres mobil bounce brussels guild averaged lengthy người dealer
+recession desperately carr hunger intentionally debris leap containers professors commented seine roller denmark determin searched freeze hebrew
+relies catching takie dere imprisonment pockets closure είναι recruiting argentina olive modeling lacks overl griffin inflam infamous celebrity
+credibility awake economies filters headline cowboys incentives resigned прин profiles schemes smiling yahoo jewel wished marco sphere statist bishop
+incorporated irre hated prohib donate lined traged trava stealing mall intact tray adapted irrit kans travelling bikes broncos intimate resur optimal
+upgrades consol extending complic inability helicop organs depuis chan outlet scissors expressing licenses muchas mitt niin emphasize milwaukee
+constitu unfold founding incorporate educate undermine czech после gent mack sexuality amer nixon surfaces utilize carriers loops frustrating boats
+glob abraham ajud suited venezuela evolutionary negotiate abyss barbara belonging villain accountable massage portions cleaned kate magazines regulate
+loot righteous fitz relates characteristic appet rico snacks pris trait adaptation airlines transparen literary verte influences lassen plea филь pond
+demographic scholarship vigil spouse seahawks minist rises penet potent sparked messy bryant nexus calculations sponsor cancelled grin integ bark
+territories ammo carson albums cousin boiling pistol beers chrom firefox perpet spacecraft prevalence economists intuit nord willingness bean
+complement scattered gradient inmates bleeding denomin queue melee personnes compliment packaging lebanon quicker punished cried juan canvas mapping
+exclud vanilla watches enzy leagues initiated headphones recalls akan compe wizard möglich spends bubbles neurons buses adjustments elabor washed
+flavors zion existe dennis prest thema concer rankings això surrender multiplayer heroin знаю meer optimistic indicator stole organizing encounters
+wissen christie fier radi persu worries nearest achieving alumni ellos richmond hispanic thailand injection vegetable teil overhead sustainability
+steht violate brid heated descriptions achievements pessoa eighth metrics specialized abbott reck buddha immunity surviving bees lastly merit outline
+koch veux ignorance subtract basement şimdi foster pins burger neural molto proves había invitation bacon cattle bicycle consultant apology tiger
+individually recess brazilian disturb schl parler forests otros acids bald elementary donor tribal applicants torque salaries stain misconduct vere
+marcus beats favorable faithful seit electronics reserv extr tenure sincere progression upstairs denying hein distress мест assass colonial circular
+privately unrest premises licence colours samuel convincing delle netanyahu grill handles hackers customs exemplo manuscript chopped offenders
+vaccination nightmare specify será enthusiasm messed wheat correction paar comer couch icons fathers regulated cohen bobby beautifully algu wallace
+murders öyle commonwealth cleaner nasty genuinely saus fines geld gorge olur questa disappointing cage doubts veel vendors collaborative liberals
+contractor regulators bake locals lectures physicians behavioral prendre brick collaps reviewing simulation committing atomic pere также preserved
+prisoner bankruptcy gren czyli signatures musicians selecting examining quelques pets tablets logs mounting forb unaware unbelievable palestine
+collections gracias entend successor clone waar aiming possessed ничего стор locate fifteen grandes harrison europa valent bypass mast protects
+artistic beet modo shouted subscribed concentrated closet generator clearing printer dialog stephan fern poses więc slots leaks bosses newton себе
+austria sous mage teaches wears curse evolve declar iceland pinterest landlord pence grind surpass bicy superhero jumps priests definitive secretly
+fals locker kicks teenagers evet gabriel fever affiliate realizing edwards humble retained refusal butler claro accidents aggreg imported divisions
+receptor carlos redes malicious perspectives stepping viewer attraction pirate произ charter difí dining insists thats marketplace mycket inflamm
+endorsed immers homeland playlist rides traum flooding pops risen continually unnecess guided chile compr committees drei luther bennett людей coastal
+quiero hele stalin apples morph runner dubbed lobbying nuestra incomplete lind restriction bana apollo sync manipulation perquè spear breasts formats
+neue parliamentary embarrassed servants trudeau grim arabic llam almighty prospective teraz taxi pete tribute glenn internship guides dioxide bait
+gore fica sierra valued atoms pointer risky потом refuses bonuses rebuild collector philosophical sandy tribune factories catches skal prone reconst
+mann login notified какой publishers flies bracket favorites modification revol crashes harass cleans urging falcon inhabitants terrifying banner
+obsessed cigarettes modify senses söyle holmes liking phillips inhab medications fundamentally gratitude weaker manually outbreak economist obstacles
+orthodox angels discharge nasıl destructive dairy knot collision connects preced tigers variants browns хорошо trades remainder теперь strengths swept
+goed vicious reversed balloon shootings shiny smallest touchdowns eing affection overly seus sporting brooks steak performs ruined tightly demons pupp
+kend killings faction palm nova undoubtedly underway briefing cryst prediction portable overt contractors sensit chronicles tighten intimid proving
+aliment wives fairy proph consisting rehears veces verbal monument muchos tile compatibility mueller lethal hormone entertaining minimize undergo
+constraints cigarette islamist travels discl panthers autres lawsuits lowered seoul aerial nich combinations interven calculation quantities linking
+ustedes angela doct recipient elastic socket deer solidarity jako varies emma pakistani horizon portrait provinces aument airplane endorsement
+overtime jamie uploaded accounted действ packers готов lesbian amendments hopeful finland spotlight troubled finns gaze calgary poop duplic
+reliability dizer pixels acceleration conjunction bryan dominate oath buyer dissent illusion microw boeing cinema scare destiny jelly segments geben
+systematic soda dragged raus thee barrels comparisons inclus pictured multiplied classification disciples ning rejection dressing probable qaeda mosc
+imports blew personne luego upgraded jong relying profitable protagon slaughter feather vara haha flaws teaspoon crypto passport стар laund observers
+neglect brotherhood groß skeptical difícil emotionally frog kicking ladder всех lockdown unacceptable crowded medi morality fuels cables mankind
+caribbean ihnen anchor highness byte crafted peng historian embarrassing towers helm credentials singular jesse konuş tackles contempt urgent verses
+offline olar ersten irrelevant recip slash talents canon mamy backgrounds verizon coupled pendant fundraising inverse mathematical cardinals через
+digging sponsors bulls propose memorable embraced wasser declining spam pitcher airline refres certification parag sensation welcoming primera
+consultation touches hatch nathan faint instrumental socially planted joking discourse tournaments расск costa slept violating recreational diagon
+speeches mesh needing remembers credited cuban сегодня smartphones stark consulting feng heeft concealed happily accepts inspir rivers attain deposits
+notorious shaw weights epidemic nurses accessories governance surplus beard mech salvation domains hasht silicon partie intr smash cheat warranty
+dublin fácil switches orang sourced attachment espa fitted interpre unlawful authentication accountability besch albeit merkel disposal gauge crispy
+induced questionable glow herald clarify tracked autonomous encontrar tenant qatar pumpkin resistant storyt wells miners estaba misses disgusting
+efficiently transmitted globally montana visto communicating socks proces julian colocar shutdown gramm skeleton nebraska скор schw springs benchmark
+moses disse kath gesture horr oppression allem conscience diyor incidence mineral schnell spurs wasted multiplic extensions journ fragr offerings
+defenses vendor colin вопрос shah administrator tutorials nutrients tuition catalog coefficient hike reproductive drought noah provin olsun partition
+participant vier sweeping сторон lenses tranqu advers matchup credible könnte identities evenly reluctant assisted estou mnie pharmaceutical fuer fury
+mong treats steadily throne diferentes revision mines blanket clamp eagle fabulous ling parenthood pennsy meio rifles tourist pulse unveiled friction
+offshore holl optical pearl stared conspir farther coding miser nancy casualties смотр sullivan aster olarak hotels zhang considerations synthetic
+assaulted drake lagi blair hurting grief opted resignation youngest tomb aired bundle cruise deve illustrated proport tactic scarce sama affiliated
+automation sprint пока garcia olan junk cafe floors mama settlements mosque phenomenal finals stakeholders crushed unos mans sovereignty juris seller
+amateur consuming upgrad armour można intensive eliminating sunni aleppo advise halo vrai descent quanto simpler booth момент fist shotgun gaat
+robbery obscure transmit embassy militant generates launches administrators shaft finde freshman joel monkey brac duncan artif bore syrup
+disappointment chez upward desse cuenta dominance crab oracle escal lords première vincent encourages chasing premise holocaust acquis metric cylinder
+transported ancestors epsilon qualifying farmer mighty explanations fixing sovere declaring servant doom gast lightweight nitrogen complaining
+midfielder overhaul volunt hollow titans demonstrations crimson enrolled ting brett aide heels broadband projet marking chiefs intrig goldman ponto
+образ exploded guessing mccarthy greens millimeter motorcycle fract cholesterol dzie stair desirable segundo promotional shortage recruited infants
+aligned testosterone distinctive candle firmware backpack explored encry financially mushrooms fatigue chairs abnormal recordings colony networking
+stripped finest exhausted zach goth billionaire logged melody anders cricket armies uncovered rebounds nationally lover interacting slipped rapport
+veto besser slim denies distances presum literal vinegar distinguished religions accomp altar deze grades pressures sollte assassination birmingham
+sovereign travail conve depicted tibet hierarchy стран libert preseason peterson mensen worrying backers practition beds palmer contributor hearings
+corona urine enthusi zimmer возм logging thai concentrate walt crews sharply trabajo malware breeding molecular çalış linebacker sino eats geme
+compart symbolic diets concludes certainty tennis carpet strangers copied curry metres deliberate bolts lance genesis lange kush realise commence
+quarantine verified thicker zombies allez naval victories nonetheless negotiating bunu guarantees crust gambling presidents poured tory organizers
+ensures voit kindness massacre vatican chlor clan compromised ciud isaac interrupted twisted dragons mint kremlin puppy issuing inviting autonom
+depressed striker decis portugal fleeing stretched bist revelations alignment punt jared aplic blogs bapt clash unwanted scam tamam oscill convictions
+letzten circulation jungle backlash skate wade hobby receivers amigos explorer conjun partnerships nazis novo portrayed pouvez preoc stealth
+appreciation turb traject proposition realised allocated kits shining nesse uncommon resting mosul teles shareholders temp trails heavier satisfying
+confrontation outros delicate semin desen dull такое prisons elsa sampling напр absorbed vois premiere currencies accompanying kole cheating nashville
+fatty patri locks centered nether primeiro bluetooth mentioning naming petite corrected pensar genome cope rounded tourism przed unhappy collaborate
+litigation leurs motors dashboard wonders roosevelt oftentimes yields interim breakthrough aura sperm brewing strap runners cuer dian dysfunction
+exclusion estado nominated archer popping writings chim shallow kunnen thigh favored sunlight yelling glimpse mano historia harness outlook
+forgiveness indianapolis encrypted foundations hyun monitors года respir sacramento timely positioned série posters pref comed investigative plut cush
+rodriguez ringing feminism geometry advertis nigeria laden publicity commitments aggregate displaying côté respects restoration rever illustrate
+pickup raining phenomena salty companions typing spill tilt bridges прям insects norms tuck blows horrific discusses winn rooted bronze commodity
+libertarian forbidden mathematics critically madam chancellor eddie banning instructor complications posture bangladesh bandwidth colorful elbow parle
+neighbourhood passer condem fertil peculiar colomb imagery inclined astronaut cliff mediterranean salmon structured clicks prosperity miej pills
+finale rainbow backward nicole foolish recognizing глав abuses mitch abusive julia prohibition dessa ripped inherited inté bats flawed apenas imaging
+digits hungary distancing teachings protocols curt davon exemption mull yummy improves gamer margaret parked pillow marines seguir judged apartments
+offender pathway nuevo sore authorization delaware eines arbeit exclude sine repeating sudan belonged drawings glitter subway noon surt lakers sicher
+confirms recruitment homicide spoil jeffrey stephanie clarke gere gros norman verification packet shouting conclus ninth darauf neighboring eventual
+hilar probation romance partisan foreigners från recur testify powell addict enlight shells sara sigh yale сделать adorable patron bannon empathy
+tropical updating calcium competent accommodation hughes aesthetic twilight securing confined swords bile markers empez metabolic saga priced
+clearance drilling quero notices puzz thrilled guardians город camb odin conception baghdad absolut internationally tense wikileaks chooses phases
+combining volta mohammed chess curiosity pont timer ordinance accusing kiedy noticeable centres implies mills compression elevator chad delighted
+socialism occurrence fictional masc julie dimensional stimulus homosexuality unst seule cellular embar intriguing assure businessman ella lied trong
+avengers sung ankle graduating nationalist mons renov aggressively enrich hedge insec pipes blunt airl remotely anten tiles precisa rescued foremost
+coordination additions broth trio projections positively vectors nein practiced jeans starters intermediate interventions premature psychiatric indie
+cabe collar disruption rude ganze tommy burnt breitbart charm hadi messaging intuitive moss réal lauren unrelated chaque sized gdzie rodgers cared
+climbed consisted medieval hacked êtes hermione tidak legislators indictment истор critique abortions diferen presentations stunned advancing esses
+elegant conferences conform canceled diox hudson frequencies meteor avons malcolm learnt beij europeans sway tide intervals kidney habitat nome
+stevens triggers puedes textures cens liquor lily abundance microwave predictable primitive enjoyable которая mamm teammate kane honda scent
+overwhelmed crimin erdogan consolid responds eligibility pushes idaho orth ruins bans zwar melted utilities excel yankees databases displaced
+stimulation quan ravens associates arbitr repairs selfish marriages ballots hilarious jurisd ignorant всегда deceased musk nächsten merge projection
+leonard stressful metabol undergraduate cancell deserved phrases pedal yeast exagger reboot suburban atop connector allocation skept peque gott aides
+berry pirates lovers milit efficacy niveau toyota perfection cows seth clues poner levi vapor arkadaş threatens blizzard metaphor advisor
+cryptocurrency workshops metabolism burada detective recovering cortex foto prejudice storms machinery pads compelled despair doit spike margins snaps
+besoin sympathy peanut burns debts theresa основ reflecting weaknesses weighed mois router belg hints finishes unpre vintage посмотр wildly defic
+protagonist categor motive rockets послед organisms mascul bekommen paired ethereum internation artifacts competitor stove nicholas academ
+economically organised aquest enforced varieties bailey altitude чего essas twins traps weed делать recipients 안녕하세요 westminster pools blessings
+walmart obey flux heights raids satellites accompan lasts dame artillery sewing proximity enjoys shang processors gibson aids advisers agua
+methodology dale synchron contributors triang brass injust broker lengths savoir averaging exped appropriately ming trouve extremist finite mend
+refined наход confess minneapolis commissioned squares colts bothered registry darf maximize quran paradise rebecca différent starring antibiot latino
+suppliers brock serum ambition arrows jadi antenna senin railway harmony tougher someday broadway memphis famously tenn fortunately minutos simpson
+compte landmark cement viruses theaters geneva spice sentencing verl siblings northwest porn prolonged sakura bour olha inadequate roku baked kash
+username battling która cannon duas sensible lungs wicked camping similarities hover cycl hype shoots closes ridge secondly apost replies sogar reass
+zeus ashamed requesting controllers curves ensemble oils chand topped damp specifications internally kurt plugins blir gregory prima rabbit autor
+exceeded broadly extremists traces prostu regression bara siege reductions días removes livest puck jing promotions joshua égal expenditure brauchen
+bullying horas nobel glen scoop introduces surg viene krist neutrality investigator shelves smoothly unconstitutional pronounce reproduction flush
+merchant cambi explosives musician ashley sonia bodily gloss monitored martinez healthier visibility queries genocide corridor enrollment katie
+disastrous peek claire spices conn jeder obese puff bree blades optimization lawful appetite visually offspring rotating scaling curb lining
+genetically stretching cohort stall gluc merchandise imposing outreach impe offences snapped foes extensively membrane cater exhale recommends reli
+refrigerator rigid tian venez certificates buddhist ruler downward weer prints attribute colonies woah danish await advisory specification shirts
+große supplements biraz supervision поэтому drift inflammation tehran deixar freezing porter derek luis exterior optimize sage beni thrones finances
+luckily specially excerpt recognised dedi notebook durable customize personalities warehouse illustration atmospheric rewarded parf elephant
+bipartisan seite cone slowed census palestin gewoon originated catast reps lending sworn trois shuttle pione ralph hometown brighter combines vivid
+refreshing budgets phosph texans stehen blink dell unemployed clashes hoch acontece directing falcons damascus slices prank embark essere seize
+upwards exotic işte suburbs suffers herb assert fragile flooded laundry owed promotes retrie sodium correspondent tutti identifies втор coincidence
+therapist militia moreover pitching strips wizards fahr venus casey shorts sadly trunk admire sentido overd tubes merci queensland decisive pregunt
+clerk caffe vocabulary wiped imprisoned develops frente shields lawn zwischen cardiovascular demonstrating mijn israelis vielen väldigt glorious
+conditioning remot helpless harbor stakes surtout floyd nehmen apparatus utiliz counters ahmed slam eyebrows imminent oxid shred additionally edmonton
+armstrong depos commod kitty arose cakes endure keyword pourquoi contempl hopkins censorship prophe joints brakes castro niche significa debr
+kavanaugh overlap remarkably southeast validation pierre cautious fetch какие remedy clapping patents resilience subscribing forthcoming jewelry
+envelope rift bras onset repent strains tones denen tops randy aspir maple underwater vibration historians synthesis появ vibrant audition cooperate
+greeted vamp разв supervisor fuckin fusion mercedes überhaupt tours fifa greetings pleas backyard illustrates colombia hätte firstly highlighting
+exposing irony carroll subsid ellis adapter diplom corpse entender celebrities hose apocalypse rewarding hormones taki feeds defeating jogo steelers
+collectively mentality polymer downloads surroundings barnes flagship indicators yong athena disso sights capita qing música voiced expired unstable
+quests handler swallow versatile cracked relaxing dylan pokémon catholics tecn quien slammed glowing tissues такие besond irregular intentional
+conventions winston assassin vuel belgian slipp dependence gasoline skirt arnold những feud workload minors sunset downstairs capturing clinics troy
+fragments gitu interes passwords umbre panelists tenants coating darwin cherry vind adrian fonction vampire elimination utilized hunters swan verm
+freezer visitor grupo thanksgiving прог knocking kenya casino regain compost weekends semana stabbed exploited preparations evan plusieurs louisville
+verg alguns plots tiktok montgomery retailer kalau rebellion blonde retention syll therapeutic seas infantry clint stems gele thesis cubs evolving
+recognizes diving fertility unbox milan otras boxing evac gluten emir созд conceived romans lieutenant unchanged alguma crimea depths pasa unsafe
+mechanic cuerpo smoked slowing stub metropolitan discovering syst minerals perceive bing colonel seated earl именно inning smarter conj travelled
+simplicity overlooked alab overwhelmingly ellen flint jama turnout dolphins crafting direkt mercury слов corrid alerts queer gases linda richardson
+lowering screwed ayud startups labs parental exceeds jusqu idle ebay traders github baptist cite pitched kang trophies attendees wordt spatial prizes
+beads showcase ucla datas soundtrack hashtag limbs cores booked seung observing baron adobe будут merchants metals sticker sums envision mieux skyrim
+socio inhib selective hooked sirius ivan furious sunny responsive charitable drums leaning happier poet resolutions amanda portuguese nickname
+qualquer recognise strawberry entirety hatten seasonal spos telegraph сред grains waking undocumented comcast pouring jenkins lebih assessments
+funktion downs wasting manipulate superb simplify taxation smiles contam enthusiastic governmental kurz autonomy forehead prevalent nicotine awaiting
+deputies healed shanghai diesel inaccurate melting assange barcel elites pedest ranger hoff également amazed athens definite haciendo exams amber
+mailing crashing confederate reinfor juvenile yell reactor sausage deluxe meiner sanchez mead również policing tolerate biased göra privileged pyram
+beasts glas hats comeback stadt extinction ding doubles injustice recurs derni rarity counseling versch unused прош dost temporal systemic встр
+scanning wiel weighing astonishing gusta reynolds bonne opener jenny trainer surgical adjusting suspend unre obstacle planting liberties uranium
+henderson clutch theirs downloading hath screenshot allied perse persian monopoly redskins alfred vídeos signaling forwards keinen mattress reckless
+listeners vastly passar realities rode strive сказать coordinated shades gandhi проц shrink cough remem lend positioning slime alguna lottery canyon
+fade lors kenny boasts linkedin emergence akin transplant bert exchanged história reservoir decay brewery kidna terribly mortal msnbc gesetz
+submissions denominator ruth lett größ renowned terrified reste warns resemb permet unsure dictionary norwegian jailed kamu maternal bili lucy
+unsigned zelda insider tienes naruto pastor informal remembering problemas drastically jours thrive façon shakespeare franco fries finden founders
+brightness fazendo whale eleven tabs aurora skulle logan suiv paradox hurd onder irgendwie offended clap evaluating matthews payroll uniqu extraction
+revis supernatural cuid ideals dani liberation stuffed campaigning semb occupy archives três venues applauds turbo heter lust timothy obsession savage
+spont sliding tatsächlich bounds explicitly crore seria columnist herren seekers academics packing shen venir populated photoshop pigs oculus marathon
+discrimin seizure plac subsidiary judiciary mirrors trabalho tumor lloyd quart clearer hesitate souvent stereotypes flown disappearance kannst vince
+그러니까 grabs plutôt pedestrian summarize elliott metall morally antibiotics oklah freeman animations newcastle territorial donner munich pitches mits
+alzheimer succession miserable dedication terrific specialists defects theorem ambitions arabs preservation vemos resemble wenig entrar playable gears
+weinstein poisoning wordpress проблем ribbon назыв tortured balancing namely acquiring monte recap dock atlas benghazi podem tapped caffeine ramen
+austerity erste quasi paypal chol gifted scout cres negatively unserer accessing ambulance naprawdę snyder borrowed incon aviation diferente excus
+uniforms outdoors simmons rallies stuart unters gangs encl vault designation workflow constituents yogurt aprend commanders cualquier carrots
+catherine brace keywords drank peas paras tossed lopez último hablar relieved airports prosecut freak stickers owen firefighters muita covert
+contributes minecraft consoles göre delegation accelerate всем riley coordinates indoor hugely tard boiled tunnels fined directive seniors overweight
+traff slap sounding algunos locking dias plein crackdown passages thoughtful ballistic connectivity coleman admitting intest fairness papa pity
+supplier catastrophic helen wurden endangered unified прос suppression analyzing problème kilo squat chunks forbes jupiter palab erik bulb dental
+contamination caut clare damen feminists sleeve volatile impaired показ sigu yelled kiev pars situated annex primeira jill satur combust remastered
+wilderness guinea templates haul mainland punk handing próximo journals danielle reacted plum bargain grounded chew minions myanmar années expedition
+explode adhd contests nämlich persecution trinity specialty cooperative schul hulk celebrations conseguir klein unreal adopting contour splash falando
+hezbollah hallo myths особ mete rigorous observer además lenin slop unpredictable renewal прид postseason betting elevation crank solomon mumbai physi
+popped mystic dana excellence alto distracted oben welsh rugby respiratory denk primero rightly referee joão lucrative enqu resembles derby fakt
+pathways thumbna ceux endurance stint outta narc nationals whip learns megan detailing broadcasting hussein geographic judging juego stern peppers
+storyline cinco pave сист campuses millenn mutations captures compares hacia badge proudly withdrawn pierce scoot invers staffers activism fulfilled
+adoles neuen inherit opioid sixty moto ribs fram legalization perez буду infringement storing warrants judgement жизни outrageous tofu valentine
+relevance tamp français migrant cultivation herbs konk vern próp recruits apprent enthusiasts frightening owning dislike tapping apis knives loudly
+warmth gunman predomin saturn desar comedian believers diana paperwork cruelty falan dreaming tread gute imperfect clusters storytelling inauguration
+ukrain explosions проис mostrar princeton andrea earnest niger discour hears browsing trat exponential bargaining arcade trajectory delegate почему
+jacksonville sherman wides suburb converting arist chambers lebens amino moistur gesehen madness wolves cracks diagonal accidental permett malays
+unnamed gehört noun hostage gallons manus monica preach sorted traced undergoing sacks proportions warmer grabbing realization burke abundant лучше
+civic shattered vinyl ambul plaza frontier jays succ fala hopeless safari goin wary calib possessions grünen einz predators accelerated matte
+screenshots travelers ingen sensory fiat charming enjoyment coco compilation copying puedo exceeding tablespoons smashed swed anat conceptual arrib
+romania brent dancer confirming magnific eden engineered wahr kidnapped hacker jade cyclists goblin kimchi optimized staged información analogy
+mammals passiert relie winnipeg anticipate runway hawks survivor uncover crisp maya developmental тогда paradigm chaotic meme bacterial commits cosmic
+vain carved thief cites jemand edinburgh acknowledges aten hera crois oops unavailable heather nate simples slated chords grammar darüber headset
+cursor excluding manh kilogram ferrari karş polite ghosts staggering galactic panama heroic incumbent hannah düşün blogger messiah sellers medicines
+inquiries lingu psychologist sask contaminated branded geen abdul mins milestone feas undercover marched chargers stalk feminine sanct conten sham
+prestigious mentors outdated paulo perceptions dodgers deficiency joker diagnostic noticing harmless robertson snakes discomfort dela imperative
+statewide autumn cans donne shaping dios oriented vietnamese herm valkyrie rebound programa shelters kenneth replay wendy anda spiral guessed hull
+sterling spying protesting particul boycott inhabit państ realizes pretending framed noodle rehabilitation borrowing grandparents barbecue translates
+erupted eins successes plague dang gems archae stretches traction luna seni displacement tapes programmes несколько behold sack thinner housed cushion
+unusually editions disciplines outlaw mesma vanished ging silva philosopher umbrella evacuated visas malt rectangle proxim cairo decid reinforced скаж
+oceans inflammatory batting relativ aunque riots deeds grassroots neighbours увид merged variance segunda slogan disrespect volcano waiver fills الله
+nike cumulative definitions algebra scans vienna wrapping performers sesame bidding начина prix росс twitch callback freedoms lump worm platinum
+newborn coolest favors burial сразу conquer kurds pots samurai fallout boulevard landes helicopters credential polished lime remix barred incons
+somalia tomar surgeon whats ample mister preserving silk enterprises advertised etcetera cryptocur forensic inhale vacant duel такая comprar hallway
+kirby отно beginner obsc meyer appointments alley rejo charities zaten szcz undo destinations destined està harold shakes kilometres administer
+impairment lava unsuccessful glasgow nutritional bloc wholesale neglected самом launcher tror announcements falta rests cheg comma replaces gilbert
+geldi illnesses medio schedules decreasing jakie deportation spit weighs bengals richt simplest butterfly reservation sanctuary wavel selfie
+vegetarian anticipation arrog enduring departed configure sidewalk bomber distraction хочу practitioners disturbed surprises peninsula caesar segur
+skies agreeing buat señor walsh dumped flavour abdom accumulation configur smokers inspector vita groom researching celtics opera cloak cosm terra
+clown reliance artifact charger alarming reflex outras costumes sorrow awhile mansion coil grove sniper branding mour ahmad lakes corey preval
+inheritance artık regulator contested beste melissa cardboard unpopular garant stacked yearly spelling stare assessing beverages rebell certo
+competitions strengthening verschied bounty trze declares manière composite spre contender disasters anterior innocence continuity sympath fragment
+crosses kleine mitigate reposit entra raymond stumbled мног raspberry bride ignores acom relay помощ armen bisexual confession wald expire volts
+unpaid verk chickens trent outfits unarmed illicit tottenham sting truths sober ihren usable barg stacks diction northeast domination önce estados
+programmer assemble creed detectives messenger gateway doomed fasting emailed southwest optimism prosec exile guru squeez zimmerman railroad
+comfortably tablespoon prac telescope darling honesty richest taller esos halls submitting счит millones naive pegar poised discoveries liegt puzzles
+amsterdam даль shane posing связ aclu theology hank indefinitely commodities kayak pardon tenth knicks relat caucus verste foil ounces приш iteration
+gonzalez livestock wishing sadness tumblr bede nationalism stubborn maneu tearing dayton escuch adop morrison accuse bending torrent declines tart
+negotiation fang inexpensive hassan posso paused circulating crawford wandering фильм sophomore tras praw kull meaningless candidacy cigar fucked
+dubai hiking baba starbucks eugene prayed wyoming против rocky bilateral könnt celebrates lipstick pseudo пример assignments rhode brutality vista
+unite reich dévelop falsely polynom highlander també victorian efect einstein heap läng casi ranch anthem auburn homemade chassis jaar merger imped
+laps cima silently formidable toch sacrifices sendo curl dwarf tangible début alexa thirst gestures packets berg fraudulent wszystko criticize blaming
+diamonds proposing whales albo leisure admiral braucht memoir schem chorus folded reinforce sexist muff readings embarrassment continuation hola
+evacuation kashmir vegg enfants insurers misery genital celsius conceded hernandez geoff cries schle homeowners transf bullshit hates lebron empresa
+footprint nour seizures reservations saturated году biblical trolls disciplinary nawet schmidt kushner qualifications charlottesville drying wool
+alleges jackie louder worthwhile crystals comprehend haus absorption anthrop frightened yuan buys spraw elders championships meinen junt listener
+acoust decorated sunk wohn bananas seating cũng gigantic wort playground dunno stereo exceptionally drauf rays recurring carrot upright soak alphabet
+flick courtroom diplomats fluffy aqua maturity zukunft instability apache caramel forge armored obra comrades quello lynn abbiamo coherent форм
+educators emirates dodge changer faded atau headache wifi circuits realiz celui conflicting forged rulers screams submarine allowance kasich nicer
+australians crushing exceptions sexism fueled reminiscent uphold beverage poles gradual omar pains turtle decomp rumor scientology methane
+demonstrators vient calvin villa violin magnificent sólo boris herman scripture classrooms limb beforehand hydra bristol stellar kell dragging
+ecological sposób atrás benefited haiti wavelength reconstruction psychic greeks disregard profes escaping ideally withstand devastated turnover
+irrational sulf reef bankers apert tories adjac distortion cabbage divorced wheelchair hayes могу traumatic bloss renamed seldom webb shutting
+utilizing attracting cinnamon discarded cursed gemeins curtis sculpture sachs oval installment lgbtq successive digo viii kidnapping needles ambient
+fortress cancers atheist jeżeli balances congreg elas shawn petty translations parcel chev analys villains leaking ville bracelet infectious skype
+sushi pitchers över villagers haskell serie specs impulse honors singles cues bruno flashing istanbul tutto franken ironic protestant productions
+dalam hogan perimeter vard dobr spontaneous downside rena descendants свою bach países großen fingerprint nerves constit sims admissions preocup
+exercising unidos vocals этим litter rund elephants strat foram settlers retr compressed préc trevor tweak seiner cancellation eigenlijk focal demise
+softer cracking prejud blending explores deepest wochen screamed никак primaries filtering sponge tren myers punched serait innovations fracking
+przykład kubernetes settling adolescents sait rebuilding transforming travers parole zosta booking emerges arbeiten dungeons literacy trailing hugh
+adap versa greed mereka gardens olacak contingent mund leafs abol diplomacy devote upgrading elic sitten relentless bachelor covenant coloring punches
+crist hdmi differentiate seafood algumas peripheral glaub arbitrary radioactive boarding будем creamy bris hinter mism predicting killers proclaimed
+packaged weniger fatto stamps cardinal nerd bitte solitary cork tane extremism forte lunar навер festivals intéress nessa museums touring beaches
+corresponds purity sings eder emission corpo annoyed messing brushes skeletons bisc pupils arbeits urgency sele staple swinging restoring llama
+futures visualize strategist così lateral rhodes dove rapper browse этих centimeters typed discounts austrian także dismissal averages allegiance
+dispon midwest stainless countryside pinned queda crises docker nouveau patrons disgu mourn recom sherlock americas pronunciation sally расс carriage
+peaks youtuber parenth props cove precip ants hamm maori stunt observatory recycling duterte oppressed saat clicked peru monsanto commanding whoo dope
+ecuador kuro rituals captive esas ounce rainfall devotion phải robotic johns suas ante warp statues peril lifelong seasoning bure cheeks numbered
+heath imagin carro kissing kern waving violently annie carib genetics bizim onboard friedman mythology план beiden eclipse fluct skins photographed
+unexpectedly impressions supremacy excuses jiang costing могут maid respectful 하겠습니다 hugo decree buddhism congo думаю joyce mango acknowledging
+choreography hiro territor acaba hoax pradesh distributing tucker проп doin penny stationed undertaking giveaway prepares histories subur churchill
+neon erase symptom manuel sultan leban embracing daylight şekilde brigade inaug clergy alcoholic trouver proposes glitch stimulate adalah splitting
+indy lent britt arbitration cosine schneider bastard quier blasted elles mysteries revive друз можете orphan mets fireworks tillerson upbeat
+charleston acoustic oluyor amuse cardiac fuzz goat hazardous allt christine bolster vitam visions inline irving myös dinosaur kumar schumer frederick
+sujet forecasts submar aquele spiders bombers тому corro brendan spreadshe infra learners millennium mustard transferring habt orion joey solic causa
+immortal flipped converts facile installations lure narrowly стоит grenade способ sería underwear chased parenting nokia econ fulfilling incar
+sebastian resilient shooters concur richer bereits tempted nurt tore devils feast assurance encuent darren suprem whichever deprived casts kollegen
+affiliation spinal tenía prefers spicer compartment dels monroe corrections rampant zien boehner styl narratives authenticity kolej thanked betrayed
+dexter ethnicity dinheiro widget billing trilogy sniff transitions nephew marxist candles totals organizer случа uprising divert goalkeeper chir
+buzzfeed persec mimic predicts keeper pissed carn deception diary conditional relic cellphone schwer speeding tackling judy nude manafort majors água
+logistics weighted proyect sickness dividends meanings backdrop tara debuted isle regulating деле commenting presidente rivalry добав rented forefront
+baldwin oczywiście cind marching andrews også landsca catalyst ransom aboriginal biography quiere nella turnbull ferry passa superfic wagner
+supermarket selber sith nominees believer dictatorship announces orph neptune monarch tapi invaded wellness photographers evangelical interchange
+meses filmmaker pint salvador disagre wrath rath roomm modular outputs assisting ries redeem salud decentralized accomplishments była schultz obsolete
+prophecy sergeant diane interfere stirring thri lazım spacex futuro awaken embargo organizational dilemma måste hooks gand potion claw sentir brennan
+ganzen durability bombings mosquito culprit sinister duplicate conway grape collects synt quantitative ethan horrors lays ihrer nightclub davies
+bumper scarlet revival softly chodzi furthermore laptops conta intuition joan retaining syrians hammond значит poems thieves broadcaster popul
+airstrikes incluso gavin collectors mesa dictator drunken skipped drawer haunted stigma monkeys hawk например avatar podcasts prostate familia
+warhammer sentinel разр segregation стол drills konnte büyük spur utilizar aquesta imaginary guiding mixer swings систем begging норм pedestrians
+concessions beams fibers kardeş gloria communal pall energetic rectang dwelling shear tally coward debug generals horns circulated passé robbed
+harassed próxima composer между nuestros spotify spreads decreases suicidal exempl sliced menus abdullah bead undead fonts organism grandpa razor
+populist muse kindly fringe governors timeout redemption waved astronauts possibil imprison swamp envie finnish resurrection sper tonnes spun
+inaugural nouvelle isil watchdog gallon inde doubling scrub societal вами inne tracker meinem patriot hardship listings hottest diaz pony bırak
+cartridge lamar rhet flatten leslie pied jointly underm brisbane fret ipod frauen pumping sharon später scheduling curved sentiments drafting
+constructive simplement arin chester almond warcraft checkpoint transcription tweaks decorate relieve performer turmoil barrett throttle tasting
+oportun ptsd judaism agon rochester inferior simplified inflicted pregunta takeover télé muscular ration crate recht unidentified acclaimed woodr
+frances nepal singers gerald kuwait slain disadvantage goku cody patterson holo lodge planetary woodruff petersburg welche hailed odpow drastic
+architectural chúng financi widow slayer temples lucifer ciudad flickr obed scouting warum eher politico builder elim peuvent poker lifts kindle negro
+cornell owing schwe deutlich essays illustrations congratulate redesign reversal adelaide sinking grimm footsteps cheng overturned pointless дорог
+councils hypoth interessante resh começar oneself millimeters estás laundering workouts dejar spikes dinosaurs vein burton prol cubic 감사합니다 strang
+unofficial incarceration everton serbia stellen mickey parti angular factual highways natuur glam dividing seper squadron martha nivel wong wwii
+seinen separating carboh ratt municipality monk opio protested expend floods cosmetic generators hungarian seul metallic vite expelled través liner
+residency dresses clement geek cemetery crawl zrobi tyson whisk kanske strengthened jaki strokes visuals beatles poorest aspirations минут ceremonies
+dens intimidation pairing overdose revolt wollte verge woche invasive kinderg funnel lest shrinking labeling noisy продолж daran expires enzyme
+feathers mute steer dwar vader kompl sleeves bully fosse fora sponsorship shia wohl breeze cleanup sanit drin outlines deported boulder часть buffy
+evangel harley clara necklace sacrificed blender freelance retains provoc repaired periodic asteroid astros scaled geographical verf rapids mówi
+frying mohamed discovers fascinated telecommunications mommy scanner sharks rouge loser snapshot centro pesticides degradation disguise underest
+hazards verw virtues addicted enhancing concussion dispers expresses rupees exhibits wheeler expands reconciliation purse spectacle incarcer wraps
+dialect impending anglo chatting babe encouragement confuse bishops notation garrett tête masculine fatally junto bios watts nutrient amigo depicting
+specimens tailored holdings lotus lantern pensions hardy miracles rails zeigen emit ress slate smug haya jacobs juicy regeneration energies intercept
+connor maken bruins mang boosting papel astero nypd sollen pics rash ducks goose knox arduino голов heavens évidemment herd inappropri fundraiser
+monks advancement livre fetal staircase customized degrad mapped sprinkle torres hansen crossover starch herz standalone invites graveyard humidity
+escort durant вним disgrace explor roasted coff outraged anom newman bers recreation statute mercado rubbing thriving husbands iets kris pasado
+catastrophe communism kanye wander nolan solu casually clemson pessoal bleibt fortunes fiery fuera nets atrocities helt justices shortcut insults
+vernon shaken efter experimenting graphical whopping advertisers bids destroys fundra zona indicted abide capsule claud citation quarterly alexandria
+deswegen springfield werde geography grease utmost barr cyprus interrog dementia prede graphs timber insulting rehearsal soros bulgaria davidson
+collateral llegar gardner rápido gouvern sixteen hing viking automobile procedural disappears computation daring podium sleepy banget unhealthy
+bleiben pyramid kissed aprender dreamed greatness integer concerts swallowed trochę genres dispatch exca mates recharge yorker galaxies celtic цвет
+sudah rosa crunchy fats adulthood gerçek checkout misma martyr chilling congestion hessen boast coral examines babylon odyssey torch professionally
+classmates steals proportional sturdy johann noss medals fraser сказал fellowship multinational worthless geor pest calculator gays borne lebanese
+tasted rang macbook музыка unanimous lenders hangs disruptive época dominion тысяч hade supplying brackets política schö shannon janet narendra meille
+obstruction fargo greene loin unleashed weber adjustable caliber enfin lanka toxicity massively ninety daniels garn routing många guarded outgoing
+rewrite ensuite longevity nissan говорит odor bradford careg surreal heraus resemblance accessory toughest inequ wired dinge tycoon selections highs
+psaki rune crafts fins reclaim человека looming tbsp beneficiaries café pact baylor hahaha hemp bunk youths ches endeavor zhao indonesian casos klim
+weekday maxwell diplomat constituency napoleon système cisco reluct manitoba amusing filmmakers stamped thirteen deviation outfield aided prioritize
+rejects transpose leftist hamb providence wont grilled holt famed registering fascist chandler свой abbas skinny unanimously helmets jerk dancers
+waits minion уров porsche закон cain reiter kolleg tying çocuk addictive blush jaguars sunshine rents tipped fitzgerald quoting inmate udah erected
+sommes claws fres superstar diffusion perks affinity somos openings ricky grinding mucha horsepower asthma homer jeste creations firefight cuisine
+lithium besonders tracing turks certains scandals unle santos vegetation orchestra induction внут atheists quelqu ответ capped duct sailing choke
+admiration andra trainers harmed pandora unseren сюда lingering graffiti точно florence depicts enclosed steele mouths ditch stranded enhancement
+popcorn folding annot labyrinth clippers flop pasar thrill stray своей près qualification zimbabwe simulated replicate unsc shepard operative жизнь
+negligence supra prevail belts tighter свои inactive ordin plural willie heir spokes currents dispute bengal preaching którzy wesley deed acrylic
+subsidy herbert shipment ziel welding scrolling заним scanned libyan moms schwartz sapp unas supervised wrench adolescent bunny miniature mourinho
+cubes provocative vidéos benedict någon fluids brend cousins forgetting upstream irresponsible bonjour geograph calorie sweating sina symmetry ferr
+intricate interception musun ankara cours solitaire remake nigel christina obedience cory bells dept ouais pleasing shortages rcmp foll spies adhesive
+precinct punkt urges timed прик stripes enfor monuments homelessness bricks commentator knitting racially ethanol restra evaluated parish chegar
+awakening shutter ficou stefan bigotry inclu pedro scrolls congregation disappearing arrogant cutter extinct aviv constraint interceptions prolific
+erin lettuce psychiatry shave mccoy lashes ussr emerald sorte revived corin damned patriarch cheapest prope deprivation powerpoint fragen opposes
+pourrait suing textbook fahren resisting personalized viewpoint existential zhou aisle escol reflective indicating winding johnston croatia dieu
+slider grandchildren eternity tweeting dile pivotal sach blatant reload jeśli lakh borg состо hoffman implant realidad kens pumps freshly dein
+outsiders dart devam heavenly ripe understandable caroline classics preca retiring mindfulness punching chapman discret isolate stal keystone seventy
+trending africans специ siguiente temptation bündnis prestige bahrain встреч perpetual schauen filtered statt vitamins самое sincerely eighteen
+plugged pumped lego valuation enzymes recuper imprint unten suns informing syracuse área glove sweetness contracting defer muitas attractions edgar
+став buena fourteen detector misuse abusing ancestry должен celle worms españ glimp peasants conquest mocked bater avoidance neal terminology
+pineapple surrendered pathetic 여러분들 donna avery tram whiskey fixture hait bets leicester flashes masked defeats vive tariffs krie reaper narciss
+dzisiaj frameworks murderer rested owes comparative empir albany leeds interfer blitz intimidating visualization eccentric scenery seasoned fronts
+banyak erosion quin earns accomplishment üzer alguien teddy conquered количе plotting reacting betrayal buch hust fragrance royalty mediter resonance
+braves inert shareholder recreate strangely admired boleh plight armenian futur zionist automotive engra sidelines slick renaissance ping blvd bursts
+anfang mish trzeba sorting cavaliers stabbing bord poisoned fountain interestingly mari rains volatility headaches hops whatnot comport kurdistan
+hypocrisy gunshot curtain contenders jednak phillip coraz staging chloe cler rodrig wiring enact arkham hispan assistants sega influenza relev kobe
+peach ceremon dome losers betty architects ethic simultaneous smuggling pike ruthless congressman fingert knowledgeable straps turf flock treasures
+modeled остав droit pioneer miranda subjective divis kant breeds maneuver brink rumored ziem unseen tattoos subset weaver aquela therapies consultants
+mali étaient roma remedies adaptive więcej wallets paral pelosi mientras slipping alliances mascara perkins whisper dion familie rubble morocco olivia
+bots olika brethren répond logos bites pawn squeezed lieu morale boosted rehabil newcomers scouts следующ osborne empowered gravit mohammad stockholm
+deploying longe présent staffer discounted veure mają parody lively webinars horus damals pits venice pada belfast skywalker ceasefire sachen seals
+felix beacon immensely nast sideways nicolas perpend drained millionen mystical watermelon apostle hombre penguins carp isaiah suscept notch stalled
+cryptocurrencies polynomial roland único collusion pediatric politique sandwiches tucked balcony tril earthquakes subscriber hefty доллар specializes
+therapeut stresses donating irrig randall conveniently maur coca tents потр partnered кажется psal repeats miguel bamboo hawaiian appliances
+funktioniert nationality notamment continental loosen swelling buscar lara tempting zelf havoc moeten milli mortar marty antibiotic elusive battalion
+behö balloons blasts pronto boyd класс cereal dwight increment clocks philippine deixa perth ashes funciona incorporating linguistic cinematic hause
+receipts mediocre reuse manifesto соверш shores gravitational tyranny robber będą shrine usda место bowie sailors wicht maritime ecosystems
+interconnect philly malaysian projekt climax mutta bury unboxing southampton escorted brutally pillar amnesty pien kommun reminding swipe graves habl
+geworden analytical малень galax researched disrupted ninete replica cartoons rzeczy swarm algún rebuilt astronom raging regrets sonst fatalities
+puppet retrou evapor tribunal mats renders kaepernick espionage lith mutant carbohyd initiation gotham eagerly predator readily menor outskirts
+psychiat skeletal eighty exits greenland милли hourly demolition regener bureauc enlisted alber flank cess resin były reacts serpent weeds bleed
+disadvant amusement antarctica cocktail northwestern patricia dumping neurological molly natur obes terminals flare autopsy righteousness royals
+drafts ideia lame prelim vanc pocz vigilant impeachment augmented случае watt recognizable coated ocur deterior empresas paranoid времени scold
+inspections shoppers informative substit vega gujarat дело socied venom reden reunion blazing balcon lindsey gloom advising irgendw overflow echoes
+bloggers panther hateful прич murdoch informs arlington funk medicinal acne thighs markings silic raqqa blij morty leone petits filme mortgages
+bereich mash consciously destroyer alta chcia millennials invade możemy commissions auckland broadcasts sucked frontal danke rumours booster nochmal
+adrenal invaluable hacks kleinen subsequently decentral elliot telecom arbor lifespan wiem baggage interviewing hairs remnants griffith coher subaru
+passions pillars livelihood decoration hutch dividend jego disturbance часто shale sweater cultivated ainsi commercials thinkers público ferm tagged
+stylish tails thyroid vaig chal merry bliss labelled mente outsider bulletin entrepreneurship ramsey немного manifestation sanctioned расп culturally
+hanno theological strut handbook constructing decimal maiden jennings metadata difficile garment rutgers stafford synthes painter wellington elbows
+redux glor surpassed parallels teve stelle veil readiness приход marble infrared auditor posible beverly kali feasible haley formations dominating
+anecd flyers vengeance landlords porte piercing scorer nickel masterpiece mastery wines некотор televised bayern tuna enclosure kindergarten dużo
+prophets uneven красив plead explicar reviewers cured прис dota massa whipped bouncing unpack zack coats norton freight trivial clam pige psycho
+interstate şöyle slack caste família nego otto furnished hides приз toddler nascar nebr perpendicular splits peasant vikt hyde возможно realism oxide
+mounts biting thumbnail postal detached promo respecting pequ persistence knob framing coded çünkü xavier cerca dunn coffin fale raptors inception
+sheikh blackberry tava gian asians hitter drowned chalk zika measles uganda unserem evasion blueprint depot rebo alleviate somali nostalgia peripher
+shepherd cavalry telefon queremos sank fischer дальше dynasty espero estonia chromos gossip erle ibrahim petroleum hogwarts nieu caves suppress
+safeguard sitä durham piles общем avoids bleak цент insanity procure rotor twists faulty piracy rugged comprendre sands natives salv newark
+archaeological αυτό blockade debit разб milton strawberries olla imperialism modifications exploding rant adul nominations flipping peacefully
+integrating natuurlijk ropes ivanka booker owens discs отлич skipping tsunami вместе faults sortir groove fascism togg chavez outward rigged homage
+hayat presses humour spoiler cambodia chatter liquidity demol fernando slug catalan goalie pearson fetus implicit alexis groundbreaking reag moons
+electromagnetic amidst viktor wtedy commute anaheim опред copenhagen tijd grizz perder pipelines biod scars jumper cognition reloc demande witnessing
+oğlum calf одна spoilers chanting elekt beginners slogans tracy luft mornings flourish klan toothp darth punct nielsen tumors procurement yorkshire
+bedeutet raided mustang deliveries dijo cerebral rinse bipolar krij debating dixon athe eman fertile avocado depressing mocking zhen latency slapped
+contar fark goldberg blended teamed alguém leah doyle maze wrongly lars pledges aroma palav acre breweries hilton thankfully canucks blaze откры
+famine деньги kathleen saturation attendant paved cheney depri cull помог lithuania soir debbie humility expansive практи kald precautions crochets
+dagger dese grips dział rivera compliant llev cybersecurity lawmaker customization saskatchewan kinetic motorola supremacist downing выход nikon ellie
+macron colbert krishna consecut tate empath robb winger georgetown geared назв steroids grapp linger immersive представ transforms karena referral
+oddly wenger bows consegue thorn raider rainy kost mound competence halten ahhh moor diablo relacion brom komen fading battled sabemos squads aspiring
+luggage действительно bardziej descending voyage стан ouch vanguard volcanic womb detecting prolong breaches olson humane assaulting intolerance
+snapchat dummy shir separates windsor denke donovan podría generosity panties rupt apprentice profiling sideline occult ethiopia insiders saul
+builders laure stationary thrilling carey parkinson jamaica monaco screwdriver conan supre stap starred jurisdiction pacers tipping cavity
+multiplication novelty envy tahu onun rica freddie breakout huang uploading roaming edits powin specimen darum caster algunas versatility hort znaj
+shim airing craving liar spectators thatcher overwatch onwards manila portraits pavement comet enfer hospitalized dicho malik hicks overload roose
+coached loki louise равно progressives brushed ions zoning karma kart tarde trader soaked tunes indoors differenti leftover rabbi raft textbooks
+inconvenience donetsk подпис arises boosts sensational subconscious greedy ancestor extraordin horde grandson fracture moderator görd allergic
+outlined oooh wagon zinc rubbed fuller luxembourg hoover debe cobb theor brawl knots troop femme guts tibetan limitation routines amplitude hacen wahl
+webster amplifier themed kullan lounge abrir biom spilled ethernet helper horrifying være allan beetje rafael spaß atten turbul emanuel hunts
+counselor toxins banners greeting frenzy consolidation memorize fletcher scholarly insecure shampoo victorious elves conditioned widz compulsory
+cooled frankfurt belle ventil motions trusts gouvernement insured kivol plains kivolowitz sabotage salem куда hydraul mating präsident salman semic
+pointers cane theatrical bringen finalized booming repay goodman dominican gover electromagn precipitation intestinal груп matchups blockbuster freder
+loren turbine levy guerra schwier arkadaşlar scholarships blends contamin roberto нрав emblem держ quilt recycled mantle clayton erkl practitioner
+township condo dems unternehmen challenger должны norfolk substrate moody distributor extracts minuten exposes platz dodd alar closures complementary
+sasha articulate harf знач policeman seiz anomaly guatemala disguised powiedz poisonous würden pierws treason lamps brunswick каждый miscon spelled
+pluto meats глаз stomp vibes leviathan orwell aloud circumstance cecil cultivate mosques reactive fedora defenseman drowning gewesen crian thriller
+accelerating ober directs автом sock citadel orbital stret satu paints showers хотел anlat oily revisit stamina restructuring levin delightful
+discrete expo transporting совсем barton fingertips dudes forgiven bumps seamless datos beeps armenia khal abby veins soaring gamble spreadsheet
+emmanuel shocks commenced spacing fulfillment hail związ catcher hipp jazeera tangent abrams findet heed thomson doorway competed komt disposable
+lista tolkien avid salon elon seulement advisors mensch inferno carrie pouch trope sandra spinach gundam marion fraternity recher latitude enhances
+thấy général shines bronx imagining demokrat heavyweight enjo migrate exhaustion cuomo guitars justement clones mett salvage ngos solamente intersect
+martian addicts simulate amazingly conting tamil basil другой hamburg inscre canned modelo ironically compassionate redund hawkins cathedral aesthet
+quota completes supercom revise ситу spanning nora sacked waterfall finely sprechen pancakes zuckerberg plank scotia savior crater необ influencing
+пост bathrooms nath commencement propriet cidade distributors başka breastfeeding powiedzieć jensen blackmail veggies conversions mantra yoon ivory
+kons athletics carpenter milo physic briefed basin plunge kaiser mafia druid smoother motorists dinero masculinity embro abdominal tavern escapes
+vanessa sacrificing freel intimacy motif tornado guitarist processo millise mori wards memb toilets styling sundays esports обяз katherine wygl hassle
+mick tule airborne queria spans прост volunteered fuse représ erotic octopus advertise importantes attends willis blond deshalb prosperous pharmacy
+rockefeller waterproof bütün shack residual wisely backbone mcgregor énorm cleansing payne tremendously summed hercules miał savvy dawson inserted
+inherently insulation airplanes femmes shun shard ghana beau glued julius maurice sequencing radicals säga squid rods taka convoy tripod explic
+screened islanders approximation ridiculously pagar kerr ведь baltic proactive petitions sten grapes phon meus raced automat daytime qualcomm chaîne
+memes rencont orioles cylind slippery remy resultado merlin teleport apologies nucleus outing ceos nadie chapel wart shortcuts постав warsaw
+superintendent landscapes cheated volley tandem robes nered promoter plato derrick puisque produz honduras mayo сним réuss volkswagen mell maduro
+tiffany jars перев огром cros physicist maggie depiction acuerdo mclaren slows commissioners thirsty willow última combustion technician truman
+unicorn famille whereabouts carbs ying méxico squirrel follower rabbits documenting chewy misunderstood passports carlson antis loneliness esque fibre
+arabian peso saddle denis billed cruc crosby fundamentals liberalism palin vertex patel reloaded inevitably trailers probes circus bain lindsay abbey
+relação concession rabb sprite analyzed wonderfully haram sleek antarctic potassium semua hardcore lineman astronomers fares proprio youngsters
+mistakenly hemisphere divinity attracts harus porch pablo poquito robe brighton kopf seis symphony cigars trusting liberia ember filip murdering
+downstream resto cait gomez hive calculating mixes sane dangerously empowering katrina encompass idlib celestial computational dalton nhiều fiercely
+sytu uran guarding chant leveled condoms nightmares penis emoc roommate hygiene gown mache punjab berger showdown responders вкус doğru predictive
+napole overlay vick tiers demolished mono dances hospitality ariel trotzdem obten torah belarus banker standoff leicht dobrze hesit erzäh vulcan
+einige mourning blaster hebt unpredict translator bogus neurolog baptism antibodies sibling freud стороны continents disable tolerant catastroph
+horribly midi друзья instructors norris defends etwa anatomy canberra completamente patriotic undisclosed farewell allison todavía enthusiast женщ
+inventor mira deine sheffield unleash entsche piper nano combos charcoal raison burgers fairfax driveway technicians interfaces magnesium growers suic
+keynes starving borough bethesda compositions mildly syntax agility biết brasile manor praising manners bowling coaster damon falou portrayal kennen
+derive mitigation entwic erased hollande vertically bred planners specifics motto ellison gonz azerbaijan perfume lund fabricated battered arriba
+jerome ciao surgeries courthouse mastered результат hovering questão alison safest bullied piled honorable свет institutes motivate coma gmail tina
+canadiens kollege easing heures maison bowls shovel bürger acquisitions autistic contag fowler leds transcend microbes intrigued burglary kathy
+andreas huawei feliz hindus прямо demonic происходит gregg crusade sinai spaghetti unnoticed captivity cierto crusader empress stride algae достаточно
+policemen ventures таких condom potrze oecd handheld środ reno cleric culmin invading thru sailed illumin insecurity accommodations hend incompetent
+каче slips канал iphones porta asshole extras slaughtered crowdfunding knead catalonia rodz scots standings aquarium brightest beginnings latinos
+orden olduğunu rooftop exiting roses endlessly intrins angst farage finalement noel brute indul nggak malaria arsen pounding postponed rooney erre
+mileage arresting schne benson authored inver incarcerated peaked dentist wielding emmy sofa forme archived countdown sunglasses tunisia beep carnegie
+nuggets sweets introductory semaine mcmahon desenvol производ claus shiva mayer stormed seperti unanswered courageous unconventional которых eigenen
+rohingya presente shapiro sketches fortnite rampage pupil remed fractured criterion fünf flagged назад blames cucumber cambio makeshift fossils
+aristotle disproportion tint woes fueron bipart shameful poultry harvesting inconven nikki hitters quiser setback lows bulbs bottled polsk caracter
+voyager spheres appalling compressor environmentally publishes advises petrol resent patrols silicone denken radiant definit lowers ottoman liebe
+quitting docs fukushima итак cuatro oblivion sanity philan alexand logically axes молод hizo leth relaxation позвол lesbians loro airspace summation
+bakalım turnaround bombed neuros tion можем comforting iris hinge relocated strategically bonding bize lockheed lowe sensing renting оказ geological
+tenha educating staat striving harvested сколько playful occupational prat wakes courier drummer apparel havia hunted magnes bravo hurdles bosnia
+şeyler fuss ambush давай cyrus dataset genus retour wolverine hikes quase slav rupert eyewitness ajudar cunningham academia sewer astounding eldest
+geschichte climbs contradict melania hubbard ziemlich romanian pestic scrambled oraz bundled tellement topping tempest oswald pancake gravel muitos
+simpsons bland parity chce sided formulated enca embod teresa perk прек anlam trustworthy philanthrop teasing absorbing vost reper unfinished penguin
+cartel scrut halifax retarded buster corros prova siri arrivals recipro nueva walton kazakhstan postp psychedelic digitally braun jakby shimmer стал
+devant astral кого rema venezuelan crawling appropriation keyboards weet viper raleigh reop spartan nozzle taps roar bender neder sheldon россии utan
+andromeda дома aprove gruesome latt ubisoft dernière kelley preston эксп stained groundwater haut locke epstein devastation програм broccoli
+friendships rubin sekarang dossier overlooking fixtures kingston numerical squash catalogue digestive darn lasers wardrobe redirect sikh cyclist
+voulez buffs gebe raping recommending multicultural numa kerala abstraction infilt printers scarf translating yine fuzzy protester sollten garner
+abducted eltern stalking deserving jorge skating scratching tease missionary morrow ohhh chemotherapy deuxième leider purdue whitney информ ernest
+coveted exited obrig unpleasant vivo bella coke dolls sergei weary guise concord binge rept manned illusions weave billionaires coloured filt nafta
+kabul pudding shouts chuckles ripping shay blazers cheered sair arte witches samantha atlantis pratt spoiled части ramirez warlock лишь regiment
+blankets seinem dolph altijd hydraulic santiago shaman deleting vorher milky pastry patented commen ventilation ominous tela lumber nina ancestral
+paso wrestler iceberg diversion masa robbie спасибо kara pena harms feinstein marrying весь misunderstanding feld ogóle whistleblower cnbc powerhouse
+rodney seminar quelle dante tirar perch cardiff lavor rouhani yates bladder cologne sinclair stur drilled zeigt sewage gobierno homepage courtyard
+vile grit чувств fishermen lain enlightened salute bulldogs alloy reinforcement williamson entertained одной penned plais coupon underestimate
+shootout charismatic ketchup riches strides washer oilers bangkok групп eisenhower proceso harden listens rubbish boarded possível arrogance меся
+dernier scrapped junction какая lässt thugs shelby situación sedan weiner hale accuses shri sout carney allemaal reflections muchís sata libro airbnb
+characterized slopes manslaughter frey hablando trench capacitor gladly bullpen transmitter никогда drip underage adject empires marvin ethi mariners
+liberated fermentation plaque entwick jackets lilly theoretically adapting gunmen puberty repetitive alma illuminated полож pascal vowel astro
+wirtschaft cozy elvis lich unfamiliar pors stumble smear arson superst improv monarchy beng halftime disconnected shaun connecticut lyon goats gras
+malta navigating delaying seaweed implants peyton smashing которой cruiser corinth conjug mecca compensate stag brightly onze skincare uphill bundy
+servir biologist unint unmanned tailor energia gadgets audible defiance pitts filipino bolton compromising brewers gilt vampires dipped swoje sver
+xiii dürfen habitats bram marina epilepsy coping reproduce sätt sophie crowley adolf wellbeing barber westbrook baseman agony hannity mould streamed
+teased aurait wartime fandom downhill interpreting motherf jealousy dissip pleasures chevrolet receptions citrus reckon prism realms irrigation
+bicycles aesthetics dunk jacques validate comenz reunited dado humid hazır youthful natalie coordinating mayhem ludzi magnus statistic tackled
+fashioned garland amenities morals takich welcomes standout dreadful dific bele gemini scarcity sociales jestem jullie numb rockies здоров abolish
+foley pies пере rebirth aufg blossom infusion verde buddies président demos roam stagger speedy stato buzzing mosquitoes дерев pouv transitional
+shortest strands breathtaking deber bates brig riverside ache enriched legalize stam freund terrestrial ledge southeastern campo slowdown augen
+stimulating edmund pneumonia glac laboratories gemeinsam turbines meisten minded blackhawks unanim reel diverted gefühl kendi subscriptions filthy
+tage bernardino prozent questi hanson corre webpage relocation noche satire sunderland bowel meredith purge picnic hoop sapphire journeys microscope
+sidney legitim sprayed является traitor snapping ukip bowed lender collapses antibody rover morton fences geliyor livestream valencia przek tiff
+chocol quotation kingdoms nicknamed showc photographic corpus usando falei latvia disparities jeep overhe objetivo hayden solche suzuki marshm spor
+fooled knockout duffy nordic responsabil idiots vários delic neville cocoa embroider roadway examiner simmer nacional paralysis reap quieres sloppy
+herbal testoster toughness atari politik aperture lawson saunders taboo обрат dando wedge juices facilitated parsons campaigners capcom знаете lace
+rearr inward culinary enlightenment dryer mined dvds removable merging zipper carly brisk luxurious edible predominantly darkest triangles hitch
+texting berries keller faites mavericks renovation cervical laur floats toen jang witcher swansea образом persever augment paula toledo tässä wick
+homophobic плох wandered deserted facilitating emergencies lehr heartbeat persone dement compañ ticks redo conductor pilgrimage alchemist idols inex
+trey garments tämä humorous impacting nylon helfen lurking entsprech sergey misogyny więks scriptures taped scarborough messi libre rudd shady artemis
+continuar careless humili brokers improvised meditate augustine ceramic pagan assortment kilos unborn eruption piston stoke noaa escre lama
+gesellschaft mural busted unterstüt allergy teamwork underworld blasio pans weitere swell isles первый defiant heure billboard distressed plaid chefs
+buen optics redesigned pneum sightings surfing equipo velvet swat shuffle verbs vodka foreground turtles katz menace unterschied becky einge eres
+kyoto alarms santé adel pioneering ronaldo disneyland peur agile ashe expos disadvantaged cling pores haunt bundles icing alonso carne landslide
+ninguém renewables macedonia reconnect jerseys crease buchanan hayır robotics única adher monumental preciso rotten goodwill immersion marin relegated
+którym muster astrolog crescent parfois argentine dominic buds survives melts uruguay forcé tariff bajo pistons discretion nigerian cosmetics rethink
+принцип overcoming dissolve stanton tulsa discord hela consortium prompts работает timeless pesticide rallying calder chrysler gale collaborating
+cosby theodore counterfeit algeria personn fallon gibbs royalties lester enrichment yankee ecology untouched volks supervisors sincer newport knocks
+merchand kisses várias marcel актив intric surrounds phillies upfront autour moines manuscripts reggie morales retrieve maneira impair microbial
+mentoring vows gopro quake cose reinvent buffett picard chewing litt localized acquainted likewise fellows hurdle aynı trustees perme usher parasites
+haunting defamation compose hamp allergies sunscreen courtney ramos swirl sponsoring staffing futuristic своих τους katy carve byron haircut conducts
+lick windy caleb encyclopedia holistic riff boiler hamstring измен archbishop faux scramble cedar sergio deutsche goof checklist curated headphone
+deadlines extern summers ordained kendall waterloo mexicans sini protector glare llevar commuters consid tucson numerator slender competitiveness kaik
+everett których elevate одно além watkins slovakia hampton cottage ningún rocked islamabad incap trustee dortmund devon bunker crest intervene sears
+heater polly recursos vish tainted давайте symbolism польз protestors bowser cider чуть woven barker certeza indulge disgusted repetition schooling
+туда ensl proverb alvarez değiş rectangular scooter noir напис marches dusty kijken thur deborah существ lambert выгляд amused cctv mitä mare arter
+patriotism conect outlining blasting ezra commemor transitioning buccaneers mange plugs hiatus pinball wolfe движ edwin pathfinder marcos provisional
+wszystkim omaha microscop salts daqui dime année mythical stephens prague niye devin microphones burlington stunden hires kaplan savez violet airs
+dismant fertilizer aquatic scall hartford spooky evenings parc ballet sochi macdonald whatsapp gatherings ascent astronomy coronary почти
+heartbreaking psychotic equitable canım ozone antar cooker configured reopen rory awaits formulas pobl pods trousers kaine shading cutler splendid
+preventive dudley youtubers inverted hague haupt ledger vlogs astronomical cultura circa illum travellers marca pane patiently quatro loos olduğu
+forts menstrual risking tenir escri riyadh accredited multic fazla levant nearing abajo beckham swapped двиг elena afect contexts vandalism newtown
+tanzania quirky spirituality irvine needy allá mailbox petra badass pristine fraktion leaps fools dissolved swollen spar keynote militar progressing
+gamergate pojaw ancora scripted larvae hairst paramount camouflage twee mascot nächste colt möglichkeit fantast nipples ponder weddings concealer
+spree caldwell pontos bribery dessus racket vérit champagne assemblies takeaway mirac gerilim lush самый spectral bushes kilograms reopened arriv
+auxiliary hepatitis kosovo själ magnets edison brilliance subtit hypertension отнош cooks flair niños missionaries stitching defy dedicate seismic
+raphael eurozone đang scratched lennon nước gaia dripping frogs diagnose polize ayuda crowned bursting shitty thornton hott sitcom clears runoff giles
+blanc поддерж hotter pilgr captains ediyor comprend slovenia farrell pacing cannons comida toby badges plata bernstein flap biodiversity disclaimer
+ignition stell eyeliner rudy deles ramadan adrenaline nailed reborn dustin backer trabajar boyle spins homem shredded strapped scratches attire artery
+dors 아니에요 lovecraft barracks drainage palms blindness infused jouer forestry przep woody mogul thanking flashlight primal departing impactful midway
+conson ultrasound behaving możli stripping fidelity pencils layered слож ihrem paycheck entscheid vmware förs slump prized totalmente mistress django
+entropy discern stupidity qualifies approximate pulses froze estat urgently mailed sprink schaffen sustaining puppies yeon moroc whispers bravery tame
+eminent reviewer провер meltdown contestants cartridges retrouve applicant nightly embraces inland payload carre heats starr collaborators itís
+rocking besten marshal baixo sioux incarn leigh emin disrupting gland tegen marian metaph אנחנו spielen stadiums brilliantly submerged chow
+multiplying cages spock wahrscheinlich mckay arthritis effet cheryl testimon procession zawsze процесс travailler barclays laisse novelist auschwitz
+attent cheerful theat witt rapist humano plateau shaving хотя jaime legg methodist stewards élect overth physiology bumped masquerade downfall vouch
+butcher negó contemplating unve maternity daca logr nile pois vibrations overdue colder leonardo expressive silenced biking máxim trolling asus kuin
+specials godzilla bane widening verbally dysfunctional ernst kard northeastern tycker marlins maher מאוד pergunt traverse monastery mercer recorder
+taką flats lymph bakery reconna lancaster endings madame salam burr folders barnett curso rollout boon pamię elig rounding autop clad drifting
+programmed figur lumia rothschild dizzy miliband juliet либо recalling permite eyebrow guit dais onward accordance yorkers byrne nicaragua pouquinho
+huckabee blurred lubric collaborated volcan apartheid ministre bulgar poetic daten honoring tractor sidewalks alec nacht levine radish anges kicker
+additive préf stash восп sparks stück essex blogging hiçbir impat murderers howe такого customizable наверное franz outpost hastings jakieś anni scala
+donné eater kirsty pulp empezar forrest tentative économ atheism español grâce swearing crane fashionable axle endorsing komme imam teaser converter
+fahrenheit bren sabbath confeder nichols histoire shelling illuminate bonito norse draped partes других pepsi veterinary geometric devi yuri graft
+söyl hubs toggle masking starcraft galleries persön educator groceries feito fungi choir typhoon largo eens parasite surgeons susceptible towels
+bolivia включ blinded fantas warden confronted onstage clans antique percy planner rwanda aproxim intrigue apprentices раст enseñ swoop bedrooms guten
+yemeni descript mahmoud skulls exodus varit mummy partnering finer johannes gallagher 같습니다 modelling посто asmr rushes creeping igen hornets jeopardy
+begs parkway qualitative kraft sinks hearthstone элект baton soils pigment romero evitar mischief sharia albuquerque complètement kendrick quatre
+elijah boxer folds condolences accumulated heals buckets slab сильно stevenson vanderbilt sealing soften notably forcément manic explodes raum
+constellation необход fertig mayweather preschool blocker handic wrought eviction regina seventeen squish dotted масс novice stool pikachu tallest
+gazette guerre bowman dominates warmed karin zheng surrey unfor monaster stares blacklist compile retweet parano troopers homers tiver brewer steph
+boise discontin floral gothic siendo ricardo seguro anderes windshield swapping tabii bothering flawless michele pickle propulsion fabrication приб
+barley towering vors bentley freddy hysteria anarchy ecstasy sache etsy hvor derrière czym neuroscience regarder agrade madden spiked lyft dropbox
+uniquely inspires yoshi cavs jeito carte coworkers barbarian distint muted configurations lavish reconstruct archaeologists этому affordability voyez
+ansch masih anita deduct salir mutter repairing decorations fema apologise wyatt треб torpedo aram egal opioids ortiz petals freeway keer chyba
+higgins poking unlocking gravy unfit cindy casualty sozial sparkling возмож ares опять arth gins muddy wearable solves needless rall benefiting depict
+delve nineteen exporting envoy luigi turing olsen sharpen bathing globalization initiate orderly calor exchanging stout airbus таким transformers
+embry cient proofs bonnie justification olmaz behaved catering emoji enslaved discard dreaded garrison automate unparalleled fencing induct każdy liga
+qualifier quil espec gadget deadliest zeggen accents shaved chaser dulu guam choked scalp önem jaguar karşı gould aktiv choking slang tots empowerment
+subd climbers cthulhu scrimmage wallpaper никто crec resurgence eradicate antics standardized revolving кров mujeres racer sermon entrepreneurial
+platoon avalanche bunun fractures micha descob cosmos palabra sweats sprung philippe therapists booze motorcycles comunic inventions compris acron
+unlucky musst tess pentru tongues consort leans dumplings invaders canopy wszystkie hurricanes bret watercolor proton dino españa jails takim
+mcdonnell snippet şeyi rentals optimum cherokee enquanto roadside anest danced мень favourites ceremonial vascular barren jeong whisky backstage devos
+carving στην undecided paddle flaming horizons довольно fungus fabrics lexington persuade shedding transformer norweg corinthians zrobić analyse kappa
+bryce achilles bukan awaited gardening jurassic ovat presenter прим avalon läuft audrey benz alicia películ vanity awakens ridley слыш serbian terre
+pharmac sociology abduction zich refining oslo json pruitt warto gael ungef patio exhausting latch mazda ethos gritty fernandez proch dedim robo
+conrad oriental справ kier privat harbour coroner coses flake connectors runaway laurent установ harlem hulu sufficiently jenner stabilize childish
+congest antioxidant screenplay zost adventurous быстро cornerstone livel rookies empirical mosa nederland preacher cuidado decorative nottingham
+rhythms strife ausge rematch earrings jinping naacp pueda vacancy ruining galera racks centimeter randolph sangat carnage stripe trata proclamation
+메이크업 crystall goodies topical amin anchored bearings exert highland assy знак thunderbolt gareth nécess pals fresno compiler reese gripping probabil
+hebdo będziemy poets jaws благ meadows harbaugh endanger moonlight enlar sophia sanitation crear sutton touchscreen assassinated butterflies perennial
+найти coefficients stale judith cowork suarez imran которое monit macos станов restroom airways oyster timetable trud odys radios cloudy wygląda
+sunrise dillon trenches gosto carlo vorne reigning rooting mujer whore forens rive hacerlo exquisite advocating mara vertices taco europé homeowner
+smithsonian loaf adore kidd créer vance boko curly multimedia brewed prohibited apex smok traveler kunna spraying starship абсолют degli unstoppable
+padres inscription preset jeremiah osób sharma manchmal plumbing timbers coupling disciple qualc dehyd ticking loader praises другие flores lecturer
+kettle mandela ryder société commemorate bangl waterfront imitation werewolf lenovo bonded koreans endeavors havana jolly behöver duchess смог braking
+ripple burma stalls biases longing showcasing subjected naughty trimmed roadmap trumpet miraculous recycle gnome unload dorothy popula colombian
+leased daisy baptized impart pollen nicholson firefly convergence nominate crates опис coli nicola aluminium similarity foundational merrill francois
+pian centr sped univ saddened skateboard aerospace dlatego deadpool belichick ragnarok drupal hubble jonas nostalgic grazing detectors алекс naomi
+деся fortified quella lookout tyres glaciers nicol oneplus clarkson assembling qualifiers leash principalmente alleen kickoff komplett pioneers düny
+glossy ieee claude rendition harmonic pathology selects проект dres phelps economical matrices gearing proyecto mcgill hanged обыч ballpark puls reyes
+takiego beware fors fotos fray aquilo immature kurd voucher blackwell cathy 했습니다 hmmm huntington bung alberto anys hugs talvez skelet spaceship winged
+grizzlies liters indigo своего racists skiing chained haft reminders symmetric chevy exemplary misin savannah esemp rossi complimentary übrig beirut
+capitals früher commuter slit которую chants malone safeg contrasting hallelujah tidal двух redevelopment measurable sediment apostles becker marilyn
+executing paran woodward dues cameo crappy anticipating steamed laurie celular chats selves rosenberg вари nasal sécur fullest niemand soothing
+centralized gunn crise inspirational classe coliseum insanely furry uefa meier strony heirs winchester supermarkets bribe essayer carnival hazrat
+ronnie newt spacious ponieważ superheroes cynthia schlecht salsa shirley sheds dams seguinte yawn peggy erie ratios constell juventus caching
+longtemps jian patton linke oversized cinderella adri daesh backl freshwater workloads youngster illumination chun говорить budapest qian wein
+revolver yolk hemen relics handmade коммент combating fluores adventurer doctoral собой lumin distilled mica pasadena granite smack parachute camel
+nied mbps chao demek grail desmond marketers desarroll mediation trafford curled panda пожалуйста bartender mains eerie eject hugged filler
+marginalized chilli engraved wrestle imaginative dracula spielberg clover tekn pierced taraf curtains forecasting complains frei hermes olmuş cheesy
+dalai angus widen lien titanic thirds blick polaris prairie впер colossal leia diploma começa hammered irma neglig bian frankf gegeben stacking
+endlich azer cherished heller народ nenhum vouchers moot privileges antagon impf titanium descub rites dólares skillet gaal meghan ageing nursery
+everest implied mastermind stroll enix saja cassidy screenings fades marche disgr lafayette ashton mungkin fumble strait floren prick bermuda abound
+juven ascension previews communion paraly phony newcomer idee tangled retrospective volunteering unveiling emba fisheries calculus leuk leveraging
+undefeated kramer även gerard rita elias elaine devs dahl heroine buckley downloadable ostat choix homo alam небольш siberia satanic welch landmarks
+lori reeves dazzling bedford siitä dynamo workspace rowling guinness hass unearthed shameless lima permissions breakup dings crocod sussex doorstep
+gekommen referenced shank bona específic ness sparkle saban jord mandarin maharashtra miejsc mirage gladiator plaisir convertible bourbon eran smoker
+manson laat schiff behavioural hairstyle cach sublime corrosion straighten vitality insightful punya chou habr charms bins dran ambassadors bangs
+saturdays sket caval conor xperia soaking scams nuestras italians mathematic lorenzo cliffs unpl commencer watering prue visionary pard wrestlers
+scrape noses jeunes taiwanese melod oman матери apocalyptic playbook autobiography увер sneaking ajuda niece entreg linen eure terminator silhouette
+grooming stagn isabel wegen valves clinicians pharma först adorned sinn natasha arranging achieves emerson força lisbon pearce necessities barney
+milestones probleme crossings brus patriarchy peanuts sabha colo medina hannibal mitar synagogue türkiye essentials wink icelandic hayward flashback
+layoffs motherboard licht trooper bauer amis deng disrespectful sophom alibaba dempsey horny việt standby compliments sadece installs banging goddamn
+mikhail comedic schule guerrilla temat partout consultations inve magician stocked wastewater constable madre censor generously vagy pavilion бесп
+gupta multim ramps vaping olympus amon groupe ktoś sighting medida signings meow хват bulgarian barking spills plymouth kitten pewno leasing loft школ
+gaga проф synergy gerry últimos choi fearful tendon fiona esteem swami furnace coyotes handshake richtung grammy scandinavian effortlessly roofs cono
+estates plastics bieber kahn krsna hideous miesz syndicate xing downed refere enchanted mcmaster hare turbulent gigs hypothetical calc cabeça guan
+gesund underrated fluorescent schritt fidel spatula cray flakes leve reusable erad polluted derm madonna flute andersen joyful sora shea skirts dormir
+sawyer przypad trove nguyen очер illuminati tenido lugares organise част braid daredevil romo inan lizard montrer pilgrims exploitation ruff salesman
+ankles brushing patty unconditional gucken osaka mous wiele fleming quentin regel becca graphene flyer vendo abel hendricks stump finder nunes 좋아하는
+sofort thames restless dinners trout didnt limp dusk hiss professionalism prescott detal indies endemic trên ogni pedals simplemente damian genug axel
+histó homophobia lobster allevi biomass pesos slay clarence blackburn aman mulher toad постоян hyung peeled hector importa resumes accountant
+adversity larson diab doping bearded inac gong watershed sculptures microbi sneakers elixir grayson polio complexes pandemia glut princes bullies donn
+lapse hari referees pharaoh jewels внимание booklet invari moran wonderland контр vortex festivities selv hätten busiest açık beaver metre dirk
+goggles antitrust haze repar bosh vents kejriwal runter gedacht greenpeace grands sounders janeiro geoffrey hazel cassette druck grieving boldly lifes
+atrav flug stephenson appli seymour paige интересно disinfect invitations childcare sanford incub usability reformed temu learner lois fato tomas
+rumble телеф paramedics regarde representations skinner flask helena spann hiroshima antioxid aspire greenwood toro говорят funky wiggle cowboy
+développ accumulate strauss jasper dane matin gina canine socialists organisers prag documentaries expres resorts персон bragging abrupt hectares
+toxin tidy bray feral warped cabinets mouve sloan tierra powering cafeteria sorta bekommt circling camden spiritually distorted lyric reim valleys
+springer количество firefighter innovate kork pell рассказыв giuliani получается buns tubing rightful yüzden passionately helium dipping siamo optic
+denim hann fearless formas alot clifford grading roaring liaison blot benches yosemite rans reefs ventura deport plantation atención yacht gracious
+normandy bale worldly конц scenic artisan infield körper moreno sailor trucs glück snatched walters gull niez concentrations honolulu shiv councillors
+stains fide pamela triste servicing stär overflowing reiterate chuckle posterior queues anchors pedir divergence overlapping forks económ cylinders
+livro snatch licking seams buraya kraken ello holden projector folly conditioner zurich nurture salut coastline узна hauled romeo wiley jessie orada
+tentar treasurer mañana laurel solvent adhere hindi carolyn experi stressing archie helemaal klopp footwear fren anthology bisher fluent tages glover
+morm responsibly kale imply pelvic boredom квар comedians прекрас dependency suspense tanner während sulla facade esempio bluff parsley aquell
+canterbury работать norwich transformative utilis coule denise bett enorme gathers нравится jimin trance sturgeon clic fanatic lifestyles feds varios
+commandments résult samoa poderia stuffing fiji pellets landfall settles daly fuji abra gustav lyons finalists produk supper managerial preserves
+altri hanna approves komment lutheran prakt unveil hutchinson fugitive использовать chicks mayoral derivatives revamped donkey animate hsbc censored
+belang spotting propel festive plag berman cantidad grupos scalable newfoundland meadow имеет hairy sozusagen nutshell pueblo hobbit reminis fueling
+capsules linha breaths malls enfrent spectator siren chung amir notebooks syner donut marvelous dhabi probabilities contagious kosher fused един cerve
+dramas joka pastors kilometer fielding horizontally alchemy bhag playboy swaps theo xiaomi capit illustrating triumphant нельзя bookmark dicen
+nonprofits diabetic thicken heartfelt lowry одного blooming exting molten sulfur toured tinder contestant morse tacos hacemos midterm sammy alexandra
+espacio renault goofy segue bucs pratic palate flirt trainings gebru goaltender robbins envelop premiered pulitzer lena refinery counselors juntos
+dolphin mith ruim armoured classify sharif продук frazier inse jams bandits accred presbyterian auntie seminars chaired привет marrow barbie limitless
+necks footballer unde curv shone budding kemp theres fostering ingram refine accelerator regen tuberculosis içer spectre afar fireplace alluded omni
+sleeps mammoth bons fitzpatrick emil провод benny parach hearty staats pests fase lionel georget underdog slater amar desks spokane anfield savory
+cobra arming différents mckenzie ferdinand boone caravan suficiente dill między bundesliga invert healer outsourcing sverige hangar zehn cruising
+bothers niagara subtitles pliers bookstore emergen carlton carts honorary graceful dries mongolia drains volver consulate fulton sabb renal покуп
+inaction bruised mots lattice nests coriander daryl handwriting pierwszy moth aconteceu motel vera staples zucker continuum crave jede twent lact
+vines assassins rése relent rican scares kristen fruitful ludwig breaker defendant bask renovations henri instal javier petites trendy scraps
+emphasized veronica radial schema autant wildfire cato materia waitress chops patrolling сами extracted glacier vomit попроб fermented neuron khalid
+graded admins samp cameroon receptors goff musique padded apar dunham append smokes forbid obligatory sven albania autos mogą apes camino interpreter
+yelp briggs psalm wiggins showcased erfahr whipping digestion spécial usps arriver mayors constantine detox parentheses mccartney trous tending силь
+foliage плат aires sola leer minimalist eyeshadow trojan blurry buffet supuesto crusher aero arra milliseconds smartest planeta prehistoric uttar kunt
+manny erect kung paced ligne michaels konst wrecked accessed guesses lapd appelle oaks trivia ignite colourful wholes sars practise wszystkich blob
+destru parting misinformation remembrance moose rowe vivre dealership музы investigates cascade gehe presiding организ gide shuts charisma dalej
+optimus clueless insign proto palo pled darrell dónde espaço weaving hound calming cardio milieu upscale colossus journée içinde vape resonate techno
+anew moles allí collegiate característ frontline byrd olds buckle aberdeen rechts hallmark tensor principals principio fridays clipping berth nostra
+vets irgendwann suffolk caregivers energía scarlett trough yeni taxis dakika tabletop remar showcases negativity conserve afterlife resurrect fotograf
+gillespie josé spilling inscribed bibli pulmonary vorstellen snippets mastering splend excav spartans intéressant shatter commanded tacoma glock
+diapers cellar deformation millionaire находится cords często lewd manger dmitry puntos slaying erica consolation ciel greets thinker freshmen fedex
+classmate прев climates począt allons hopped doomsday mayonnaise supervis uncanny labrador railways appliance ambrose loch gubernatorial avenger
+chopping finch noite secre textile cornwall bihar cuad analogue takeoff conte majestic commuting clarification gorilla alas eyed ender clog
+translucent nighttime kamp rooft mata çıkt kins laisser clutter plaster pryor etme usaf garry runtime exposition appalachian jenna resolver ngày
+shorten armory crus suitcase mccabe residences twisting selfies barkley musste ballard irresistible kami anthropology sylvia viendo metroid absolument
+appraisal docking québec jonah asbestos collagen corazón comfy inequalities lucid pensando witty ganska mcgee jammed kalian yamaha hume sigue beetle
+utiliser booths feldman levar excavation aslında unforgettable gabe дост dumps turret poignant heidi acred mages mermaid tsun wichita explorers
+humanos ovarian extraordinarily chilled styled ministerial seok eleanor gettin heaviest trzy crooked noget hamburger maniac lauderdale momentos esté
+hobbies dissemin kittens suzanne desaf rundown avis valerie bism flavored ornament wilde provoking öffentlich doodle proclaim bitten olivier esqu
+misconceptions payday everlasting gráfic cree показыв cabeza hating pelvis weeping farmland bahamas homebrew superficial boca harding sprouts tempered
+frankenstein genomic boutique hustle olympia winters byzantine betsy optimizing bientôt ecstatic tahun amps ergeb retina eram nuns bikini ashore нашей
+signalling flares downtime assures manziel komb slams cultured demás chattanooga governo stella galileo suites карт antwort wynne akron pfizer
+honoured edged frig migrating calves strikers sabres dictators docks afin nipple handwritten chamberlain extremadura laos ceilings nont rigs
+ministries delusional jakiś blackout pastoral fritz tended clinch megap flips nause coupons gerek quartz neste spears pious pinnacle gord seeker
+speedway ради craigslist versuchen limbo transistor wildcats понрав markus rhyme exhibiting burner i̇şte staten рассказ invincible metros burnett oggi
+disposit pebble marino прил wasteland выпол rite thôi panasonic horton curing southwestern boxed padre eliot subir cadillac booty friedrich mammal
+damien hommes attic cyborg residue awarding beeping papua xander antrag somerset catchy felipe tides curator santi carmen украї wipes wrinkles karachi
+reais igor paljon keane dickens arenas neden chores timeframe elise idée sanskrit acompan glamorous narrated understatement saur orch rodrigo asap
+rejoice transformations popup anci buenos bangalore cafes sclerosis sonny looms baik granger rave cooke clancy valiant quickest spitting snowball
+baxter outage nesting pursued hugging panzer chandra hess sull alps hoffe tinker retir sixers fortnight pergunta tanker plush torso greenwich 사람들이
+meridian renovated kubrick izzy ajax говорю affirmation contradiction monsieur ponies lighthouse brees plaus dearly shaming pigeon scatter gloomy lyme
+pais ambiente tome highlands америк banter uncond kalk pilgrim actu millennial granddaughter humming boden brooke pickups wilkinson услов polarized
+ghetto omdat altre oscars herrera typo communicated jamal predecessor recite retrospect baskets exempel filament buggy rück mubarak droid kimmel digs
+discouraged ebook acontecer kelvin dover collide sleeper jarvis terug assorted sommer gideon rahman waiter aufge reptiles chak folklore cena acabar
+macarthur dives leng eclectic goodwin настоящ boils weir tobias pixie reinst madagascar billboards doesnt абсолютно eddy greenberg sling pixar dharma
+mittel ridden beetles illuminating ollie organising hoops jeux snowy burgess cassandra traumat liegen pasture scotch hysterical browne mobilization
+paperback pearls recovers понимаю sweeps asympt headlights dissertation меньше nero townsend fireball augusta positives sled puesto paleo simulations
+ames prepaid crabs shelley russo spirited enrique önemli sahara dapat quincy costco sunt motivating chong firebase tasmania prelude серь chau severity
+bestimm spiegel philips tiring sentimental akira nebula nadu penetration clyde signage zeros deline dopo vall bethlehem positivity autoimmune piping
+tranquil flavours weston halluc volvo ench primed durum lash propre pubs bowen cały robbers hotline guardiola подоб kaufman ctrl dresden alpine rozm
+letzte sweeney oats palabras conocer sourcing sizing zitten dirig snug brainstorm despicable sarcastic hierarch latex offen reverend chinatown repro
+endeavour compton demasi borderlands letzt mosaic melodies broom nerds tand girlfriends insomnia intoler clockwork геро совет darius starve верс
+commando vaughn gearbox hopping robbing aptly polizei juda midday gilmore decker jugend plex кстати prochaine confederation liksom energie refreshed
+kenyan pats garfield campaigner okinawa masonic quién braces incentiv kats coulter wilmington vending yellowstone ideological interns mayoría hone
+anus cuff aucun daytona lyndon cones tripoli worsh fick originals misty backside ponds corsair vedere caricature texted rolle workplaces amplify
+nossos snail saline navajo trig goddard gibraltar issa osman faust barron nurturing flavorful directional наст canoe premiership работы gasp rusty
+vaughan verschiedene geral oled totem gators seguridad cary immersed dred biliyor pree godt rollins detriment lana chloride schwarzenegger muller
+différentes waterways diner inadequ initials paranormal типа swanson trov esther lige buckingham công capaz refill atkins vallahi howell queste stras
+skyline служ relied deme populism counselling horowitz simone smelling dadurch sweaty banquet oranges astronomer stabilization stamford allerdings
+rusher congratulated birch fique führen semifinals texto thug confessions radically relegation ingl lowell salads hussain обязательно chennai cullen
+helsinki ethiopian biotech chuy contextual paving landfill dads prehe governed livingston clive trabalhar negócio upton большой rhino maths roche gars
+lydia cryptic homs imitate quarry achter jericho bestselling sutherland максим dalla nifty darts polsce morgen sheridan stances finalmente nikola
+fiance humanities consultancy eerste oprah poppy toim insulated pracy untold reilly rake melancholy illustrious dartmouth jeune razer страш mieć
+pageant tutor wiser chemist masala powdered tirelessly infertility trident eisen showtime добр mest tosh rink snipp vantage announcer vans boosters
+tocar desserts testifying plast scully reapp scher whitman ramsay hikers quir hyundai shove siberian hern shal samson continuer tumble midlands albion
+laquelle registrations comrade völlig impres bayer lobb footprints réalité chilean clubhouse estr magnum calais isab complexion découv infographic
+flora auctions luôn piling respecto comunidad crib comigo timers glide intrinsic sesleri condos estimation kardashian produit balkans whirl acces
+nutritious bilingual variability exhibitions birthplace internships allocate luffy amit instructional deforestation lucia unsolved kitchens
+misunderstand pegasus clair diaper jeanne objection pelicans incremental gymn epidemi tyre bridgewater parch physique esteemed incur espresso
+mathematician flattering nostro trinidad gerçekten uncharted julio gutierrez reversible asphalt clockwise homme wildfires cherish endpoint stink
+elementos mccann rescuing harrington notions obsess augustus motivo rove louie comin streaks colonialism guang dprk особенно barbar vocational sails
+correctional episcopal substitution percussion willen beide roundup mckenna leaflets bashing isto collaborations abbrevi princ liang peck nish acontec
+aromatic seeded uncon snag microbiome ples bleach стро breadth irwin eaton classy constants transporter hijab sowie tues setzen aden söyleye baird
+connie pronouns dobry whispering limestone volleyball frankie lament rahul kasih postage pess wolfgang sass flowering manure долларов fascists перем
+coasts statut petersen söyled bezos unmatched przygot vacancies hyster werner witchcraft acupuncture jarrett jesteśmy elkaar kathryn millionaires mère
+exatamente rudolph kimberly vacations удоб booted soar solicitor bombshell kolleginnen brokerage angled olmay entste haitian biomedical binnen ipads
+ezekiel fisherman etched brittany rigging terus almonds accustomed unbeaten harriet mina commodore wield scorpion commend portsmouth faktiskt
+slideshow synopsis cockpit nominating melvin команд dishwas generational eyeing thanos interstellar kidneys croatian sehe squats kuala angelo высок
+bringt dips niss bombay mace tenim sneaky gauntlet spart unbelievably состояни shenanigans uncont której angola tenga thurs sympathetic adidas bizi
+timberwolves cropped lumpur guerrero πολύ chilly stoked fiasco fractions leukemia versucht atkinson polity browsers vanishing prophetic dictate
+motivational ninguna pizz santana miko leopard baths lernen unification cleanse priceless eras lazarus rebate creeps deform kira amos neben cerc
+corvette pesky challengers tester parfait traveller ransomware amtrak disbel cradle antioxidants firewall mashed fanbase paws снова christensen dianne
+jedes elegance castles hots titus administered richie замет hesitation maize treadmill frontman второй jakarta insanlar perched ihan overboard sill
+sinners opec strengthens malnutrition filmmaking szer polk wetlands yeux pong sicily mustache mids baru clipped gerrard vater moroccan hyvin
+outpatient apresent payton polo игры anon lookin hatched mite asheville nota abend unesco exaggerated sagan helpers redist openness kare senza
+natomiast warwick modernization bandwagon naples genie comen happiest jasmine floppy infinitely unison redmond fuelled rolex eminem towed sheltered
+etiquette juno orchestral grimes terminar crumble hasan dystopian overcame brenda lanç curls bearer kers rendre stacy unterwegs impedance aktuell
+nathaniel heisman vatic streetcar judd flashbacks taper unhcr curfew człowie participates anesthesia acer terme innych woodland wembley pavel balk
+tagging hesitant litres sheila voltar scion senegal фильма weep jace whirlwind kidnap biscuits laced itch penetrate ported donít logger marriott sizin
+laureate klaus наши affir fielder sparrow spoons mondays mania péri condemns obviamente composing smoothie pepe appel paddock fishes rutherford amelia
+laten stunts vardı stocking hump invece parcels actresses striped mellon multitude neutron webcam locom twain namesake fiesta homegrown conceptions
+cabrera moje instructed rosenthal lansing помощью invests sabia ufos полностью próprio tragically interesante melanie condensed visitation avent
+poaching greasy nemesis disreg inspecting partying stero solitude desses lobe nirvana berkshire meget wills judah стать alvin responder hinten tata
+conquering viens royale samo motorsport świat grids запис briefs cures digamos giveaways ammon cringe ulster направ wilhelm которого radiator
+ghostbusters minced charred kaum macy plataform dyed familien gist christy anchorage szyb tammy worcester удив bullish realizar migraine chevron kilka
+marquee haas franks vielä cleaners statistically sogen wally bigfoot quaint antidote experiencia abdomen sauces konkret toddlers heist cannes
+collaborator cubed sheen jesuit retrouver giovanni waveform potem meinung scoreboard asses jude telegram canary cristo duff gång leica garmin orphans
+месте claudia jedem calendars brunch iterations hawking unav reclaimed números rappers desap gazing hitman refle יותר toner комментар czego notify
+apparat habil brah según schluss odpowied rempl znaczy något prowad peki methy direito dependencies pytanie interconnected embaixo sicht maßnahmen
+sweetheart neatly sensations squeezing manos gogg autograph torment estre aider saben türk поряд chirping cuanto regent beruf distracting istiyorum
+quieren supercomputer diagrams объяс estaban karış gauche einzel семь rename опер итог zast zucch obtaining submer diskut oxidation situação sagte
+turmeric kṛṣṇa progressed fergus resultados kayla chegou fourier соответ carbohydrates emple мире prettier donuts dissert plante rzecz sarc tampoco
+philosophers comentarios mise społec труд whirring surrend demais criar demographics inconsistent immens meist impatient behaves backstory temperatura
+nutzen männer factorial filho elét gefunden semicondu giorn liken rhod acquaint trif página inlet yapıyorsun souff injected później daher любим tummy
+cuest presenters parap certaines whereby stip yapıl undertake kızım eyelashes står calend ludzie nieuwe mencion unjust prawn frosting cardi científic
+близ dedic ultras извест utilization совершенно servi discharged кварти telescop nana gehabt ether tipos falt disfr могли entrada игра автомоб
+someplace dishon fuerte buld правда bugün experimentation medo passt manipulated sabot nouvelles bezel hanım indem voix oficial diyorum parar martine
+rester wert parchment gimm caminho dopamine прок mustafa inertia самых voulais relación gosp werd schlim quadratic caro zobaczy asymm быстр anonym
+medidas fragrant directement spherical abge ocup luci disent problèmes droite exponentially blev своим acha многие permettre abras verstehen kahkaha
+hect créd contraction sopr anar internacional precedent selon morte começou pessim papier könnten którą titt gjort примерно disadvantages chattering
+marché photon estable olhar hilfe мало línea zweite sogenan schutz estilo birl sovi traz snip cumpl parlament hypert busca varias bounded nhưng mala
+долго depl interpretations sugars distort underscore unquote commencé diarr toothbrush cade risque esperar werk musi função bevor repentance potrzeb
+sala campa decía sécurité säger יכול croat treffen tensorflow chiff contracted segreg vulnerabilities curvature formulation celery programm père
+daunting plung darle cripp disput resistor allein endors ребята lleva kennt jugar genauso landesregierung gitti forgiving concurrent tremb tiet режим
+täll myślę polarization flav cambiar trouvé départ interessant ederim pourra rapidement stiffness differs keiner conjunto indirectly alleine danach
+promet sabes gesetzent stimmt volte assumes implication chois minne presque schwierig acet freaked latte espera aparece quería distributions exponent
+burdens authoritarian одну distractions herausforder zest arche działa supers avere bunlar retali какое xiang bate specialize quis hakk inacc
+jurisdictions kardash loosely dieta superv nutrit понял mesure attachments hombres unut treball реально chil venge dishwasher modifier isot науч feder
+живот kazuto ㅋㅋㅋㅋ überall seid anak acabou olabilir erhalten staan comprised персонаж wann тобой kardeşim communaut pickled acord troubling marcheg
+zumindest seamlessly olun практически backend faço marchegiani pastel fondo tercer exactement rapt abort новый miejsce solder professions orthog
+correspondence inflict fand lotta imperson extrêmement заяв passo aseg pequeño triangular kunden fach übrigens konnten normalmente travaill stereotype
+payer espect unwilling lieber inference lineage deja менее herramient אומר видим interdisciplinary trag tedious prépar desarrollo viscos milligram
+gund ferment drawers pelos razón scree mitarbeiter semble prere diferença heps gratuit electrode securely registers exacer lanz propagation hijo التي
+серг impos ellas frase stad manten rikt знаешь benut отправ oike kazakh relational construir kötü characterize nuit einsatz серд посмотреть görüş
+halves rätt muerte recherche pozi randomized combin hyvä pompe biri gern wcze benefici solids diyorsun holog claps okey intermitt eigene alimentos
+приех sampai parlé correlated corr vacun stellt mooi uhhh firsthand veron tramp erstmal psic getir dzieci tasked irrespons einf việc scor pillows
+tutte doncs kanal influencers beethoven overe denkt necesit подум детей sucking stencil primo appreh giul hören faud avaient sare genommen fasten
+cafeter hago elmo gusto tert banda mily thereafter calibration foresee qualche deste encaps gespr chercher causal bereit ayudar beschäft конце facilit
+namen wissenschaft nuances sicherheit valores задач manageable imposs sert tiere scorp redef exacerb procent menstru проч москв finans diferencia
+desem важно 있잖아요 informations поговор voiture reus похож produits kite eyeball gamb porridge yardım máximo vorbei netz nimmt constrained
+differentiation pública pickles baek çocuğ periodically перек perí penser takiej camer disagreement yosh liquids capacit vagina begr alte разработ
+далее благодар proprietary instincts слова endured свобод disloc negotiated стали motivations atenção удар proceeded derecho conteú współ rahmen
+attaching suka verantwort принципе recuer entrev outbreaks plaint vlogging auft heiß domest strom siebie cloves pous finanz mutually внутри selena
+gaussian ejerc estad bekannt demander decorating clich acronym gels electroly мной episod ediyorum круп matar artem fille promin acompa themen новые
+bever będę atual tive talkin quedar jogar milhões хотите surn consci побед memang tyle själv tada руки определ procrast jogos książ coarse dumbbell
+querer правильно compra biscuit vaccinations tricked piggy anunci rond poser потер formatting haar somethin coughing nave работу eyelid prochain glaze
+опас fent capacities altura seront cosplay spac samen представля dije hypocr kadın kylie elemental außer alissa scrib lequel chopsticks erfolg unplug
+offs guatem erreichen ambiguous utilise corrupted concret функ camoufl recoll kleiner malad influencer mniej acidic ojos voud systematically sendiri
+reopening cerv cadre männ adesso padding rearrange freakin leist sigui azul haush край longitud langsam нормально хоть própria banc thunderstorm
+przeci стало ders quantidade законч четы entwicklung vivir expiration następ disputes merak enormously führt завис perseverance proszę scalar cran
+edin máqu aika deutschen понятно scientifically preguntas холод toma murm fuerza hani häuf osoby calmly viscosity modal gesam municipalities bened
+lång однако przew pepp magically babys monst cier магаз markt dachte schüler spielt perlu проход salted improvis возв говорил lanc utveck motives bong
+котором demasiado multif ziet rama sanction през немнож både tuber incumb beraber gosta downwards полов chlorine разг améric artific replication neutr
+dados дуже deton plausible peeling crít grote gefallen saúde главное através zweiten mover limite kranken thành profoundly toothpaste granular menjadi
+feuer prosth знает легко смер abolition sadhguru preached volont quint grosse stanie newcom freunde negatives rendez overc идет audiobook tulee zoals
+diligence мужч només istedi disciplined alternating verme tota beber aufgabe aucune amph świe dessas давно propio kunst données segundos właści жить
+effectivement должна reside completo répondre различ grouping syllable beispielsweise película chega кому seism baum toolkit pussy conceal случай
+montage полез pone ganhar fundo истории compartil diminished photons adelante així congrats razem consig intimidated meno teor verdi vist ошиб destin
+kalo arqu plano encima protons scand beige öğren temas kyung recomend disposition исслед lados olmas undertaken langue beginnen seong judgments siento
+jorn trainee utilizz analytic symmetrical ister предлож inic miedo ambigu incomp salesforce particulier экспер suscri triggering afterward saker
+quantify mentorship llega tamara esquer annih suction сцен wielu objeto boobs geschäft earbuds раньше routinely baix кноп smelled highlighter propia
+propri perturb trabajando должно arbe arada cola reconsider mondo unsuccess bisog unravel sweetie représent сама degener rosie consec потреб meva
+justo fluor sheng начала trung pozw longo kelu concentrating около lidt слишком siihen referencing respuesta соглас depreci computed wiping elli telef
+leveling sitio сообщ lorsque fini убий indisp televis разных ziehen improper imagen сделал evento называется bali compartir выглядит reduz abonn
+projeto pantry validated valle verkehr batht semaines видел siete queensborough menge вони immin abgeord realistically dever gebracht absorbs granny
+civilizations hält layering weten défin captiv speculate cooldown wcześniej elong diode summoned respe rach movimento энерг manipulating positiv intox
+pobre siècle irene pinpoint några рублей фотограф dokument czasu continua tanta irgendwo shakt dingen ehrlich naturale momencie geehr scaff externally
+thecube знаком freestyle chime merits altro länger personen validity contrat cumin chama денег profund palavra réponse göster участ knapp sådan
+redundant mitochond maravil arrays atac сложно topl geri влад ajust marque detto antiqu kazu slightest våra verschiedenen lotion resonates fulfil
+justamente доступ reconcile confinement travaille nghĩ вроде nhất señora çıkar picky retract bola invoke extremes milj competit realt pernah
+demokraten worldview étant yemek schöne sausages proceeding veio frater egent prawd stereoty doable hoodie отдель reorgan пойд unbedingt mieli alten
+mouvement saute coloca возможность physiological experiência видно quarant puedan flatter factions sint induce devenir diarrhea tornar ungefähr
+psychiatrist gera alred sinner kilow determinant deceived notwend 지금까지 partido descended vardır enacted części trainees malf carla mcconnell созн cabo
+sarà legitimacy acum divides cheesecake sorcer misconception hardships soviets italia gdzieś человеч deflect toni pasó terce psychologically miel
+crackers coração ребен spic скорее österreich grinder ambos confessed необходимо insgesamt genom unmute мира meilleur rewind pore siinä versão logar
+произош steril ссыл lacked contacting gefähr orthogonal entendu rasa quốc slut taman qualidade sinus programmers увелич pluck binds propor osob зачем
+etti наших mitte история schizophren fluff собир apoy vuelta mies especialmente alban постоянно genere lage demost dage använd psychologists possa
+metic richtige сохран droplets sost perish bloque abre énormément otur secondo incompet ascend olurs verfüg pele disks замеч nigga karaoke purd остан
+прир nominal aula экран cherche laufen reactors guideline entreprises constitute zhong ersch integers rôle reimburse salah opacity тест écrit
+insufficient tagen melon получить unreasonable precurs mogę mundial personaje nível fazem essen commercially гром innate impul состав oyun obrigado
+allāh przyp pept voluntarily herrn stamping эконом найд komma размер carta adequately veulent cioè reverb gegenüber bege offend слуш purposely hina
+ollut archety somm epile najbardziej sinful глуб presets wrists grouped обычно tung converge sociale спас canción hert vandaag najle видите groot fout
+schulen haver freuen paralyzed suced progresses eğer azerbai entfer chwil sechs weise pesar haird przypadku confidently anarch dobre carga norte piet
+було temporada doute rationale fishy emptiness brag transient mittlerweile deposited kimse moyen nuevos chocolates golpe kwest statutory gesetzentwurf
+yere embodied misschien descrição recoil exported estan lavoro swag retard luca điều kaufen nett discut spricht bitches tapa devient wuhan tipp disast
+qualité gotcha sandbox herkes resposta rotates habla wack rotated inad cupcake famili groo diffuse debat fingerprints хочет etiqu chính weihn demi
+kristin rigor prototypes giorno говоря incr debated tightening повтор блок facto państwo després willy chacun hört aggi gestellt самого mesures
+percentages mudar mejores modulus modulation larva gider посмотрим preço oysters myan leuten pater sociedad niño masse scattering desapare override
+garr belangrijk universo multit mikey amerika relatable swims swatch puisse masuk ними kana encant vicinity голос vigor qualcosa scandin bess dolor
+vergessen eyelids tanz scène garnish convex médi вариант avanz intestine muốn такую revital incomes parrot seva oliv weiterhin activating passado
+hilft gwen escola consumo semanas presid naru balm dispose thermometer obedient informações tratar stör librarian fino kommunen motivates handlar
+expectancy embody unscrew snel descriptive букв mêmes ethn hijos zahl göst różnych hardened siber sofia weakened pinky приг nuance modifying
+möglichkeiten homogeneous gefragt asynchron suppressed mozart событи hahah comms свое czasie région crumbs funniest hehe opaque enfermed chanel
+persönlich vähän celine технолог остр soient gesprochen servicios kamera leggings ergon episód gigabytes andare estrat receber dramat mantener excer
+microf foreigner твор población mateix siellä compuls manifested placebo blat stunde atte istem annat heut oportunidad faisait diciendo любой oste
+jjonak invinci produkt nuevas mustn hjäl krit sext кораб durchaus buoy perto datasets overturn unrealistic fällt whack соврем sequential profesional
+cools repente aire incorrectly bombard chromosome advertisements bathtub draining klass bakayım distill indispens forsch έχει hypnot naszej государ
+tadi calidad müsste jobbar jeju arithmetic plugging regierung conductivity bulky срав пром bends skillshare mmmm tumb wass projecting pega imbalance
+leftovers caveat watery eggplant podob cohesive verfügung докум gasps avenues inici acht вещи devops toppings obsol разные bijvoorbeeld конт rahat
+servicio unterstützen evaluations reca quienes inten mostra делает récup deven behand cauliflower miteinander resentment aper acompañ pren inhal
+comercial cele soort hyped onlar movimiento chry interviewer disl ligger рядом lumière olvid freue życie décidé cœur entwickelt confiance diagnost
+крут restrictive empre tilted intensely açıl appreciative tinc mulheres detach airpods lire sucker nombreux изуч miten urls слово nenhuma encuentra
+percept súper presume neurot plotted państwa ariana narration criança alrighty bakın grated articulated stora extrater hoor брат idag cinq aparecer
+quieter falsch плюс machst dall gelen cucumbers widgets devrait intra hund keluar peac rong confort nasze kontakt disproportionately ключ título verkl
+suivre asta stakeholder samma nodig leva juegos bottoms pollut dura комна всей stef bigquery verantwortung quizz encoding tänker deceive länder
+podstaw musimy unin puisqu krijgen workflows unnatural efendi chamado przedsiębior dynamically inefficient mundane aumentar alltså capacidad toca
+solem cinemat orbits الذي grenades atroc wherein replen busan saliva merk ilgili круг sahib 있는데요 stol belongings efendim подар acept włas mongol
+tentang inversion stos interacts vanish linearly zmian folge aumento steeds wykor prawda discours попад innen пять encontra niew filtration професс
+pajamas cilantro hydration plywood beit coils câmera amended normale consonant irritated fått crocodile frança attentive alrededor свид gimbal heft
+haters besteht insignificant consigo nadzie uwagę eviden symb dermat sitt estavam khác invit treble tuvo erde dziękuję blueberries sprout mona función
+rappelle evolves scraping comentários pratique само иногда creatively benchmarks sotto lavender eyeballs paty embroidery camar spaced głos есте sash
+summertime bauen senhor transc zaczy sevi üzerine straße sacar imagem bundest sizz поступ française barre geez reconoc pelig indices conduction zeker
+buenas possono oscillator schneller importing ubiqu activates composers некоторые candies duda yeshua marshmallow abla angef pani смотреть dienst
+wären fuego estruct calam verz personnage farklı места początku personajes unsett neues kindern shopify закры universally teaspoons recount någonting
+weakest teşekkür mathematically partager darr germs gelir quotid przysz hardness ostr mapa sami medien weiteren pizzas sincerity nossas cauc смыс
+spieler containment итоге vase monate quais inicial dazz управ intermittent zent scaffold necesario zahlen взять pendulum multiplier ладно upsetting
+anál kosten guin egyptians його snowfl lekker acost adjective montre moisturizing mozzarella facult doet allora cinc conteúdo minder псих titre пару
+mitgl spind canton incapable собствен каких perde tiro líder atra mahd código simplistic första constitutes сторону electrod alkal bitterness soybean
+collab компании wszyscy решил gleichzeitig depress ahor steuer самые cuánt buna 있거든요 przest duch satisfies cámara pomp respectable vender mattered
+estudio cactus compliqué jeopard keto intelig angeb tiden caregiver спрос cuál студ sweeter comum будущ waffle laut rapping bahn sanding проблемы
+doivent życia existem smithson allahu hindsight jahres souvenir sayin останов lemonade немножко maioria astrology preoccup demain воды prêt refin
+приним поверх zrob intertw понять получилось tutoring stesso gegangen antig gedaan clamps comple intestines legitimately сначала certa akkor octave
+états longue dissoci pantalla indications viennent чист tsch adaptations habían clique suchen часов прест simplesmente телефон ravi 있으니까 aleg indent
+iterate generalized стала richness conscient элем cupcakes naszego diğer carm ocas относ armp открыв enam нами entscheiden dared aspiration alej
+инструмент empieza clase zasad unfolding polski kauf celt toolbox belki draußen hebrews armas gedanken подход outset throughput cuma площ partis magg
+clumsy bottlene birlikte objections olsa groans naruhodou nell entscheidung truthful sharper bureaucracy willingly mehrere embora люблю figura
+pandemie período questionnaire période sighs kensuke gesundheits positivo kelsey αλλά bilder seres muchísimo centigrade tragen schematic passou
+meatballs synchronous permis meidän estrogen centimet possiamo perdu pathogens trazer tark сделали zucchini waktu milliarden shaky przede rotations
+становится начал arteries пользов weirdest bois tehd immort whooshing centrif captions orgas inom burnout bättre blindfold spinner möglichst médico
+trước dopp holiness culpa yhte seriousness concise verloren parecer enfant emitted revenir arising precisamente interpol tecnologia nerede sava
+escrever fleisch begg macam rzeczywiście vaccin александ caucas lumps nouveaux hydrated achei ощущ скоро vowels ужас hoof engagements añad caterp
+rumah punj comprehension anyhow sitzen kolay naszych dzięki goog безопас sekali snare rằng försö übers stratég früh zust gereki éner tilde encontramos
+phar pretended conjugate entren aladdin curling calle minh micron conduc возь actionable tief headers animales jangan casing jóvenes nuanced дополн
+kampf développement coupe 그다음에 cine milligrams lihat grandi wholly mahdoll controll región premiers ghee gelatin sociais velocidade shortened términ
+seiten respectfully totalement infring bose luiza плохо meillä souha geschafft convolution människ gustado coined lulu roasting chromosomes придум
+будто astra какую вокруг valeur montón hond fullness whoops transluc affirmative pottery fluctuations crianças basta корп затем airflow xuan hahn
+треть pressured нашего semiconductor plup forsk amiga cincinn sizi bliver полит subdiv kunne collapsing lider tama gagner refract disintegr любов wilt
+komun syllables chut гораз dagegen chunky epoxy rejecting squishy plupart méth uplift técnica pasando раздел rotational prett beter provost hvis
+deactiv hels sabrina común тран holz protr criticizing opis mics necesita bagh tendencies знаем emulate banco overarching возвращ unintention nicest
+brauch teria olmak leven equator vrij emphasizing dialogues prow nept voila ranged levers engages obstruct troph takeaways podía debugging
+instantaneous kepada getan пери maced гораздо темпер przedstaw gummy cortisol génér binder modèle inteiro tamanho heil хочешь leno sortie undes
+slippers onda relativity identifier tros detrimental bunları região cùng küçük gewe denote probiot molar erkennen lifecycle podéis parab matéri caric
+praticamente comunque regimes 경우에는 вход autobi schn конф миним sistem cách יודע superpower stron dépend merde flirting coeur connais sociedade kait
+chia граф parlar sporty deepen errand rotary mesela excell eduardo şunu i̇stanbul produto wollt lass hertz звон autoc receptive tekrar gelmiş bedtime
+argh города yerde gutes alltid dokład multin sangre blinking десят ratchet timelines goodnight cunning prata gustaría estrut descobrir preserv valt
+pouvait appar preferably república herzlich chimney verr вдруг cockro людям políticas panz erro camper hoard desta inim elector différence footing
+condiciones clinician diskuss leuke irritating pior handicap vull início splashing assistir verändert pierwsze сожал etmek chemin umas medios eraser
+wollten pareil billie whew seben sinon catalunya doctr stuk filos попыт unknowns telescopes gucci hinaus unbel schaut piel objectively chakra chicos
+vinden iced увидеть multiples layouts подт cadence ważne voiceover sebel gema sabem vars antim характер viktigt apoyo jard heightened дела rigt
+britney everytime ataque alternatively palavras réussi handc refrain коман llegó склад trás fils schr sprawd monaten inconvenient humbled increí
+kommentare joue испыт grate controle prototy großer bewusst passieren ergebnis directamente persones vomiting conhecer adjour plataforma profitability
+erreicht perdre nagyon elasticity earthly американ politiques моей wichtige anno viver solchen salz twor hanya patienten новых jedoch домой acerca
+socioe patt demiş craziest cynical tresp craz nelle deci bubbling productos replicated rédu connot духов зовут clams expenditures deduction recib povo
+destac nécessaire blas cuent corpses ciek arma yapıyor izquier beleza specjal física willkommen смотрите можешь stinky переж rere schme abduct
+awakened enthal intellectually bounced vraag spel schwar canonical thatís mellan foarte intuitively souven morb cors dumpling contrôle ambiguity huis
+aime erklären jewe центр collisions phosphate oversee brinc payoff chaud boug kwang inserting creams chưa galile fürs estiver lorsqu cutest креп
+slicing esperando vander mówią tooling restor posición intentar matière estratég minimizing apprendre англий geopolit makan mogelijk περι installer
+dibuj fizer дости kollegin attained bewe rollers mering république трав gour sauna peine doświad commentaires раск progressively uncheck memorized
+phew puta hinges transact podia solemn вниз wykon graders crouch cliche soybeans mimi bolsonaro diaphrag bilang jaką lata אותו haga grounding tills
+engag популяр wprowad phosphorus apron kultur olives teilweise sencill prends narrower jätte informationen frick beweg intervie yanlış notor 맛있어요
+вполне paprika efecto opini muut interject butts videog оруж buscando melhores omin completa setups ammonia schweiz bande troublesome numero предлаг
+большое crucified meditating axial quadrant pergi cameraman permitir 여기까지 bestimmt будете tengan bundesregierung động kriegen habitual roommates
+переход nghi mening wied mitad robić bounces pragmatic wrapper warten pensa precio corridors overthrow cyberpunk manifestations cuales lösung exfol
+sano sewn reciprocal którego devotees rhythmic vorte prefix dato custard meny kort thumbnails kaikki knobs reicht jotka leisten provoke konse carwyn
+tteokbokki dizendo correcting nummer obliv moyens sinne preis смож broaden carbohydrate бизнес llamado essent zebra kafka серьез motherfucker
+apprenticeship разм sanitizer ofere giov irgendwas depende lemons föret мама interpersonal abnorm kontroll regres erzählt arrivé substantive spoonful
+contenido besl pase dette ожид monstr manifold glauben streamline démocr наблюд wspól część bezpie resides gelecek téléphone pewn geil garder abigail
+pequeña injections philanthropy yolks obliged laink verder reins inverter trimming sente unterstützung anakin oatmeal паль acknowledgement terrace
+ornaments 없습니다 fellas versión прилож tinham polishing consequently upbringing whim выше épisode sulph encara divul utens pana vegeta unatt отмет
+tactile hatır policymakers sitter predic thinly strum aggrav constante transitioned misf punkte trembling gespannt عليه никаких развит itchy ciento
+backlog darrin segregated erlebt drugiej robi milliards endroit друга mínimo возду geschrieben disparity wavelengths verein clás cheddar буде curd
+referrals mier confronting tryin chiar mismos shak sociaux kişi cyan спокой precon mandy grupp constructor véritable threaded trays stevie derechos
+преп realtà indicative постро yapmış olması iedereen rained inhabited arbets häufig град hine ehkä nothin mandated wors dzień znajdu prinzip veterinar
+rozp psychopath xian troisième producto değer moisturizer siis japon tenían encanta dropdown wording clarified nicki obras acontecendo oreo hunch całe
+spontaneously etap testified presup contrario dilig встрет conséqu citoy begged minnie principe uncles intersections gjorde gasket bock канале дней
+vaya ouvert contexto dépl consomm біль persuaded vontade jesús forearm toolbar брос kook monopol millet lira ikea kazuya psychedel envisioned wunder
+pharise einzige blindly defens vibrating stimuli clairement scariest découvrir верх różne redmi ήταν ändern gesicht настолько jsem blossoms renee
+leakage impost вижу apologized escuela ching samb entsprechend electrodes freiheit fordi doss discriminate außerdem desenvolv обнаруж настро controlar
+cupboard budgeting pourtant отвеч שהוא нужен brat flashy isbn junge точки formulate metabolismo parr microscopic scalia garde scheint corri succeeding
+rhymes invoice canvi powerless csak nhân revolves indispensable consulted olhos monter hana vaan tradicional resonated elemento antid loca melan
+sorgen pubg awfully semantic momo características fehlt druk vergleich recomp honeymoon penso belli passover сожалению звуч introductions housekeeping
+hanger politic höher qiao gimme américa tecnología dispersed shaded joystick syllabus обще hiện festa pięk coexist áreas uważ människor naszym
+alligator тради nies fehler anderer жест capitalize cortar contrac система manque submarines pasti broch guill streamlined hvad diez chuckling manter
+gece сказала trabalh нашем nouns tisch diret picas avete содерж dostęp snapdragon sunflower gird volcanoes adversary extrapol zooming skys genial
+teeny grues prueba polygon blueberry sebagai laude longitudinal admir wyst propagate molds reinforcing проблема potencial erfolgreich nehme
+básicamente nooit afflict olga dites realidade uniqueness subsidi pigeons deren описании goosebumps frågor israelites bevölker legen bruk ländern
+besar plats migrated dissect zusch zeiten reincarn bagus willst decomposition стен cuarto patrim burch hepat hàng ваши rework parse çıktı mongo aaah
+stabilized lamborg vorbere clinically yeter pulley muffin informação beyonce вопросы bulun obwohl topp lindo réfl varsa methyl karere preparedness
+speechless lasci bolag хочется innerhalb gymnastics karate domu demandé maría warsz mikä roup italiano компьют carbono covet mahar ausw indifferent
+наша jeez breve criticisms rusia опыт rainforest belum wzgl powiedział yells stylist schreiben treaties molta campe benevol moim evacuate errado
+weaken siglo устрой dona producción clot uneasy promptly прошл puerta überzeug coch supplemental conceive uploads turbulence satisfactory washes
+extermin одном najwię mobilize millor político painters чтоб sabor précéd annotation inaudible textured gezeigt mandates beak akbar tiếp superiority
+chills dedans alger spezie coloss exactamente iemand mandar insbesondere drizzle diminish yoda bilmiyorum переп participar normalized complexities
+resiliency nogle physicists stuffs sistemas interfering equiv abord делают fruition birthdays correlate playthrough merciful ooooh gäller milks dicht
+выпуск feeder handout geology vold panch pross bracelets rozum lynd librarians uniformly abus schlimm rattling consumes resurrected выступ angie
+overst ineffective wichtiger vino emphasizes tortilla mejorar educación stretchy withhold enthalpy salvar leaned großes fitt hostel fingerna nadzieję
+spool detta aproximadamente silos magist krank startled umwelt paragraphs meglio isolating aceite cyst хороший virtuous investigación devoir masturb
+straßen dikk afore jungkook chociaż debatte weirdly viaje kinderen enfim дети purl academically toasted quizzes começo verst olaf pomoc россий бывает
+이야기를 combien ebenfalls desperation orbiting espí преступ stitched latent prab industri cocktails brighten consolidated grille diligently wrestlemania
+tote schizophrenia zdję spannend rhin plötzlich repo imaginar pumpkins kanssa języ communauté erhö wolver pakai insulted consiste gleichen mote
+clauses wast convection confian unglaub marketed células setzt nosaltres nauc bhar timest pertama verbess linkage eink microorgan narcissist kombat
+perfekt ponytail koska obec chests produção inadvert наконец proteg liberté inserts jana wydaje fallait disobed antic asynchronous gagn sauc peuple
+deben роль каким útil swoją gebaut chauff esfuer fonctionne veya gelernt welded ondan medically energized uninter amplified characterization ciert
+baht griev succeeds vimos lazar sembla restraint whistles scolded acceso absolutamente prescribe vienen sneez molé käyt joanna vested erfahrung vidare
+brittle damas verlier dość maximal distintos 왜냐하면 conveyed funz bastards ginsburg nuovo retra pozy grooves máquina deinen especie perceber акку fists
+marinade informational acordo twenties rasp bumpy attaches puree stirred jakim speculative tare baja runt précis geven véhic buradan exhibited escrito
+україн interrupting identific estran couleur agrad ander prise moderation erfahren deconst eren müsst fußball telev jingle studien pang personagem
+média chern thời conex efic underside neol fian pista поех horrend consolidate numéro famoso презид serio glands börjar segurança acesso complac cielo
+zhan stata contradictory самой fauc correr gottes vitesse spared раза получится tähän понад pertaining teste değild damping tryna mentre assigning
+repertoire objetos experient заключ voltages niego deficits interacted entendeu szczegól quas paling colabor приготов mauv judas терри насколько dagen
+santo abruptly vaak investir fiquei глаза unnie gemaakt коли tightened herum görün electronically ceram солн macaron impacto rapha להיות ähnlich floss
+möchten grasses recibir bouncy viktig begitu picasso microb devo lehrer saas sitzt revving poorer coerc zdrow fender facets kund slog offenses inglés
+jacqu estuv spouses verso хозя descon publi entschieden käytt manne histogram fella einges representa punishing familiarity projets aqueles aquellos
+swab regardez posição akhir extracting anecdote abges oluş complicado covari readable inhibit decipher собственно samh escr encompasses auster confisc
+mandal кино vole requis eyesight worksheet swiftly conos eliminates giraffe unintended persecuted arbeitet autob подготов économique ceased спис
+nuclei iste zupełnie reliably magari pornography resolving спорт nectar visão bref novamente grilling bora hypotheses nationale éléments indict felic
+incarnation formul reindeer означ envol знать видели berm soprattutto debido mire andar spong orbitals hashtags mauvais livres внеш hice esimerk
+irritation giggles meringue leche drie passat oleh gabrie episódio piace flaps resize sneeze shroud veramente grappling wohnung imma duygusal
+stewardship harp одним competency mrna gangster właściwie quarto stinks tussen efendimiz boule sloven marly caitlin tavalla entails copenh walnut cuộc
+velocidad olho surname schuld столько torto backups universes fera отдел rockef thực possibile estem tätä страх incorporates نہیں cama alcanz incense
+granting firma hypoc dares cuestión assunto bier psyche malfunction asteroids сотруд arran oppress capacitance diligent manifests
+""".split()

@@ -1,6 +1,7 @@
 """Quality rules, mixing and secrets against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -174,6 +175,21 @@ def test_every_context_passes_the_prefilter(name):
         assert (lo, 3, lo + 15) in spans
 
 
+@pytest.mark.parametrize("text", [
+    "The password is required here.", "the secret is patience", "pass: something", "your token is invalid.", "auth: Everything else", "pwd: toujours", "the passphrase is forgotten!",
+    *(f"pwd = {block * n}" for n in (64, 192, 5000) for block in ("xy", "x9Q", "k7Wz", "something-")),
+])
+def test_prose_and_repeats_are_no_secrets(text):
+    assert secret_scan.scan(text.encode(), 10.0)[1] == []
+
+
+def test_repeats_of_any_length():
+    for n in (3, 64, 65, 4000):
+        assert secret_scan.guess_cost(("a" * 20 + "b") * n) < 9 + math.log10(n)
+        assert secret_scan.guess_cost("xy" * n) <= 2 * math.log10(26) + math.log10(n) + 1e-9
+    assert min(map(secret_scan.guess_cost, ("xK9#vQ2!pL7@z", "qmzrtwxuip", "xK9#vQ2!pL7@zR4"))) >= 10
+
+
 @pytest.mark.parametrize(("weak", "strong"), [("password1", "xK9#vQ2!pL"), ("qwertyuiop", "qmzrtwxuip"), ("aaaaaaaaaaaaaaaa", "aXbQcZdWeVfUgThS"), ("2019-05-17", "20a9c05b17"), ("abcabcabcabc", "abzqbcxkabwj")])
 def test_guess_cost(weak, strong):
     assert secret_scan.guess_cost(weak) < secret_scan.guess_cost(strong)

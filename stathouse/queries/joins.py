@@ -184,6 +184,14 @@ def patch_merge(spark, sf):
     return sets.replaced(old, new, ["k"])
 
 
+@registry.add("SELECT s_suppkey AS k, 'new' AS v FROM supplier UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def patch_merge_whole(spark, sf):
+    """New patch lists win over old ones; both lists whole."""
+    new = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("new").alias("v"))
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit("old").alias("v"))
+    return sets.replaced(old, new, ["k"])
+
+
 @registry.add("""
 WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS des FROM events),
 g AS (SELECT user_id, d, COUNT(DISTINCT des) AS n, MIN(des) AS sole FROM e GROUP BY 1, 2)

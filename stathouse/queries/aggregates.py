@@ -187,6 +187,28 @@ def pivot_share_by_year(spark, sf):
     return mixed.select("l_returnflag", *(F.col(str(y)).alias(f"y{y}") for y in (1995, 1996, 1997)))
 
 
+@registry.add("""
+SELECT o.l_orderkey, n.l_linenumber, COALESCE(d, 0) AS d FROM (SELECT DISTINCT l_orderkey FROM lineitem) o CROSS JOIN (SELECT DISTINCT l_linenumber FROM lineitem) n
+LEFT JOIN (SELECT l_orderkey, l_linenumber, MAX(CAST(l_quantity AS INT)) AS d FROM lineitem GROUP BY 1, 2) x ON x.l_orderkey = o.l_orderkey AND x.l_linenumber = n.l_linenumber""")
+def pivot_details_whole(spark, sf):
+    """A list of details as rows, one for every line number, 0 where one is missing."""
+    rows = table(spark, sf, "lineitem")
+    lists = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("int")).alias("d"))
+    lists = lists.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "d"))).alias("_d"))
+    out = lists.crossJoin(F.broadcast(rows.select("l_linenumber").distinct()))
+    return out.select("l_orderkey", "l_linenumber", F.coalesce(F.try_element_at("_d", "l_linenumber"), F.lit(0)).alias("d"))
+
+
+@registry.add("""
+SELECT f.l_returnflag, y.year, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y
+LEFT JOIN (SELECT l_returnflag, year(l_shipdate) AS year, COUNT(*) AS n FROM lineitem GROUP BY 1, 2) x ON x.l_returnflag = f.l_returnflag AND x.year = y.year""")
+def mix_by_every_year(spark, sf):
+    """Mix of types by season, a row for each type and every season of the data."""
+    counts = table(spark, sf, "lineitem").groupBy("l_returnflag", F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"))
+    every = counts.select("l_returnflag").distinct().crossJoin(F.broadcast(counts.select("year").distinct()))
+    return every.join(counts, ["l_returnflag", "year"], "left").na.fill(0, ["n"])
+
+
 @registry.add("SELECT o_custkey, o_orderpriority, COUNT(*) AS games, CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (PARTITION BY o_custkey) AS percent FROM orders GROUP BY 1, 2")
 def distribution_share(spark, sf):
     """Games by position, and their share."""

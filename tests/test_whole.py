@@ -8,3 +8,14 @@ def test_patch_merge_whole(spark, data):
     old, new = ids("customer", "c_custkey"), ids("supplier", "s_suppkey")
     out = QUERIES["patch_merge_whole"](spark, data).collect()
     assert sorted((r["k"], r["v"]) for r in out) == sorted([(k, "new") for k in new] + [(k, "old") for k in old - new])
+
+
+def test_every_season_and_line_number(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    seasons = {r[0] for r in lines.selectExpr("year(l_shipdate)").distinct().collect()}
+    mix = QUERIES["mix_by_every_year"](spark, data).collect()
+    assert {r["year"] for r in mix} == seasons and sum(r["n"] for r in mix) == lines.count()
+    details = QUERIES["pivot_details_whole"](spark, data)
+    numbers = lines.select("l_linenumber").distinct()
+    assert details.select("l_linenumber").distinct().count() == numbers.count() > 3
+    assert details.count() == lines.select("l_orderkey").distinct().count() * numbers.count()

@@ -119,6 +119,13 @@ def mixed_direction_sort(spark, sf):
     return ordered.ranked(first.withColumn("_one", F.lit(1)), ["_one"], order, "place").select("o_orderkey", "o_custkey", "place")
 
 
+@registry.add("SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) DESC, o_totalprice, o_orderkey) AS INT) AS place FROM orders")
+def mixed_direction_places(spark, sf):
+    """Every order's place in a sort on several keys with mixed directions, within its customer."""
+    order = [F.desc((F.col("o_orderstatus") == "F").cast("int")), F.asc("o_totalprice"), F.asc("o_orderkey")]
+    return ordered.ranked(table(spark, sf, "orders"), ["o_custkey"], order, "place").select("o_orderkey", "o_custkey", "place")
+
+
 @registry.add("SELECT event_id, user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, CAST(MAX(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_us FROM events")
 def running_frames(spark, sf):
     """Running counts and a moving frame."""

@@ -19,3 +19,10 @@ def test_every_season_and_line_number(spark, data):
     numbers = lines.select("l_linenumber").distinct()
     assert details.select("l_linenumber").distinct().count() == numbers.count() > 3
     assert details.count() == lines.select("l_orderkey").distinct().count() * numbers.count()
+
+
+def test_every_order_has_a_place(spark, data):
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    out = QUERIES["mixed_direction_places"](spark, data)
+    assert out.count() == orders.count() > 50
+    assert out.where("place = 1").count() == orders.select("o_custkey").distinct().count()

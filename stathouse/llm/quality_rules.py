@@ -2,9 +2,8 @@ r"""Operator 2: line-first cleaning and document quality rules, in SQL functions
 
 Words are ``[^\x20\x09-\x0D]+``.  Lines are cut at ``\n``; a line with words
 fails if it is navigation (at least ``bars`` of its words are single bars or
-arrows, or it is a short link list), boilerplate (licence, cookie, rights and
-subscription phrases), or badly punctuated (too many symbols for its
-letters).  Failed lines are removed; a document that loses more than
+arrows; menus of other forms stay), boilerplate (licence, cookie, rights and
+subscription phrases), or has too many symbols for its length.  Failed lines are removed; a document that loses more than
 ``max_loss`` of its words to the line rules is rejected.  Base rules come
 first: fewer than 50 words, or more than half of the words in repeated
 three-word windows.

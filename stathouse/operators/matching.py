@@ -92,17 +92,26 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], distance: Column,
     return met.groupBy(*on, row).agg(F.min_by(value, F.struct(distance, F.col(tie))).alias(value))
 
 
-def fuzzy_top(queries: DataFrame, choices: DataFrame, query: str, choice: str, block: Column | None, block_choice: Column | None, k: int = 10, cutoff: float = 0.0) -> DataFrame:
+def fuzzy_top(queries: DataFrame, choices: DataFrame, query: str, choice: str, block: Column | None, block_choice: Column | None, k: int = 10, cutoff: float = 0.0, most: int = 50_000) -> DataFrame:
     """The k most similar choices of each query that share its block; ties by name.
 
-    Without blocks the choices are broadcast (a list of names); their number is checked.
+    Without blocks each query meets every choice.  Up to ``most`` choices (a
+    list of names) are broadcast; more are dealt into parts, and the k best of
+    each part are merged.
     """
+    parts = 1
     if block is None:
-        if choices.count() > 50_000:
-            raise ValueError("without blocks, fuzzy_top takes at most 50,000 choices")
-        met = queries.join(F.broadcast(choices))
+        parts = max(1, -(-choices.count() // most))
+        if parts == 1:
+            met = queries.join(F.broadcast(choices))
+        else:
+            part = F.pmod(F.xxhash64(choice), F.lit(parts)).cast("int")
+            met = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(choices.withColumn("_b", part), "_b")
     else:
         met = queries.withColumn("_b", block).join(choices.withColumn("_b", block_choice), "_b").drop("_b")
     scored = met.withColumn("score", similarity(F.col(query), F.col(choice))).where(F.col("score") >= cutoff)
-    order = W.partitionBy(query).orderBy(F.desc("score"), choice)
+    best = [F.desc("score"), F.col(choice)]
+    if parts > 1:
+        scored = scored.withColumn("_n", F.row_number().over(W.partitionBy(query, "_b").orderBy(*best))).where(F.col("_n") <= k).drop("_n", "_b")
+    order = W.partitionBy(query).orderBy(*best)
     return scored.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)

@@ -1,5 +1,6 @@
 """Queries that must use every row of their tables."""
 
+from stathouse.operators import matching
 from stathouse.queries import QUERIES
 
 
@@ -26,3 +27,13 @@ def test_every_order_has_a_place(spark, data):
     out = QUERIES["mixed_direction_places"](spark, data)
     assert out.count() == orders.count() > 50
     assert out.where("place = 1").count() == orders.select("o_custkey").distinct().count()
+
+
+def test_fuzzy_top_of_many_choices(spark):
+    queries = spark.createDataFrame([("red box",), ("name 7",), ("xyz",)], "q string")
+    choices = spark.range(300).selectExpr("concat('name ', id) AS c").unionAll(spark.createDataFrame([("red box",), ("red fox",)], "c string"))
+    get = lambda most: sorted(map(tuple, matching.fuzzy_top(queries, choices, "q", "c", None, None, k=4, most=most).collect()))
+    assert get(40) == get(50_000) and len(get(40)) == 12
+    many = spark.range(50_001).selectExpr("concat('name ', id) AS c")
+    (best,) = matching.fuzzy_top(queries.where("q = 'name 7'"), many, "q", "c", None, None, k=1).collect()
+    assert best["c"] == "name 7"

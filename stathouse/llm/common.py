@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stathouse-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/stathouse-{uuid.uuid4().hex}"
@@ -41,6 +44,36 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one call: durable, and deleted once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        left = {id(t) for t in tables}
+        self.drop(*(t for k, (t, _) in list(self.paths.items()) if k not in left))
+
+
+def parts_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """How many partitions a shuffle of about ``df``'s size should have: the session's number, or more for a large input (of known size)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each) if size < 1 << 55 else 1)
+
+
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt: int = 32, spread: str | None = None) -> DataFrame:
     """Join with a table that is expected to be small; its size is counted first.
 
@@ -90,6 +123,87 @@ def word_hashes() -> BoundedCache:
     return BoundedCache(xxhash.xxh3_64_intdigest)
 
 
+def flat_slices(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pieces of a string column as one array of UTF-8 bytes and the offsets of its texts, with the first row's number: whole texts, ``size`` bytes or one text."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    n, (_, bounds, values) = len(column), column.buffers()
+    if not n:
+        return
+    at = np.frombuffer(bounds, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1)
+        yield lo, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out, have = np.ones(n, np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, 1 << 64))
+        have += more
+    return out
+
+
+class WordHashes:
+    """64-bit polynomial hashes of words between ASCII white space, for all texts of a slice at once; with ``fold``, A-Z count as a-z."""
+
+    BASE, CHUNK = 0xD1342543DE82EF95, 1 << 19
+
+    def __init__(self, fold: bool = False):
+        self.value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        if fold:
+            self.value[65:91] = self.value[97:123]
+        self.space = np.isin(np.arange(256), np.frombuffer(SPACE_CHARS.encode(), np.uint8))
+        self._grow(self.CHUNK)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = _powers(n, self.BASE), _powers(n, pow(self.BASE, -1, 1 << 64))
+
+    def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, end to end, and how many words each text has."""
+        if len(data) <= self.CHUNK or len(offsets) > 2:
+            return self._read(data, offsets)
+        out, lo = [], 0  # one long text, cut at white space
+        while lo < len(data):
+            hi = lo + self.CHUNK
+            while hi < len(data) and not (gap := self.space[data[hi : hi + self.CHUNK]]).any():
+                hi += self.CHUNK
+            hi = min(len(data), hi + int(gap.argmax()) if hi < len(data) else hi)
+            out.append(self._read(data[lo:hi], np.asarray([0, hi - lo]))[0])
+            lo = hi
+        return np.concatenate(out), np.asarray([sum(map(len, out))])
+
+    def _read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        if n > len(self.up):
+            self._grow(1 << n.bit_length())
+        space, edge = self.space[data], np.zeros(n + 1, bool)
+        edge[offsets] = True
+        first, last = ~space, ~space
+        first[1:] &= space[:-1] | edge[1:n]
+        last[:-1] &= space[1:] | edge[1:n]
+        s, e = np.flatnonzero(first), np.flatnonzero(last)
+        with np.errstate(over="ignore"):
+            total = np.cumsum(self.value[data] * self.up[:n], dtype=np.uint64)
+            h = (total[e] - np.where(s > 0, total[s - 1], np.uint64(0))) * self.down[s]
+        if n > 4 * self.CHUNK:
+            self._grow(self.CHUNK)
+        return mix64(h), np.diff(np.searchsorted(s, offsets))
+
+
+@lru_cache(maxsize=2)
+def word_reader(fold: bool = False) -> WordHashes:
+    """One for each Python worker: its tables take 8 MB."""
+    return WordHashes(fold)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Rabin-Karp hashes modulo 2**64 of every k consecutive entries, by doubling: out[i] covers h[i:i+k]."""
     base = 0x9E3779B97F4A7C15

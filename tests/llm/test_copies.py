@@ -5,13 +5,14 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stathouse.llm import jaccard_join, queries, substring_dedup
-from stathouse.llm.common import mix64, rolling
+from stathouse.llm.common import WordHashes, flat_slices, mix64, rolling
 from stathouse.llm.jaccard_join import Bands
 
 
@@ -98,8 +99,70 @@ def test_linked_sets_share_a_signature(n, seed, part):
     both = len(np.intersect1d(a, b))
     if 100 * both < 80 * (len(a) + len(b) - both) or np.array_equal(a, b):
         return
-    if min(plan.spares(a) + plan.spares(b)) >= 0:
-        assert np.intersect1d(plan.signatures(a), plan.signatures(b)).size
+    flat, size = np.concatenate([a, b]), np.asarray([len(a), len(b)])
+    spares, short = plan.spares(flat, size)
+    if short.any():
+        return
+    sig, row = plan.signatures(flat, size)
+    order = rng.permutation(np.unique(sig))  # any order of all signatures will do
+    place = {int(s): i for i, s in enumerate(order)}
+    kept = [set(), set()]
+    for r in (0, 1):
+        for parity in (0, 1):
+            mine = sorted((int(s) for s in sig[row == r] if int(s) & 1 == parity), key=place.__getitem__)
+            own = int(plan.of(size[r : r + 1])[0]) & 1 == parity
+            spare = int(spares[0 if own else 1][r])
+            kept[r] |= set(mine[: len(mine) - spare])
+    assert kept[0] & kept[1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbBé \t\n"), max_size=40), min_size=1, max_size=12), st.integers(1, 64))
+def test_shingle_sets(texts, chunk):
+    """Sizes of sets and equality of words, whatever the slices, for short and long texts."""
+    column = pa.array([None, *texts, "x"]).slice(1)
+    reader = WordHashes(True)
+    seen = {}
+    for lo, data, offsets in flat_slices(column, chunk):
+        flat, size = jaccard_join.shingle_sets(data, offsets, 5)
+        assert size.tolist() == [len(shingles(t)) for t in column.to_pylist()[lo : lo + len(size)]]
+        h, count = reader.read(data, offsets)
+        words = [w for t in column.to_pylist()[lo : lo + len(size)] for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode().split()]
+        assert len(h) == len(words) == count.sum()
+        for x, w in zip(h.tolist(), words, strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_word_hashes_of_a_long_text():
+    reader = WordHashes()
+    reader.CHUNK = 64
+    text = b" ".join(b"w%d" % (i % 97) for i in range(500)) + b" " + b"y" * 300 + b"  z"
+    whole, count = reader.read(np.frombuffer(text, np.uint8), np.asarray([0, len(text)]))
+    assert count.tolist() == [502] and len(np.unique(whole)) == 99
+    assert len(np.unique(whole[:97])) == 97 and (whole[:97] == whole[97:194]).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=90), st.sets(st.integers(0, 2**64 - 1), max_size=90), st.sets(st.integers(0, 2**64 - 1), max_size=90))
+def test_parities_are_a_bound(a, b, both):
+    x, y = sorted(a | both), sorted(b | both)
+    p = jaccard_join.parities(np.asarray(x + y, np.uint64), np.asarray([len(x), len(y)]))
+    assert int(np.bitwise_count((p[0] ^ p[1]).view(np.uint64)).sum()) <= len(set(x) ^ set(y))
+
+
+def test_large_groups_are_cut_into_blocks(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    check(docs)
+
+
+@pytest.mark.parametrize("counted", [1, 4])
+def test_hot_signatures_are_passed_on(spark, monkeypatch, counted):
+    """The rows of a signature with more classes than are counted are all there."""
+    monkeypatch.setattr(jaccard_join, "COUNTED", counted)
+    rows = [(s, f) for s in range(5) for f in range(3 * s + 1) for _ in range(2)]
+    got = {(r["sig"], r["fp"]) for r in jaccard_join._groups(spark.createDataFrame(rows, "sig long, fp long"), 2).collect()}
+    assert got == {(s, f) for s, f in rows if s}
 
 
 @settings(max_examples=60, deadline=None)

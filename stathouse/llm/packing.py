@@ -24,6 +24,7 @@ files and split sizes give the same packing, so a lost task is redone alike.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -40,13 +41,40 @@ END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 
 
+class Tier:
+    """Pieces that wait for windows of one length, by their own length."""
+
+    def __init__(self):
+        self.lengths, self.pieces, self.held = [], defaultdict(deque), 0
+
+    def put(self, piece: tuple) -> None:
+        n = piece[2]
+        if n not in self.pieces:
+            insort(self.lengths, n)
+        self.pieces[n].append(piece)
+        self.held += n
+
+    def pop(self, at: int) -> tuple:
+        """The first piece of the length at this place."""
+        n = self.lengths[at]
+        piece = self.pieces[n].popleft()
+        if not self.pieces[n]:
+            del self.pieces[n], self.lengths[at]
+        self.held -= n
+        return piece
+
+
 class Packer:
-    """One task's packer.  A piece is (document, start, length); the buffers hold at most ``hold`` tokens."""
+    """One task's packer.  A piece is (document, start, length); the buffers hold at most ``hold`` tokens (or a window)."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, hold: int = 1 << 20, step_tokens: int = 1 << 16):
         self.tiers, self.hold, self.step_tokens = tiers, hold, step_tokens
-        self.waiting = {t: defaultdict(deque) for t in tiers}  # tier -> length -> pieces
-        self.held, self.sequences, self.steps = 0, 0, dict.fromkeys(tiers, 0)
+        self.waiting = {t: Tier() for t in tiers}
+        self.sequences, self.steps = 0, dict.fromkeys(tiers, 0)
+
+    @property
+    def held(self) -> int:
+        return sum(t.held for t in self.waiting.values())
 
     def add(self, doc, tokens: int) -> Iterator[tuple]:
         window, start = self.tiers[-1], 0
@@ -56,45 +84,34 @@ class Packer:
         if start < tokens:
             self._wait((doc, start, tokens - start))
         if self.held >= self.hold:
-            yield from self._drain(self.hold // 2)
+            yield from self._drain(max(self.hold // 2, window))
 
     def _wait(self, piece: tuple) -> None:
-        tier = next(t for t in self.tiers if piece[2] <= t)
-        self.waiting[tier][piece[2]].append(piece)
-        self.held += piece[2]
+        self.waiting[next(t for t in self.tiers if piece[2] <= t)].put(piece)
 
     def _take(self, most: int, tiers: tuple[int, ...]) -> tuple | None:
         """The longest waiting piece of at most ``most`` tokens from these tiers, longer tiers first."""
         for tier in reversed(tiers):
-            lengths = self.waiting[tier]
-            if fit := max((n for n in lengths if n <= most), default=0):
-                piece = lengths[fit].popleft()
-                if not lengths[fit]:
-                    del lengths[fit]
-                self.held -= fit
-                return piece
+            if at := bisect_right(self.waiting[tier].lengths, most):
+                return self.waiting[tier].pop(at - 1)
         return None
 
     def _head(self, gap: int) -> tuple | None:
         """The head of the shortest waiting piece that is longer than the gap; its tail waits on."""
         for tier in self.tiers:
-            if lengths := self.waiting[tier]:
-                n = min(lengths)
-                doc, start, _ = lengths[n].popleft()
-                if not lengths[n]:
-                    del lengths[n]
-                self.held -= n
+            if self.waiting[tier].lengths:
+                doc, start, n = self.waiting[tier].pop(0)
                 if n > gap:
                     self._wait((doc, start + gap, n - gap))
                 return doc, start, min(n, gap)
         return None
 
     def _drain(self, keep: int) -> Iterator[tuple]:
-        """Full windows, until at most ``keep`` tokens wait: a window of each tier in turn, gaps filled from that tier, then from shorter ones."""
+        """Full windows, until at most ``keep`` tokens (a longest window at least) wait: a window of each tier in turn, gaps filled from that tier, then from shorter ones."""
         while self.held > keep:
             for tier in reversed(self.tiers):
                 shorter = tuple(t for t in self.tiers if t <= tier)
-                if sum(n * len(q) for t in shorter for n, q in self.waiting[t].items()) < tier or not self.waiting[tier]:
+                if sum(self.waiting[t].held for t in shorter) < tier or not self.waiting[tier].held:
                     continue
                 pieces, gap = [], tier
                 while gap:
@@ -113,7 +130,7 @@ class Packer:
                 yield from self._close(self.tiers[-1], self._fill(self.tiers[-1]))
 
     def _head_of(self, gap: int, tiers: tuple[int, ...]) -> tuple | None:
-        return self._head(gap) if any(self.waiting[t] for t in tiers) else None
+        return self._head(gap) if any(self.waiting[t].held for t in tiers) else None
 
     def _fill(self, size: int) -> list[tuple]:
         pieces, gap = [], size
@@ -149,15 +166,15 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc = TaskContext.get().partitionId(), encoder(tokenizer, spaced=True)
         end, packer = np.asarray([end_id], "<u4").tobytes(), Packer(tiers, hold, step_tokens)
-        live: dict[int, list] = {}  # documents with waiting pieces: [doc_id, ids, tokens that wait]
+        live: dict[int, list] = {}  # documents with waiting pieces: [doc_id, ids that wait, where they start, tokens, tokens that wait]
         rows: list[tuple] = []
 
         def emit(pieces: Iterator[tuple]) -> None:
             for key, start, length, sequence, offset, size, tier, group in pieces:
                 doc = live[key]
-                rows.append((doc[0], start, length, zlib.crc32(doc[1][4 * start : 4 * (start + length)]), doc[3], (task << 40) | sequence, offset, size, tier, (task << 40) | group))
-                doc[2] -= length
-                if not doc[2]:
+                rows.append((doc[0], start, length, zlib.crc32(doc[1][4 * (start - doc[2]) : 4 * (start + length - doc[2])]), doc[3], (task << 40) | sequence, offset, size, tier, (task << 40) | group))
+                doc[4] -= length
+                if not doc[4]:
                     del live[key]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -169,8 +186,12 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
             for lo, texts in text_slices(batch.column("text")):
                 for doc_id, text in zip(batch.column("doc_id").slice(lo, len(texts)).to_pylist(), texts, strict=True):
                     ids = enc.encode(text or b"") + end
-                    live[key] = [doc_id, ids, len(ids) // 4, len(ids) // 4]
-                    emit(packer.add(key, len(ids) // 4))
+                    n = len(ids) // 4
+                    live[key] = [doc_id, ids, 0, n, n]
+                    emit(packer.add(key, n))
+                    if key in live and n > tiers[-1]:  # whole windows are out; only what waits is kept
+                        cut = n - n % tiers[-1]
+                        live[key][1:3] = ids[4 * cut :], cut
                     key += 1
                 if rows:
                     yield batch_of(rows)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 from .common import BoundedCache
@@ -21,35 +21,68 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _SPACED_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
 
 
+#: What byte-level vocabularies write for each byte: itself if it is a visible Latin-1 character, else the next free one from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+#: The same for whole characters.
+_CHARS = {c: "".join(_BYTES.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xA1, 0x237)}
+#: Marks that are one piece behind a word, however many.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Entries of a generation of a cache: a worker's caches stay below some 100 MB.
+CACHED = 120_000
+
+
 class WordEncoder:
     """For vocabularies that drop white space: words between ASCII white space are encoded one by one.
 
     The normalizer (NFC, white space to one space, lower case by code point)
     and the splitting pattern never look across white space, so the ids of a
     text are those of its words, one after another.  A new word of plain
-    characters is cut into pieces as the vocabulary's pattern does, so that
-    a stem with another comma or capital is encoded only once.
+    characters is cut into pieces as the vocabulary's pattern does, and each
+    piece goes straight to the merges.  Texts that name one of the
+    vocabulary's added tokens are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = BoundedCache(self._ids, 400_000)
-        self.cache = BoundedCache(self._word, 300_000)
+        self.tokenize = self.tokenizer.model.tokenize
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.raw = [t.content.encode() for t in added if not t.normalized]
+        self.folded = [t.content.lower().encode() for t in added if t.normalized]
+        self.pieces = BoundedCache(self._piece, CACHED)
+        self.cache = BoundedCache(self._word, CACHED)
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Of one piece of plain characters in normal form; those below 256 that aren't visible ASCII are written as their bytes are."""
+        front, piece = (_BYTES[32], piece[1:]) if piece[0] == " " else ("", piece)
+        if not piece.isascii():
+            piece = piece.translate(_CHARS)
+        return array("I", [t.id for t in self.tokenize(front + piece)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return array("I", [t.id for t in self.tokenize(word.lower().decode())]).tobytes()
         text = word.decode("utf-8", "replace")
         if not _PLAIN.fullmatch(text):
             return self._ids(text)
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        text = text.lower()
+        stem = text.rstrip(_MARKS)
+        if stem.isalpha():
+            return self.pieces[stem] + (self.pieces[text[len(stem) :]] if len(stem) < len(text) else b"")
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(t in text for t in self.raw) or self.folded and any(t in text.lower() for t in self.folded):
+            return self._ids(text.decode("utf-8", "replace"))
+        return self._encode(text)
+
+    def _encode(self, text: bytes) -> bytes:
         ids = b"".join(map(self.cache.__getitem__, text.split()))
         self.cache.trim()
         self.pieces.trim()
@@ -65,19 +98,26 @@ class SpacedEncoder(WordEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = BoundedCache(lambda word: self._spaced(word, ""), 100_000)
-        self.rest = BoundedCache(lambda word: self._spaced(word, " "), 300_000)
+        self.first = BoundedCache(lambda word: self._spaced(word, ""), CACHED // 4)
+        self.rest = BoundedCache(lambda word: self._spaced(word, " "), CACHED)
         self.newline = self._ids("\n")
 
     def _spaced(self, word: str, space: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.tokenize(_BYTES[32] + word if space else word)]).tobytes()
         if not _PLAIN.fullmatch(word):
             return self._ids(space + word)
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():
+            return self.pieces[space + stem] + (self.pieces[word[len(stem) :]] if len(stem) < len(word) else b"")
         return b"".join(map(self.pieces.__getitem__, _SPACED_PIECES.findall(space + word)))
 
-    def encode(self, text: bytes) -> bytes:
-        first, rest, out = self.first, self.rest, []
-        for line in _LINES.split(text.decode("utf-8", "replace")):
-            head, *words = _SPACES.split(line)
+    def _encode(self, text: bytes) -> bytes:
+        first, rest, out, text = self.first, self.rest, [], text.decode("utf-8", "replace")
+        lines = [line.split() for line in text.split("\n")]
+        if not all(lines) or "\n".join(map(" ".join, lines)) != text:  # white space other than single spaces and newlines between words
+            lines = map(_SPACES.split, _LINES.split(text))
+        for head, *words in lines:
             out.append((first[head] if head else b"") + b"".join(map(rest.__getitem__, words)))
         first.trim()
         rest.trim()
@@ -85,7 +125,7 @@ class SpacedEncoder(WordEncoder):
         return self.newline.join(out)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def encoder(path: str, spaced: bool = False) -> WordEncoder:
     """One encoder for each Python worker."""
     return (SpacedEncoder if spaced else WordEncoder)(path)

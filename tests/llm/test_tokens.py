@@ -1,5 +1,6 @@
 """Token store and packing: exact against the library on whole texts."""
 
+import glob
 import zlib
 from collections import defaultdict
 
@@ -17,15 +18,14 @@ WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 
 
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # as it comes: added tokens in texts are found
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("path", "spaced"), [(WORDS, False), (BYTES, True)])
 def test_pieces_give_the_ids_of_the_whole(path, spaced):
     want, mine = library(path), encoder(path, spaced)
-    piece = st.sampled_from(["it's", "I'LL", "don't", "  ", "\n\n", " \n", "\t", "\x1c", " ", "\x85", "é", "É", "ß", "İ", "Σ", "ς", "́", "日本", "²", "12", "!?", "<|endoftext|>", "x", "Word", ".", ",\n", "\r\n"])
+    piece = st.sampled_from(["it's", "I'LL", "don't", "  ", "\n\n", " \n", "\t", "\x1c", " ", "\x85", "é", "É", "ß", "İ", "Σ", "ς", "́", "日本", "²", "12", "!?", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "a<|endoftext|>b", "<|", "zorkelthions&&&", "Ġaġ", "ªº·µ", "dogs'", "café...", "x_y", "_z", "ǅ", "Ǿ9", "ÉCLAIRÉ", "\xad", "x", "Word", ".", ",\n", "\r\n"])
 
     @settings(max_examples=400, deadline=None)
     @given(st.one_of(st.lists(piece, max_size=12).map("".join), st.lists(piece, max_size=12).map(" ".join), st.text(max_size=20)))
@@ -67,6 +67,20 @@ def test_store_prunes_by_id(spark, docs):
     assert {r["doc_id"] for r in few.collect()} == {3, 5}
 
 
+def test_store_has_stripes_and_bloom_filters(spark, docs):
+    _, path = token_store.token_store(docs, WORDS, stripe_bytes=1 << 16, row_stride=1000)
+    jvm, found, stripes = spark._jvm, 0, 0
+    for f in glob.glob(f"{path.removeprefix('file:')}/*.orc"):
+        options = jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration())
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), options)
+        rows, lists = reader.rows(), reader.getStripes()
+        for i in range(lists.size()):
+            kinds = [str(x.getKind()) for x in rows.readStripeFooter(lists.get(i)).getStreamsList()]
+            found += "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds
+            stripes += 1
+    assert stripes == found >= 2
+
+
 def check_pack(rows, texts):
     """rows of (key, piece); each key's ids come once, sequences are gapless."""
     ids, by_doc, by_sequence, padding, total = library(BYTES), defaultdict(list), defaultdict(list), 0, 0
@@ -102,8 +116,16 @@ def test_pack_edges(edge, none):
     assert {r["doc_id"] for r in packing.pack(edge, BYTES).collect()} == {r["doc_id"] for r in edge.collect()}
 
 
+def test_packer_holds_only_what_waits():
+    """Long documents with short tails: what is kept is bounded by tokens that wait, not by the documents they come from."""
+    p = packing.Packer(hold=4096, step_tokens=4096)
+    for i in range(3000):
+        list(p.add(i, 30 * 1024 + 5 + i % 5))
+        assert p.held <= 4096 + 1024
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 3000), max_size=60), st.integers(1024, 6000))
+@given(st.lists(st.integers(1, 3000), max_size=60), st.integers(1, 6000))
 def test_packer_keeps_every_token(lengths, hold):
     p, out = packing.Packer(hold=hold, step_tokens=4096), []
     for i, n in enumerate(lengths):

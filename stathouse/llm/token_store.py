@@ -8,7 +8,8 @@ carries its file's number and where its ids start among that file's ids, so
 global positions need only one sum per file.
 
 Null text counts as empty (just the end id).  Repeated rows are written
-again; an empty table gives an empty store.  Other columns are ignored.
+again; an empty table gives an empty store.  Integer ids of any type are kept
+as long.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, shared_dir, text_slices
+from .common import join_small, materialize, parts_for, shared_dir, text_slices
 from .tokens import encoder
 
 SCHEMA = "doc_id long, shard int, token_offset long, ids array<int>"
@@ -47,12 +48,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([ids_of.slice(lo, len(texts)), pa.array(np.full(len(texts), shard, np.int32)), pa.array(starts), pa.ListArray.from_arrays(bounds, pa.array(values))], names=["doc_id", "shard", "token_offset", "ids"])
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-        .repartitionByRange(parts, *order)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
+        .repartitionByRange(parts_for(docs), *order)
         .sortWithinPartitions(*order, "text")
         .select("doc_id", "text")
         .mapInArrow(encode, SCHEMA)
@@ -79,8 +78,9 @@ def digest(stored: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("token_offset"), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "shard", "token_offset", "n_tokens", "ids_crc32"])
 
-    rows = stored.mapInArrow(crc, "doc_id long, shard int, token_offset long, n_tokens long, ids_crc32 long")
-    files = stored.groupBy("shard").agg(F.sum(F.size("ids").cast("long")).alias("_n"))
+    # the ids are read once; what is left of them is a few numbers a document
+    rows = materialize(stored.mapInArrow(crc, "doc_id long, shard int, token_offset long, n_tokens long, ids_crc32 long"), "digest")
+    files = rows.groupBy("shard").agg(F.max(F.col("token_offset") + F.col("n_tokens")).alias("_n"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
     base = files.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     out = join_small(rows, base, ["shard"])

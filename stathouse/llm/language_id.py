@@ -7,10 +7,12 @@ logistic loss, each bit weighted by how well it was learned.  A small lead
 over the runner-up flags the row as ambiguous.
 
 The model is fitted on at most ``per_language`` labelled rows of each
-language (those with the smallest hashes of doc_id); prediction reads whole
+language (those with the smallest hashes of doc_id; of rows with equal id and
+language, the least features, so that fits don't depend on the order of rows); prediction reads whole
 texts and nothing else.  Null texts and texts without a letter are ``und``
 with score 0, and so is everything if there is no labelled row.  With one
-language, it is predicted for every text with a letter.  Repeated rows get
+language, it is predicted for every text with a letter.  A null doc_id is in
+fold 0.  Repeated rows get
 equal results, an empty table an empty result; other columns are kept by
 ``accepted`` and ignored by ``identify``.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import join_small, text_slices
 from .linear import fit_logistic
 
 UNKNOWN = "und"
@@ -36,7 +38,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(doc_id: Column, n: int) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n))
+    """crc32 of the id as text, modulo ``n``; a null id counts as an empty text (fold 0)."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -110,8 +113,12 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 700, size: int = 2048, bits: int = 15, held_out: int = 2, folds: int = 4) -> Model:
     """Fit on labelled rows of other folds than ``held_out``: at most ``per_language`` of each language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("lang", "doc_id").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    # a language may hold most rows: hashes below a share that leaves some 2 * per_language of each come first, then the exact number
+    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*")).alias("_share"))
+    first = W.partitionBy("lang").orderBy("_part", "doc_id")
+    ids = join_small(labelled.select("lang", "doc_id", part.alias("_part")), shares, ["lang"], spread="doc_id").where("_part <= _share").select("lang", "doc_id", "_part").distinct()
+    ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).drop("_part")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +128,7 @@ def fit(docs: DataFrame, per_language: int = 700, size: int = 2048, bits: int =
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, len(texts)), batch.column("doc_id").slice(lo, len(texts)), pa.array([r.tobytes() for r in x], pa.binary()), good], names=["lang", "doc_id", "x", "good"])
 
     chosen = labelled.join(F.broadcast(ids.drop("_n")), ["lang", "doc_id"]).select("lang", "doc_id", "text")
-    sample = chosen.mapInArrow(measure, f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, x binary, good boolean").where("good").dropDuplicates(["lang", "doc_id"]).toArrow()
+    sample = chosen.mapInArrow(measure, f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, x binary, good boolean").where("good").groupBy("lang", "doc_id").agg(F.min("x").alias("x")).toArrow()
     order = sorted(range(sample.num_rows), key=lambda i, k=sample.to_pylist(): (k[i]["lang"], k[i]["doc_id"] or 0, k[i]["x"]))
     sample = sample.take(pa.array(order, pa.int64()))
     langs = sample.column("lang").to_pylist()

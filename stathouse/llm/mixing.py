@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import BROADCAST_ROWS, join_small, materialize, parts_for
 from .quality_rules import n_words_of
 
 WEIGHTS = (3, 1, 2)
@@ -70,7 +70,7 @@ def _quota_end(keyed: DataFrame, sources: DataFrame) -> DataFrame:
         cells = within.groupBy("_src", F.shiftright("_place", shift).alias("_cell")).agg(F.sum("size").alias("_words"))
         upto = W.partitionBy("_src").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # 4,096 rows at most
         cells = cells.withColumn("_before", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
-        ends = cells.join(F.broadcast(found.select("_src", F.col("_left").alias("_due"))), "_src") if level < 0 else join_small(cells, found.select("_src", F.col("_left").alias("_due")), ["_src"], spread="_cell")
+        ends = join_small(cells, found.select("_src", F.col("_left").alias("_due")), ["_src"], spread="_cell")
         last = F.max(F.when(F.col("_before") <= F.col("_due"), F.struct("_cell", "_before", "_words")))
         ends = ends.where(F.col("_words") > 0).groupBy("_src").agg(last.alias("_at"))
         found = found.drop("_there").join(ends, "_src", "left").select(
@@ -167,7 +167,8 @@ def _decide(docs: DataFrame, weights: tuple[int, ...], budget: float, max_passes
     shards = max(8, math.ceil(budget * total / shard_words))
     ranges = splitting_tree(ends.select("_src", "_draws"), shards, seed)
     owner = ranges.where("_hi > _lo").select("_src", "shard", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_draw"))
-    owner = materialize(owner, "owner")  # a row for each drawn block
+    owner = materialize(owner, "owner")  # a row for each drawn block; a block is never hot
+    owner_fits = owner.count() <= BROADCAST_ROWS
     rows = keyed if set(docs.columns) <= {"doc_id", "source", "text"} else with_number(_placed(docs, seed))
     df = join_small(rows, ends.select("_src", "source_size", "target", "_passes", "_end", "_left", "_there", "_blocks"), ["_src"], spread="_place")
     part = F.when(F.col("_there") > 0, (F.col("size") * F.col("_left")).cast("decimal(38,0)") / F.col("_there")).otherwise(0)
@@ -177,7 +178,8 @@ def _decide(docs: DataFrame, weights: tuple[int, ...], budget: float, max_passes
     for n in range(max_passes):
         words = F.when(F.col("_passes") > n, F.col("size")).when(F.col("_passes") == n, F.col("_rest")).otherwise(0)
         df = df.withColumn(f"_words{n}", words).withColumn("_draw", F.when(F.col(f"_words{n}") > 0, F.lit(n) * F.col("_blocks") + F.col("_block")))
-        df = join_small(df, owner.withColumnRenamed("shard", f"_shard{n}"), ["_src", "_draw"], "left", spread="_place").drop("_draw")
+        mine = owner.withColumnRenamed("shard", f"_shard{n}")
+        df = df.join(F.broadcast(mine) if owner_fits else mine, ["_src", "_draw"], "left").drop("_draw")
     draw = lambda n: F.struct(F.lit(n).alias("pass"), F.col(f"_shard{n}").alias("shard"), F.xxhash64(F.lit(seed + n + 1), "_place").alias("place"), F.col(f"_words{n}").alias("words"))
     return df.withColumn("draws", F.filter(F.array(*(F.when(F.col(f"_shard{n}").isNotNull(), draw(n)) for n in range(max_passes))), lambda x: x.isNotNull()))
 
@@ -195,5 +197,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5
     own = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_row"))
     df = _decide(own, weights, budget, max_passes, block_words, shard_words, seed, True)
     rows = df.select("_row", F.explode("draws").alias("_draw"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place").select("_row.*")
+    return rows.repartition(parts_for(docs), "_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place").select("_row.*")

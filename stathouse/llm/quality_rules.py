@@ -1,9 +1,16 @@
 r"""Operator 2: line-first cleaning and document quality rules, in SQL functions only.
 
 Words are ``[^\x20\x09-\x0D]+``.  Lines are cut at ``\n``; a line with words
-fails if it is navigation (at least ``bars`` of its words are single bars or
-arrows; menus of other forms stay), boilerplate (licence, cookie, rights and
-subscription phrases), or has too many symbols for its length.  Failed lines are removed; a document that loses more than
+fails by a rule on
+
+* navigation: at least ``bars`` of its words are single bars, slashes or
+  arrows, or two are and few words stand between them, or it is one of three
+  or more short lines in a row that end no sentence (a list of links);
+* boilerplate: licence, cookie, rights and subscription phrases;
+* punctuation: too many symbols for its length, or an ellipsis at its end
+  (a teaser).
+
+Failed lines are removed; a document that loses more than
 ``max_loss`` of its words to the line rules is rejected.  Base rules come
 first: fewer than 50 words, or more than half of the words in repeated
 three-word windows.
@@ -13,7 +20,7 @@ long texts are handled in their own row, in time linear in their words (a
 sort, where windows repeat).  Rows are independent: repeated rows repeat, an
 empty table stays empty, other columns pass through untouched unless they
 bear the name of an output, which then replaces them, or of a working column
-(_w, _h, _s, _p, _lines, _good), which goes.
+(_w, _h, _s, _p, _lines, _short, _good), which goes.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ BOILERPLATE = (
     "tous droits réservés", "todos los derechos reservados", "alle rechte vorbehalten",
 )
 #: Words that stand for a link separator.
-BARS = ("|", "»", "›", "•", "·", "::", ">", "→")
+BARS = ("|", "»", "›", "•", "·", "::", ">", "→", "/")
 SYMBOLS = r"#*$%&|<>"
 
 
@@ -67,25 +74,37 @@ sort_array(transform(filter(sequence(0, greatest(size(_s) - 1, 0)),
 _COVERED = "aggregate(_p, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
 
 
+def link_like(line: Column, longest: int = 40, words: int = 4) -> Column:
+    """Whether a line is short and ends no sentence, as links in a list do."""
+    end = f"[.!?…:;,\"')\\]][{SPACE}]*$"
+    return (F.length(line) <= longest) & ~line.rlike(end) & (F.regexp_count(line, F.lit(f"[^{SPACE}]+")) <= words)
+
+
 def line_fails(line: Column, bars: int = 3, max_symbols: float = 0.1) -> Column:
-    """Whether a line (with words) fails the navigation, boilerplate or punctuation rule."""
+    """Whether a line (with words) fails the navigation, boilerplate or punctuation rule, seen alone."""
     separators = "|".join(f"\\Q{b}\\E" for b in BARS)
-    navigation = F.regexp_count(line, F.lit(f"(?<![^{SPACE}])(?:{separators})(?![^{SPACE}])")) >= bars
+    found = F.regexp_count(line, F.lit(f"(?<![^{SPACE}])(?:{separators})(?![^{SPACE}])"))
+    navigation = (found >= bars) | ((found >= 2) & (F.regexp_count(line, F.lit(f"[^{SPACE}]+")) <= 4 * found + 3))
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    return navigation | boilerplate | (symbols > max_symbols * F.length(line))
+    teaser = line.rlike(rf"(?:\.\.\.|…)[{SPACE}]*$")
+    return navigation | boilerplate | (symbols > max_symbols * F.length(line)) | teaser
 
 
 def quality_rules(docs: DataFrame, max_loss: float = 0.5, min_words: int = 50, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_bad_lines, lost_words, cleaned_text, kept."""
     t = F.coalesce(F.col(text), F.lit(""))
     has_word = f"[^{SPACE}]"
-    own = ["_w", "_h", "_s", "_p", "_lines", "_good"]
+    own = ["_w", "_h", "_s", "_p", "_lines", "_short", "_good"]
     df = docs.withColumns({"_w": words_of(F.col(text)), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(has_word))})
     df = df.withColumns({
         "_h": F.expr("CASE WHEN size(_w) < 3 THEN array() ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"),
-        "_good": F.filter("_lines", lambda x: ~line_fails(x)),
+        "_short": F.transform("_lines", lambda x: link_like(x)),
     })
+    at = lambda i: F.element_at("_short", F.greatest(F.lit(1), F.least(i + 1, F.size("_lines"))).cast("int"))
+    last = F.size("_lines") - 1
+    run = lambda i: at(i) & ((i > 0) & (i < last) & at(i - 1) & at(i + 1) | (i > 1) & at(i - 1) & at(i - 2) | (i < last - 1) & at(i + 1) & at(i + 2))
+    df = df.withColumn("_good", F.filter("_lines", lambda x, i: ~line_fails(x) & ~run(i)))
     df = df.withColumn("_s", F.expr(_PLACES)).withColumn("_p", F.expr(_REPEATED))
     df = df.withColumns({
         "n_words": F.size("_w").cast("long"),

@@ -30,7 +30,8 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    draw = lambda n, what: F.try_element_at("draws", F.lit(n))[what].alias(f"{what}_{n}")  # noqa: E731  where each copy goes
+    return plan.select("doc_id", "size", "source_size", "target", "taken", draw(1, "shard"), draw(1, "place"), draw(2, "shard"), draw(2, "place"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_line_quality, op3_source_mix, op4_secret_scan, op5_packing, op6_jaccard_join, op7_language_id, op8_toxicity, op9_multi_index, op10_substring_dedup)}
 
+_PHRASES = "|".join(quality_rules.BOILERPLATE)
+_BARS = ", ".join(f"'{b}'" for b in quality_rules.BARS)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_quality": rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, r, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i) WHERE len(ws) >= 3),
+again AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + d) AS n FROM again, unnest([0, 1, 2]) AS v(d) GROUP BY r),
+ln AS (
+  SELECT r, k, ls[k] AS x, list_filter(regexp_split_to_array(ls[k], '[\x20\x09-\x0D]+'), lambda y: y <> '') AS lw
+  FROM w, unnest(range(1, len(ls) + 1)) AS u(k)),
+about AS (
+  SELECT r, k, len(lw) AS n, len(list_filter(lw, lambda y: list_contains([{_BARS}], y))) AS bars,
+    regexp_matches(lower(x), '{_PHRASES}') AS phrase, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.1 * length(x) AS marks,
+    regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$') AS teaser,
+    length(x) <= 40 AND len(lw) <= 4 AND NOT regexp_matches(x, '[.!?…:;,"'')\]][\x20\x09-\x0D]*$') AS short FROM ln),
+near AS (
+  SELECT *, coalesce(lag(short, 1) OVER o, false) AS b1, coalesce(lag(short, 2) OVER o, false) AS b2,
+    coalesce(lead(short, 1) OVER o, false) AS a1, coalesce(lead(short, 2) OVER o, false) AS a2 FROM about WINDOW o AS (PARTITION BY r ORDER BY k)),
+lost AS (
+  SELECT r, sum(n) AS n FROM near
+  WHERE bars >= 3 OR (bars >= 2 AND n <= 4 * bars + 3) OR phrase OR marks OR teaser OR (short AND (b1 AND a1 OR b1 AND b2 OR a1 AND a2)) GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost.n, 0) AS gone
+  FROM w LEFT JOIN rep ON w.r = rep.r LEFT JOIN lost ON w.r = lost.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND gone <= 0.5 * n_words AS kept FROM base""".replace("\\\\", "\\"),
     "op10_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

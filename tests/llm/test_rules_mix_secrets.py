@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from stathouse.llm import mixing, queries, secret_scan
-from stathouse.llm.quality_rules import quality_rules
+from stathouse.llm.quality_rules import BARS, BOILERPLATE, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -28,6 +28,37 @@ def rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(covered)
 
 
+def kept(text):
+    """The line rules, one line after another."""
+    text = text or ""
+    space, n = " \t\n\x0b\x0c\r", len(WORD.findall(text))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    short = [len(x) <= 40 and len(WORD.findall(x)) <= 4 and x.rstrip(space)[-1] not in ".!?…:;,\"')]" for x in lines]
+    lost = 0
+    for i, x in enumerate(lines):
+        words = WORD.findall(x)
+        bars = sum(w in BARS for w in words)
+        symbols = len(re.findall(r"[#*$%&|<>]", x))
+        end = x.rstrip(space)
+        run = any(all(0 <= j < len(lines) and short[j] for j in range(i - d, i - d + 3)) for d in range(3))
+        if bars >= 3 or bars >= 2 and len(words) <= 4 * bars + 3 or any(b in x.lower() for b in BOILERPLATE) or symbols > 0.1 * len(x) or end.endswith(("...", "…")) or run:
+            lost += len(words)
+    w, _, _, _, covered = rules(text)
+    return not (w < 50 or 100 * covered > 50 * w) and lost <= 0.5 * n
+
+
+def test_line_rules_one_by_one(edge, docs, spark):
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(9)) + "." for i in range(9))
+    links = "\n".join(f"Link number {i}" for i in range(60))
+    more = ["Home > About > Contact", "A / B / C", "Read more...", "x", "y", "Ends here.", "z z z z z", "| |", "To be continued…", "  Home\t", "#*$ a"]
+    rows = [(i, prose + "\n" + "\n".join(more[i:]) + "\n" + links * (i % 3)) for i in range(len(more) + 1)]
+    for df in (edge, docs, spark.createDataFrame(rows, "doc_id long, text string")):
+        got = quality_rules(df).collect()
+        assert [r["kept"] for r in got] == [kept(r["text"]) for r in got]
+    menu = quality_rules(spark.createDataFrame([(1, prose + "\n" + links)], "doc_id long, text string")).first()
+    assert menu["cleaned_text"] == prose and not menu["kept"]
+
+
 def test_rules(edge, none, docs):
     for df in (edge, docs):
         for r in quality_rules(df).collect():

@@ -4,14 +4,15 @@
    the learning folds (beginnings of words that are far likelier in toxic
    texts, counted once for each family of near copies).  A voter says 1, -1 or nothing.
 2. A generative label model (expectation maximization over what each voter
-   says given the label, labelled rows held at their labels with a little
-   doubt) estimates accuracies; voters that agree beyond what the label
-   explains are correlated and share their weight.
+   says given the true class) estimates accuracies on labelled and unlabelled
+   documents of the learning folds alike.  A given label is one more voter,
+   whose own accuracy is estimated with the rest; voters that agree beyond
+   what the class explains are correlated and share their weight.
 3. A linear classifier over counts of lexicon entries is trained on the posterior labels;
    it alone scores texts, whole, and never sees labels, lang, source or id.
 
-At most ``fit_rows`` labelled rows (smallest hashes of doc_id) are learned
-from.  Null and empty texts get the score of a text without any word.  Rows
+At most ``fit_rows`` labelled and as many unlabelled rows (smallest hashes of
+doc_id) are learned from; of equal texts one, toxic if one of them is.  Null and empty texts get the score of a text without any word.  Rows
 without label only get scores; without any labelled row the fixed lexicon
 votes alone.  Repeated rows get equal scores, an empty table stays empty,
 other columns are ignored.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import materialize, text_slices
 from .language_id import fold
 from .linear import fit_logistic
 
@@ -99,16 +100,19 @@ def read(text: bytes | None, starts: tuple[str, ...], parts: list[frozenset[int]
     return counts, [*votes, 1 if counts and _YOU.search(raw) else 0, 1 if counts and _SHOUT.search(raw) else 0]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30, trust: float = 0.97) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30, trust: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row, accuracy of each voter, and their correlations given the label.
 
-    votes: rows x voters in -1, 0, 1; labels: 1, 0, or -1 where unknown.
+    votes: rows x voters in -1, 0, 1; labels: 1, 0, or -1 where unknown, a
+    voter that is right with ``trust`` at first, then as often as the model
+    finds (0.8 to 0.99, for either class).
     """
     n, m = votes.shape
     known = labels >= 0
-    anchor = np.where(labels == 1, trust, 1 - trust)
+    right = np.asarray([trust, trust])  # of labels 0, of labels 1
+    says_label = lambda: np.where(labels == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0])) * known
     start = 1 / (1 + np.exp(-(votes == 1).sum(axis=1) + 0.5))
-    post = np.where(known, anchor, start)
+    post = np.where(known, np.where(labels == 1, trust, 1 - trust), start)
     says = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # rows x voters x answers
     share, corr = np.ones(m), np.eye(m)
     for _ in range(rounds):
@@ -121,9 +125,10 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30, trust:
         corr = cov / np.outer(sd, sd)
         share = 1 / (1 + np.clip(corr - np.eye(m), 0, None).sum(axis=1))
         ratio = np.einsum("rva,va,v->r", says, np.log(table[1] / table[0]), share)
-        model = 1 / (1 + np.exp(-np.clip(ratio + np.log(prior / (1 - prior)), -30, 30)))
-        odds = model * anchor / (model * anchor + (1 - model) * (1 - anchor))
-        post = np.where(known, odds, model)
+        post = 1 / (1 + np.exp(-np.clip(ratio + says_label() + np.log(prior / (1 - prior)), -30, 30)))
+        for c, p in ((0, 1 - post), (1, post)):
+            if (weight := p[known].sum()) > 1:
+                right[c] = np.clip(p[known & (labels == c)].sum() / weight, 0.8, 0.99)
     fired = np.maximum((votes != 0) @ np.ones(m), 1)
     accuracy = np.asarray([(np.where(votes[:, j] == 1, post, np.where(votes[:, j] == -1, 1 - post, 0))).sum() / max((votes[:, j] != 0).sum(), 1) for j in range(m)])
     return np.where(fired > 0, post, post.mean()), accuracy, corr
@@ -146,10 +151,13 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, held_out: int, folds: int) -> DataFrame:
-    """Texts and labels to learn from: whole texts of at most ``fit_rows`` ids, each different text once."""
-    per = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("toxic", F.col("toxic").cast("int"))), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["text"])
+    """doc_id, text, toxic (-1 where unlabelled) to learn from: whole texts of at most ``fit_rows`` labelled and as many unlabelled ids, each different text once."""
+    learning = lambda d: d.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
+    first = lambda d: d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    labelled = learning(labels.where("toxic IS NOT NULL")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    others = learning(docs.where("text IS NOT NULL").select("doc_id")).distinct().join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    ids = first(labelled).unionByName(first(others).withColumn("toxic", F.lit(-1)))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, held_out: int = 0, folds: int = 5, learned: int = 160, min_families: int = 4) -> Model:
@@ -184,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, held_out: int
         rest = [w for w in every if w not in pos]
         yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([every[w] for w in rest], pa.int64())], names=["start", "pos", "n"])
 
-    once = sample.select("text", "toxic").mapInArrow(families, "text string, toxic int, family long").dropDuplicates(["family", "toxic"])
+    sample = materialize(sample, "sample")
+    once = sample.where("toxic >= 0").select("text", "toxic").mapInArrow(families, "text string, toxic int, family long").groupBy("family", "toxic").agg(F.min("text").alias("text"))
     seen = once.select("text", "toxic").mapInArrow(words, "start string, pos long, n long")
     per = seen.groupBy("start").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     odds = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5))
@@ -215,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, held_out: int
     labelled = np.asarray([r["toxic"] for r in got] + [-1] * size, int)
     post, accuracy, corr = label_model(votes, labelled)
     weight = np.concatenate([np.ones(len(got)), np.full(size, 0.2)])
-    y = np.where(labelled >= 0, post, np.clip(post, 0.05, 0.95))
+    y = post
+    y[len(got) :] = np.clip(post[len(got) :], 0.05, 0.95)
     w, b = fit_logistic(x, y[:, None], weight, steps=600, penalty=2e-5, rate=1.5)
     return Model(starts, w[:, 0].astype(float), float(b[0]), accuracy, corr)
 

@@ -42,7 +42,12 @@ def test_toxicity(spark, data, docs, edge, none):
     rows = queries.op8_toxicity(spark, data).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     known = [r for r in rows if r["doc_id"] in toxic]
-    assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in known]) > 0.9
+    assert all((r["score"] >= 0.5) == (r["predicted"] == 1) for r in rows) and known
+    big = queries.op8_toxicity(spark, data.replace("sf0.001", "sf0.1"))
+    truth = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/labels.parquet").select("doc_id", "toxic")
+    n = big.where("held_out").join(truth, "doc_id").agg(F.sum(F.col("toxic") * F.col("predicted")).alias("hit"), F.sum("toxic").alias("bad"), F.sum("predicted").alias("said")).first()
+    print("held-out toxic", n)
+    assert n["hit"] >= 0.85 * n["bad"] and n["hit"] >= 0.95 * n["said"]
     model = toxicity.fit(docs, labels)
     extra = spark.createDataFrame([(1, "you stupid worthless idiot, what a pathetic moron"), (2, "a calm and friendly letter about the garden")], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in toxicity.score(extra, model).collect()}
@@ -102,6 +107,10 @@ def test_probes_reach_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 16, (400, 8)).astype(np.uint16)
     queries_ = codes[:20] ^ (rng.random((20, 8)) < 0.5) * (1 << rng.integers(0, 16, (20, 8))).astype(np.uint16)
+    index = multi_index.SubstringIndex(codes)
     for radius in (0, 3, 17, 40, 60):
         far = multi_index.hamming(queries_, codes)
-        assert not ((far <= radius) & ~multi_index.probe(codes, queries_, radius)).any()
+        for i, q in enumerate(queries_):
+            near = set(np.flatnonzero(far[i] <= radius))
+            assert near <= set(index.probe(q, radius)) and near == set(index.within(q, radius))
+    assert len(index.probe(queries_[0], 3)) < 20  # few codes are touched where the radius is small

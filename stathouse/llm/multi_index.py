@@ -6,13 +6,14 @@
    which ``cover`` of the sample's true neighbours lie.  More rows only bring
    neighbours nearer, so the radius holds for the whole table.
 2. Index: every vector's code; blocks of rows dealt by a hash of vec_id.
-3. Search: each block of queries meets each block of the index in a task of
-   bounded size.  There, codes are split into 16-bit substrings, each with
-   an index of its values; by the pigeonhole principle a code within the
-   radius lies, in some substring, within its share of the radius.  What the
-   probes find is held to the full Hamming radius, then ranked by the inner
+   In a block, codes are split into 16-bit substrings, and each substring
+   has a table from its values to the rows that hold them.
+3. Search: by the pigeonhole principle a code within the radius lies, in
+   some substring, within that substring's share of it.  All values within
+   the share are looked up, and Hamming distances are taken only of what
+   the tables return; what lies within the radius is ranked by the inner
    product in double precision.  A query with fewer than ``k`` finds in a
-   block takes the ``k`` nearest codes there (the radius grows).
+   block widens its radius there until it has them.
 4. The best ``k`` of all blocks, ties to the smaller vec_id.
 
 Vectors of different lengths are made comparable for inner products by one
@@ -89,26 +90,46 @@ def fit(vectors: np.ndarray, top: float, k: int, bits: int, cover: float, seed:
     return coder
 
 
-def probe(codes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """queries x codes: whether some substring lies within its share of the radius (true for every code within the radius).
+#: All 16-bit words, those with few bits first, and how many have at most so many bits.
+_MASKS = np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)), kind="stable").astype(np.uint16)
+_UP_TO = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)), minlength=17))
 
-    With m substrings and radius = m * q + a, the first a + 1 are probed to
-    distance q and the others to q - 1.
-    """
-    m = codes.shape[1]
-    share, rest = divmod(radius, m)
-    hit = np.zeros((len(queries), len(codes)), bool)
-    for j in range(m):
-        most = share if j <= rest else share - 1
-        if most < 0:
-            continue
-        values, bucket = np.unique(codes[:, j], return_inverse=True)
-        near = np.bitwise_count(queries[:, j][:, None] ^ values[None]) <= most
-        hit |= near[:, bucket]
-    return hit
 
+class SubstringIndex:
+    """For each substring of the codes of a block, the rows by their value there."""
 
-def _search(coder: Coder, k: int, step: int = 128):
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.ascontiguousarray(codes)
+        self.rows = [np.argsort(c, kind="stable") for c in codes.T]
+        self.count = [np.bincount(c, minlength=1 << 16) for c in codes.T]
+        self.start = [np.cumsum(n) - n for n in self.count]
+
+    def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """The rows that some substring's table returns; every code within the radius is among them.
+
+        With m substrings and radius = m * q + a, the first a + 1 are probed
+        to distance q and the others to q - 1.
+        """
+        share, rest = divmod(radius, self.codes.shape[1])
+        found = np.zeros(len(self.codes), bool)
+        for j in range(self.codes.shape[1]):
+            most = min(share if j <= rest else share - 1, 16)
+            if most < 0:
+                continue
+            values = query[j] ^ _MASKS[: _UP_TO[most]]
+            n = self.count[j][values]
+            values, n = values[n > 0], n[n > 0]
+            at = np.repeat(self.start[j][values] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found[self.rows[j][at]] = True
+        return np.flatnonzero(found)
+
+    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """The rows whose codes lie within the radius."""
+        rows = self.probe(query, radius)
+        return rows[hamming(query[None], self.codes[rows])[0] <= radius]
+
+
+def _search(coder: Coder, k: int, step: int = 4):
     def matrix(t: pa.Table) -> np.ndarray:
         flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return flat.reshape(t.num_rows, -1)
@@ -117,27 +138,19 @@ def _search(coder: Coder, k: int, step: int = 128):
         out = ([], [], [])
         if index.num_rows and asked.num_rows:
             ids, v = index.column("vec_id").to_numpy(), matrix(index)
-            codes = np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint16).reshape(len(ids), -1)
+            tables = SubstringIndex(np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint16).reshape(len(ids), -1))
             q_ids, q = asked.column("vec_id").to_numpy(), matrix(asked)
-            q_codes = coder.query_codes(q)
-            for lo in range(0, len(q), step):
-                part = slice(lo, lo + step)
-                far = hamming(q_codes[part], codes)
-                hit = probe(codes, q_codes[part], coder.radius) & (far <= coder.radius)
-                other = ids[None] != q_ids[part][:, None]
-                hit &= other
-                few = hit.sum(axis=1) < k
-                for i in np.flatnonzero(few):
-                    d = np.where(other[i], far[i], np.uint16(65535))
-                    near = np.argpartition(d, min(k, len(d) - 1))[:k] if len(d) > k else np.arange(len(d))
-                    hit[i, near] = other[i, near]
-                a, b = np.nonzero(hit)
-                s = np.einsum("ij,ij->i", q[part][a], v[b])
-                order = np.lexsort((ids[b], -s, a))
-                a, b, s = a[order], b[order], s[order]
-                rank = np.arange(len(a)) - np.searchsorted(a, a)
-                best = rank < k
-                for o, c in zip(out, (q_ids[part][a[best]], ids[b[best]], s[best]), strict=True):
+            bits = 16 * tables.codes.shape[1]
+            for i, code in enumerate(coder.query_codes(q)):
+                radius = coder.radius
+                rows = tables.within(code, radius)
+                while (ids[rows] != q_ids[i]).sum() < k and radius < bits:
+                    radius = min(bits, radius + step)
+                    rows = tables.within(code, radius)
+                rows = rows[ids[rows] != q_ids[i]]
+                s = np.einsum("j,ij->i", q[i], v[rows])
+                best = np.lexsort((ids[rows], -s))[:k]
+                for o, c in zip(out, (np.full(len(best), q_ids[i]), ids[rows[best]], s[best]), strict=True):
                     o.append(c)
         cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
         return pa.table([cat(out[0], pa.int64()), cat(out[1], pa.int64()), cat(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
@@ -145,16 +158,17 @@ def _search(coder: Coder, k: int, step: int = 128):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, bits: int = 256, fit_rows: int = 6000, cover: float = 0.97, index_block: int = 1 << 14, query_block: int = 1 << 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, bits: int = 64, fit_rows: int = 6000, cover: float = 0.95, index_block: int = 1 << 15, query_block: int = 1 << 13) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, embedding) that ``queries`` selects."""
     spark = vectors.sparkSession
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # moved as they are, ranked as doubles
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), queries.alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     lengths = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
         return empty
     good = good.where(F.size("embedding") == lengths[0]["d"])
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, n_asked, top = good.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.max(norm)).first()
     if not n_asked:
         return empty
@@ -163,12 +177,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, bits: int = 256, f
 
     def encode(batches):
         for b in batches:
-            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
             yield b.append_column("code", pa.array([c.tobytes() for c in coder.codes(v)] if b.num_rows else [], pa.binary()))
 
     blocks, q_blocks = math.ceil(n / index_block), math.ceil(n_asked / query_block)
     deal = lambda count, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(count)).cast("int")
-    index = materialize(good.mapInArrow(encode, "vec_id long, embedding array<double>, asked boolean, code binary"), "codes")
+    index = materialize(good.mapInArrow(encode, f"vec_id long, embedding {kind}, asked boolean, code binary"), "codes")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = index.select("vec_id", "embedding", "code", deal(blocks, 1).alias("i")).withColumn("q", every(q_blocks))
     right = index.where("asked").select("vec_id", "embedding", deal(q_blocks, 2).alias("q")).withColumn("i", every(blocks))

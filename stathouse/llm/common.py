@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -123,6 +125,47 @@ def word_hashes() -> BoundedCache:
     return BoundedCache(xxhash.xxh3_64_intdigest)
 
 
+_releases: list[Callable[[], None]] = []
+_operator = [""]
+
+
+def when_done(release: Callable[[], None]) -> None:
+    """Registers what frees the state that an operator keeps in a Python worker between its tasks."""
+    _releases.append(release)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: the allocators of Arrow and libc keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def take_over(operator: str) -> None:
+    """Frees what another operator left in this worker.  (Of this module, not of a closure: closures carry copies of what they name.)"""
+    if _operator[0] != operator:
+        _operator[0] = operator
+        for release in _releases:
+            release()
+        gc.collect()
+
+
+def task_of(operator: str) -> Callable:
+    """For functions over the batches of a task: Python workers are used again, so what another operator left there is freed first."""
+
+    def wrap(run: Callable) -> Callable:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            take_over(operator)
+            yield from run(batches)
+            give_back()
+
+        return task
+
+    return wrap
+
+
 def flat_slices(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pieces of a string column as one array of UTF-8 bytes and the offsets of its texts, with the first row's number: whole texts, ``size`` bytes or one text."""
     if column.null_count:
@@ -204,6 +247,9 @@ def word_reader(fold: bool = False) -> WordHashes:
     return WordHashes(fold)
 
 
+when_done(word_reader.cache_clear)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Rabin-Karp hashes modulo 2**64 of every k consecutive entries, by doubling: out[i] covers h[i:i+k]."""
     base = 0x9E3779B97F4A7C15

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, flat_slices, materialize, mix64, parts_for, rolling, word_reader
+from .common import BROADCAST_ROWS, Scratch, flat_slices, materialize, mix64, parts_for, rolling, task_of, word_reader
 
 _LAST = (1 << 63) - 1
 #: Bands grow by this factor.
@@ -205,6 +205,7 @@ def parities(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """_id, _same, n, fp (0 for empty sets), the spare of the set's own and next band, its own band's parity, and whether it lacks signatures."""
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = bands(percent)
         for batch in batches:
@@ -221,6 +222,7 @@ def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """sig, fp: the signatures of each class, once for each task that reads it."""
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = bands(percent), np.zeros(0, np.int64)
         for batch in batches:
@@ -240,6 +242,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _groups(signatures: DataFrame, parts: int) -> DataFrame:
     """sig, fp, freq: the signatures that two or more classes have, and how many have them; one pass over sorted rows."""
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shared(sig: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             """Of whole runs."""
@@ -303,6 +306,7 @@ def _kept(groups: DataFrame, classes: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """fp, n, parity, s: the sets of the wanted classes (_id of one member, fp)."""
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, data, offsets in flat_slices(batch.column("text")):
@@ -331,6 +335,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
@@ -406,6 +411,7 @@ def _others(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, pa
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
+    @task_of("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:

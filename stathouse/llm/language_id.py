@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, text_slices
+from .common import give_back, join_small, task_of, text_slices
 from .linear import fit_logistic
 
 UNKNOWN = "und"
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, per_language: int = 700, size: int = 2048, bits: int =
     ids = join_small(labelled.select("lang", "doc_id", part.alias("_part")), shares, ["lang"], spread="doc_id").where("_part <= _share").select("lang", "doc_id", "_part").distinct()
     ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).drop("_part")
 
+    @task_of("language_id")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
@@ -129,18 +130,20 @@ def fit(docs: DataFrame, per_language: int = 700, size: int = 2048, bits: int =
 
     chosen = labelled.join(F.broadcast(ids.drop("_n")), ["lang", "doc_id"]).select("lang", "doc_id", "text")
     sample = chosen.mapInArrow(measure, f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, x binary, good boolean").where("good").groupBy("lang", "doc_id").agg(F.min("x").alias("x")).toArrow()
-    order = sorted(range(sample.num_rows), key=lambda i, k=sample.to_pylist(): (k[i]["lang"], k[i]["doc_id"] or 0, k[i]["x"]))
-    sample = sample.take(pa.array(order, pa.int64()))
+    sample = sample.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
     langs = sample.column("lang").to_pylist()
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((0, bits)), np.zeros((size, bits), np.float32), np.zeros(bits, np.float32), np.ones(bits), size)
-    x = np.stack([np.frombuffer(r, np.float16) for r in sample.column("x").to_pylist()]).astype(np.float32)
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(len(langs), size).astype(np.float32)
+    del sample
     which = np.asarray([names.index(v) for v in langs])
     code = codewords(len(names), bits)
     y = (code[which] > 0).astype(np.float32)
     w, b = fit_logistic(x, y, 1.0 / np.bincount(which)[which], rate=60.0, penalty=1e-5)
     right = (((x @ w + b) > 0) == (y > 0)).mean(axis=0)
+    del x
+    give_back()
     return Model(names, code.astype(np.float32), w, b, np.clip(2 * right - 1, 0.05, 1), size)
 
 
@@ -148,6 +151,7 @@ def identify(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of each row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @task_of("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
@@ -160,6 +164,7 @@ def identify(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
     """The rows of ``docs`` whose language can be told (not ``und``); all columns stay as they are."""
 
+    @task_of("language_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):

@@ -9,7 +9,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
     """Weights (features x outputs) and biases for targets y in [0, 1] (rows x outputs), by accelerated gradient descent."""
     weight = (weight / weight.sum()).astype(np.float32)
     y = y.astype(np.float32)
-    top = float((weight[:, None] * (x * x)).sum(axis=0).max() * min(x.shape[1], 64) + 1)
+    top = float(np.einsum("r,rf,rf->f", weight, x, x).max() * min(x.shape[1], 64) + 1)
     rate = rate or 4.0 / top
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     w1, b1 = w.copy(), b.copy()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import task_of, text_slices
 from .tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -163,6 +163,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, hold: int = 1 << 20, step_tokens: int = 1 << 16) -> DataFrame:
     """One row for each piece of ``docs`` (doc_id, text); the ids of a piece are tokens start..start+length of its document."""
 
+    @task_of("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc = TaskContext.get().partitionId(), encoder(tokenizer, spaced=True)
         end, packer = np.asarray([end_id], "<u4").tobytes(), Packer(tiers, hold, step_tokens)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import task_of, text_slices
 from .word_list import WORDS
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -155,6 +155,7 @@ def scan(text: bytes | None, min_guesses: float) -> tuple[list, list]:
 def secret_spans(docs: DataFrame, min_guesses: float = 10.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row of ``docs`` (doc_id, text)."""
 
+    @task_of("secret_scan")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
@@ -181,6 +182,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", min_guesses: float = 10.0) -
             at = max(at, hi)
         return "".join([*out, words[at:]])
 
+    @task_of("secret_scan")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")

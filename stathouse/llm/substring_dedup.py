@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import int_lists, mix64, rolling, text_slices, word_hashes
+from .common import int_lists, mix64, rolling, task_of, text_slices, word_hashes
 
 _LAST = (1 << 63) - 1
 
@@ -80,6 +80,7 @@ class Windows:
 def _anchors(docs: DataFrame, k: int) -> DataFrame:
     """anchor, _id: each anchor of a document once."""
 
+    @task_of("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(k)
         for batch in batches:
@@ -108,6 +109,7 @@ def _sketch(docs: DataFrame, k: int, log_bits: int) -> np.ndarray:
 def _candidates(docs: DataFrame, k: int, sketch, log_bits: int) -> DataFrame:
     """hash, _id, at of each window whose anchor is in the sketch; at = place and 30 bits that tell rows with equal ids apart."""
 
+    @task_of("substring_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, bits = Windows(k), sketch.value
         for batch in batches:
@@ -140,6 +142,7 @@ def substring_dedup(docs: DataFrame, k: int = 50, log_bits: int = 26) -> DataFra
     joined = keyed.join(starts, ["_id", "_tag"], "left").select("doc_id", "text", "starts")
     kind = dict(docs.dtypes)["doc_id"]
 
+    @task_of("substring_dedup")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, parts_for, shared_dir, text_slices
+from .common import join_small, materialize, parts_for, shared_dir, task_of, text_slices
 from .tokens import encoder
 
 SCHEMA = "doc_id long, shard int, token_offset long, ids array<int>"
@@ -34,6 +34,7 @@ END_ID = 1
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, stripe_bytes: int = 16 << 20, row_stride: int = 1000) -> None:
     """Encode ``docs`` (doc_id, text) and write the store to ``path``."""
 
+    @task_of("token_store")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, offset, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
@@ -70,6 +71,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 def digest(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored document, from the ids that were read."""
 
+    @task_of("token_store")
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import regex
 
-from .common import BoundedCache
+from .common import BoundedCache, when_done
 
 _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACES = re.compile(r" (?=\S)")
@@ -129,3 +129,6 @@ class SpacedEncoder(WordEncoder):
 def encoder(path: str, spaced: bool = False) -> WordEncoder:
     """One encoder for each Python worker."""
     return (SpacedEncoder if spaced else WordEncoder)(path)
+
+
+when_done(encoder.cache_clear)

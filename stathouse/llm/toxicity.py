@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, task_of, text_slices, when_done
 from .language_id import fold
 from .linear import fit_logistic
 
@@ -80,6 +80,9 @@ def lexicon(words: tuple[str, ...], starts: tuple[str, ...]) -> Lexicon:
     return Lexicon(words, starts)
 
 
+when_done(lexicon.cache_clear)
+
+
 FIXED_WORDS = tuple(sorted({w for words in LEXICONS.values() for w in words}))
 
 
@@ -164,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, held_out: int
     kind = dict(docs.dtypes)["doc_id"]
     sample = _sample(docs, labels, fit_rows, held_out, folds)
 
+    @task_of("toxicity")
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The least hash of three-word windows: near copies mostly share it."""
         import xxhash
@@ -177,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, held_out: int
                     out.append(min((xxhash.xxh3_64_intdigest(b" ".join(g)) for g in grams), default=0) >> 1)
                 yield batch.slice(lo, len(texts)).append_column("family", pa.array(out, pa.int64()))
 
+    @task_of("toxicity")
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many texts hold a word that begins so; summed in the task first."""
         pos, every = Counter(), Counter()
@@ -205,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, held_out: int
     starts = tuple(w for w in found if w not in FIXED_WORDS)
     parts = voters(starts)
 
+    @task_of("toxicity")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
@@ -234,6 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of each row of ``docs`` (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @task_of("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):

@@ -158,10 +158,12 @@ SEQUENCE = {
     "M": (1, 0, 1), "O": (1, 0, 1), "P": (1, 1, 0), "Q": (1, 0, 1), "R": (1, 0, 1), "S": (1, 0, 1), "T": (1, 0, 1),
     "U": (1, 0, 0), "V": (0, 1, 0), "X": (1, 0, 0), "Y": (1, 0, 0),
 }
+#: Marks of a sequence that count nothing.
+NOT_COUNTED = ("N", "1", "2", "3", ">", "+", "*", ".")
 
 
 def fold_sequence(seq: Column) -> Column:
-    """pitches, balls, strikes of a pitch sequence; fouls don't make a third strike."""
+    """pitches, balls, strikes of a pitch sequence; fouls don't make a third strike.  A sequence with a mark that has no meaning is null."""
     fouls = "FR"
     by = lambda at: F.create_map(*(F.lit(x) for k, v in SEQUENCE.items() for x in (k, v[at])))
     pitches, balls, strikes = by(0), by(1), by(2)
@@ -174,7 +176,8 @@ def fold_sequence(seq: Column) -> Column:
         return F.struct((a["pitches"] + get(pitches, c)).alias("pitches"), (a["balls"] + get(balls, c)).alias("balls"), (a["strikes"] + s).alias("strikes"))
 
     chars = F.filter(F.split(F.replace(seq, F.lit("^"), F.lit("")), ""), lambda c: c != "")
-    return F.aggregate(chars, start, step)
+    known = F.forall(chars, lambda c: c.isin(*SEQUENCE, *NOT_COUNTED))
+    return F.when(known, F.aggregate(chars, start, step))
 
 
 def completes_at_bat(seq: Column) -> Column:
@@ -227,3 +230,53 @@ def ellipsize(text: Column, size: int) -> Column:
 
 def blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
+
+
+def triple_slash(avg: Column, obp: Column, slg: Column) -> Column:
+    """``.300/.350/.500``."""
+    return F.concat_ws("/", *map(baseball_decimal, (avg, obp, slg)))
+
+
+def usage_text(share: Column, count: Column, speed: Column) -> Column:
+    """``45% (12) 92.1mph``."""
+    return F.concat(percent_text(share), F.lit(" ("), count.cast("string"), F.lit(") "), F.regexp_replace(F.format_number(speed, 1), ",", ""), F.lit("mph"))
+
+
+def pitching_line(outs: Column, hits: Column, runs: Column, strikeouts: Column, walks: Column) -> Column:
+    """``6.1 IP, 5 H, 2 R, 7 K, 1 BB``."""
+    parts = ((outs_to_innings(outs), "IP"), (hits, "H"), (runs, "R"), (strikeouts, "K"), (walks, "BB"))
+    return F.concat_ws(", ", *(F.concat(c.cast("string"), F.lit(f" {name}")) for c, name in parts))
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Words in lines of at most ``width`` characters; a longer word has a line of its own."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+
+    def step(a: Column, w: Column) -> Column:
+        fits = F.length(a["line"]) + F.length(w) + 1 <= width
+        return (
+            F.when(a["line"] == "", F.struct(a["done"].alias("done"), w.alias("line")))
+            .when(fits, F.struct(a["done"].alias("done"), F.concat(a["line"], F.lit(" "), w).alias("line")))
+            .otherwise(F.struct(F.concat(a["done"], a["line"], F.lit("\n")).alias("done"), w.alias("line")))
+        )
+
+    return F.aggregate(words, start, step, lambda a: F.concat(a["done"], a["line"]))
+
+
+def span_text(seconds: Column) -> Column:
+    """``1h 02m 03s``; hours only where there are some."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    return F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h "))).otherwise(""), two(m), F.lit("m "), two(s), F.lit("s"))
+
+
+def valid_year(year: Column, first: int = 1871, last: int = 2100) -> Column:
+    """A year that a season can have, as a number; else null."""
+    y = year.try_cast("int")
+    return F.when(y.between(first, last), y)
+
+
+def hours_minutes(text: Column) -> Column:
+    """Minutes of ``h:mm``; null for anything else."""
+    return F.when(text.rlike("^[0-9]+:[0-5][0-9]$"), F.split(text, ":")[0].cast("int") * 60 + F.split(text, ":")[1].cast("int"))

@@ -47,17 +47,18 @@ PITCH_RATES = {
     "bb_rate": ("total_bb", "total_pa"), "k_rate": ("total_k", "total_pa"),
 }
 
-#: Columns that are summed and averaged where the table has them.
-PITCH_AVERAGES = ("start_speed", "spin_rate", "pfx_x", "pfx_z", "px", "pz", "plate_time", "extension", "break_angle", "break_length", "break_y", "spin_direction")
+#: Columns that are averaged where the table has them, and the places of the rounded flavour.
+PITCH_AVERAGES = {"start_speed": 1, "spin_rate": 0, "pfx_x": 2, "pfx_z": 2, "px": 2, "pz": 2, "plate_time": 3, "extension": 2, "break_angle": 1, "break_length": 1, "break_y": 1, "spin_direction": 0}
 LAUNCH = ("launch_speed", "launch_angle", "total_distance")
 
 
-def pitch_sums(flags: Mapping[str, Column]) -> list[Column]:
-    """One partial aggregate per flag, the pitch count, and the whiffs outside of the zone."""
+def pitch_sums(flags: Mapping[str, Column], rounded: bool = False) -> list[Column]:
+    """One partial aggregate per flag, the pitch count, and the bad whiffs: outside of the zone, or (rounded flavour) at swings outside of it."""
     out = [F.count(F.lit(1)).alias("total_pitches")]
     out += [F.coalesce(F.sum(column.cast("int")), F.lit(0)).cast("long").alias(PITCH_FLAGS[name]) for name, column in flags.items()]
-    if {"swinging_strike", "outside_strike_zone"} <= flags.keys():
-        out.append(F.count(F.when((flags["swinging_strike"] == 1) & (flags["outside_strike_zone"] == 1), 1)).alias("total_bad_whiffs"))
+    outside = "swing_outside_zone" if rounded else "outside_strike_zone"
+    if {"swinging_strike", outside} <= flags.keys():
+        out.append(F.count(F.when((flags["swinging_strike"] == 1) & (flags[outside] == 1), 1)).alias("total_bad_whiffs"))
     return out
 
 
@@ -88,9 +89,9 @@ def valid_pitches(df: DataFrame, batters: bool = False) -> DataFrame:
 def pitch_metrics(df: DataFrame, keys: list[str], flags: Mapping[str, Column] | None = None, rounded: bool = False) -> DataFrame:
     """All metrics per key: one scan, one shuffle of partial sums."""
     flags = flags or {name: F.col(name) for name in PITCH_FLAGS if name in df.columns}
-    aggregates = pitch_sums(flags)
+    aggregates = pitch_sums(flags, rounded)
     if rounded:  # over all pitches, missing values counting as 0; launch over what was measured and isn't 0
-        average = lambda c: half_even(safe_ratio(F.coalesce(F.sum(c), F.lit(0)), F.count(F.lit(1))), 1)
+        average = lambda c: half_even(safe_ratio(F.coalesce(F.sum(c), F.lit(0)), F.count(F.lit(1))), PITCH_AVERAGES[c])
         launch = lambda c: half_even(safe_ratio(F.coalesce(F.sum(c), F.lit(0)), F.count(F.when(F.col(c) != 0, 1))), 1)
     else:
         average = F.avg
@@ -115,13 +116,17 @@ def bat_lines(df: DataFrame, keys: list[str], rounded: bool = False) -> DataFram
     clean = (lambda x: half_even(x, 3)) if rounded else (lambda x: x)
     sums = [F.count(F.lit(1)).alias("total_games")] + [F.sum(c).cast("long").alias(c) for c in BAT_SUMS if c in df.columns]
     sums += [F.sum(F.col(c).cast("int")).cast("long").alias(f"total_{c}") for c in ("is_starter",) if c in df.columns]
-    sums += [F.sum(c).alias(c) for c in ("wpa_bat", "re24_bat") if c in df.columns]
+    sums += [(half_even(F.sum(c), places) if rounded else F.sum(c)).alias(c) for c, places in (("wpa_bat", 2), ("re24_bat", 1)) if c in df.columns]
     out = df.groupBy(*keys).agg(*sums)
     c = F.col
     singles = c("hits") - c("doubles") - c("triples") - c("homeruns")
     avg, slg = clean(safe_ratio(c("hits"), c("at_bats"))), clean(safe_ratio(singles + 2 * c("doubles") + 3 * c("triples") + 4 * c("homeruns"), c("at_bats")))
     on = c("hits") + c("bases_on_balls") + c("hit_by_pitch")
     obp = clean(safe_ratio(on, c("at_bats") + c("bases_on_balls") + c("hit_by_pitch")))
+    if "total_is_starter" in out.columns:
+        out = out.withColumn("percent_started", clean(safe_ratio(c("total_is_starter"), c("total_games"))))
+    if "total_strikes" in out.columns and "strikes_contact" in out.columns:
+        out = out.withColumn("contact_rate", clean(safe_ratio(c("strikes_contact"), c("total_strikes"))))
     return out.withColumns({
         "avg": avg, "obp": obp, "slg": slg, "ops": clean(obp + slg), "iso": clean(slg - avg),
         "bb_rate": clean(safe_ratio(c("bases_on_balls"), c("plate_appearances"))), "k_rate": clean(safe_ratio(c("strikeouts"), c("plate_appearances"))),

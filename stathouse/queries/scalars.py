@@ -124,8 +124,8 @@ def name_similarity(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.similarity(F.col("p_name"), F.col("p_type")).alias("score"))
 
 
-@registry.add("SELECT doc_id, lower(strip_accents(substr(text, 1, 0) || lang)) AS lang, length(text) AS n, strip_accents(regexp_extract(text, '[a-zA-Zéèêáíóúñüöä]+')) AS first FROM documents".replace("substr(text, 1, 0) || ", ""))
+@registry.add(r"SELECT doc_id, lower(strip_accents(lang)) AS lang, length(text) AS n, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS plain FROM documents")
 def accents(spark, sf):
-    """The first word without its accents."""
+    """Whole texts without their accents."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.lower(X.without_accents(F.col("lang"))).alias("lang"), F.length("text").cast("long").alias("n"), X.without_accents(F.regexp_extract("text", "[a-zA-Zéèêáíóúñüöä]+", 0)).alias("first"))
+    return d.select("doc_id", F.lower(X.without_accents(F.col("lang"))).alias("lang"), F.length("text").cast("long").alias("n"), F.md5(X.without_accents(F.col("text"))).alias("plain"))

@@ -12,7 +12,11 @@ from pyspark.sql import types as T
 
 def shared_path(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stathouse-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="stathouse-")
     return f"{base.rstrip('/')}/stathouse-{uuid.uuid4().hex}"
 
 

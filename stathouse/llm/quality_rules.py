@@ -84,10 +84,12 @@ def line_fails(line: Column, bars: int = 3, max_symbols: float = 0.1) -> Column:
     """Whether a line (with words) fails the navigation, boilerplate or punctuation rule, seen alone."""
     separators = "|".join(f"\\Q{b}\\E" for b in BARS)
     found = F.regexp_count(line, F.lit(f"(?<![^{SPACE}])(?:{separators})(?![^{SPACE}])"))
-    navigation = (found >= bars) | ((found >= 2) & (F.regexp_count(line, F.lit(f"[^{SPACE}]+")) <= 4 * found + 3))
+    few = F.regexp_count(line, F.lit(f"[^{SPACE}]+")) <= 4 * found + 3
+    navigation = (found >= 2) & ((found >= bars) | few)  # most lines have no bar and are done after one search
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    teaser = line.rlike(rf"(?:\.\.\.|…)[{SPACE}]*$")
+    end = F.rtrim(line, F.lit(SPACE_CHARS))
+    teaser = end.endswith("...") | end.endswith("…")
     return navigation | boilerplate | (symbols > max_symbols * F.length(line)) | teaser
 
 

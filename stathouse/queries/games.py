@@ -95,7 +95,7 @@ def job_classes(spark, sf):
 
 @registry.add(_LINE + """, t AS (SELECT l_orderkey, CAST(SUM(away) AS BIGINT) AS away_runs, CAST(SUM(home) AS BIGINT) AS home_runs FROM r GROUP BY 1),
 b AS (SELECT l_orderkey, COUNT(*) FILTER (WHERE l_suppkey % 2 = 0) AS n_batting, COUNT(*) FILTER (WHERE l_suppkey % 2 = 1) AS n_pitching FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS l_orderkey, CAST(o_orderdate AS DATE) AS game_date, away_runs, home_runs, n_batting, n_pitching FROM orders LEFT JOIN t ON t.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
+SELECT o_orderkey AS l_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS game_date, away_runs, home_runs, n_batting, n_pitching FROM orders LEFT JOIN t ON t.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
 def scoreboard(spark, sf):
     """Box pages of the games of every date."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
@@ -103,7 +103,7 @@ def scoreboard(spark, sf):
     lines = games.line_score(_halves(spark, sf), ["l_orderkey"], "inning", "bottom")
     box = games.box_page(g, lines, li.where("l_suppkey % 2 = 0"), li.where("l_suppkey % 2 = 1"), "l_orderkey")
     size = lambda c: F.when(F.col("away_runs").isNotNull() | F.col("home_runs").isNotNull(), F.coalesce(F.size(c), F.lit(0))).cast("long").alias(f"n_{c}")
-    return box.select("l_orderkey", "game_date", "away_runs", "home_runs", size("batting"), size("pitching"))
+    return box.select("l_orderkey", F.col("game_date").cast("string").alias("game_date"), "away_runs", "home_runs", size("batting"), size("pitching"))
 
 
 @registry.add("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 1 THEN '1 out' ELSE CAST(l_linenumber % 3 AS VARCHAR) || ' outs' END || ', ' || CASE l_suppkey % 3 WHEN 0 THEN 'bases empty' WHEN 1 THEN '1 on' ELSE '1-3 on' END || ', ' || l_linenumber || '-' || l_linenumber % 3 || ': Play ' || l_partkey AS text FROM lineitem")
@@ -125,11 +125,11 @@ def synthetic_at_bat_numbers(spark, sf):
     return games.synthetic_numbers(e, ["user_id"], ["us", "event_id"], "number").select("event_id", "ab_number")
 
 
-@registry.add("SELECT CAST(year(o_orderdate) AS INT) AS season, MAX(CAST(o_orderdate AS DATE)) FILTER (WHERE o_orderstatus = 'F') AS latest FROM orders GROUP BY 1")
+@registry.add("SELECT CAST(year(o_orderdate) AS INT) AS season, CAST(MAX(CAST(o_orderdate AS DATE)) FILTER (WHERE o_orderstatus = 'F') AS VARCHAR) AS latest FROM orders GROUP BY 1")
 def latest_complete_day(spark, sf):
     """The last day of each season whose data is complete."""
     d = table(spark, sf, "orders").select(F.year("o_orderdate").alias("season"), day("o_orderdate").alias("d"), "o_orderstatus")
-    return games.latest_complete(d, "season", "d", F.col("o_orderstatus") == "F")
+    return games.latest_complete(d, "season", "d", F.col("o_orderstatus") == "F").select("season", F.col("latest").cast("string").alias("latest"))
 
 
 @registry.add("""
@@ -162,13 +162,13 @@ def class_flavour_filter(spark, sf):
     return table(spark, sf, "lineitem").where(~invalid & (F.col("l_tax") > 0.01)).select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-@registry.add("SELECT CAST(l_shipdate AS DATE) AS d, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_extendedprice DESC, l_linenumber) AS INT) AS place FROM lineitem WHERE l_tax > 0.07")
+@registry.add("SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS d, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_extendedprice DESC, l_linenumber) AS INT) AS place FROM lineitem WHERE l_tax > 0.07")
 def barrels_by_date(spark, sf):
     """Barrels of each date, by game and launch speed."""
     from ..operators import ordered
 
     li = table(spark, sf, "lineitem").where("l_tax > 0.07").withColumn("d", day("l_shipdate"))
-    return ordered.ranked(li, ["d"], ["l_orderkey", F.desc("l_extendedprice"), "l_linenumber"], "place").select("d", "l_orderkey", "l_linenumber", "place")
+    return ordered.ranked(li, ["d"], ["l_orderkey", F.desc("l_extendedprice"), "l_linenumber"], "place").select(F.col("d").cast("string").alias("d"), "l_orderkey", "l_linenumber", "place")
 
 
 @registry.add("SELECT o_orderkey, month(o_orderdate) * 100 + day(o_orderdate) BETWEEN 328 AND 929 AS in_season, year(o_orderdate) >= 1992 + 30 - 30 AS after_limit FROM orders")
@@ -196,13 +196,13 @@ def view_scan(spark, sf):
     return spark.table("sh_supplier_nation")
 
 
-@registry.add("SELECT CAST(y AS INT) AS year, make_date(y, 3, 28) AS starts, make_date(y, 9, 29) AS ends FROM range(1992, 2010) r(y)")
+@registry.add("SELECT CAST(y AS INT) AS year, CAST(make_date(y, 3, 28) AS VARCHAR) AS starts, CAST(make_date(y, 9, 29) AS VARCHAR) AS ends FROM range(1992, 2010) r(y)")
 def season_dimension(spark, sf):
     """Eighteen seasons as literal rows."""
     import datetime
 
     rows = [(y, datetime.date(y, 3, 28), datetime.date(y, 9, 29)) for y in range(1992, 2010)]
-    return spark.createDataFrame(rows, "year int, starts date, ends date")
+    return spark.createDataFrame(rows, "year int, starts date, ends date").select("year", F.col("starts").cast("string").alias("starts"), F.col("ends").cast("string").alias("ends"))
 
 
 @registry.add("SELECT c_custkey, c_name AS name, c_nationkey AS nation FROM customer")
@@ -214,13 +214,13 @@ def naive_csv(spark, sf):
     return store.from_naive_csv(texts, "text", schema).drop("c_mktsegment")
 
 
-@registry.add("SELECT s_suppkey AS id, s_name AS name, make_date(1970 + CAST(s_suppkey % 30 AS INT), 6, 1) AS birth_date, CASE WHEN s_suppkey % 2 = 0 THEN 'R' ELSE 'L' END AS bats FROM supplier")
+@registry.add("SELECT s_suppkey AS id, s_name AS name, CAST(make_date(1970 + CAST(s_suppkey % 30 AS INT), 6, 1) AS VARCHAR) AS birth_date, CASE WHEN s_suppkey % 2 = 0 THEN 'R' ELSE 'L' END AS bats FROM supplier")
 def player_service(spark, sf):
     """Rows of a player service's JSON answers."""
     k = F.col("s_suppkey")
     person = F.struct(k.cast("int").alias("id"), F.col("s_name").alias("fullName"), F.format_string("%d-06-01", 1970 + k % 30).alias("birthDate"), F.struct(F.when(k % 2 == 0, "R").otherwise("L").alias("code")).alias("batSide"))
     docs = table(spark, sf, "supplier").select(F.to_json(F.struct(F.array(person).alias("people"))).alias("doc"))
-    return store.player_json(docs, "doc").select(F.col("id").cast("long").alias("id"), "name", "birth_date", "bats")
+    return store.player_json(docs, "doc").select(F.col("id").cast("long").alias("id"), "name", F.col("birth_date").cast("string").alias("birth_date"), "bats")
 
 
 @registry.add("SELECT s_suppkey, s_nationkey, n_regionkey AS region_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -43,3 +43,13 @@ def test_empty(spark, data, docs):
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, data)
     assert rows.count() == 0
+
+
+def test_run_is_all_stages(spark, data):
+    """From documents to sequences without gaps; every piece's document is one that the first stage keeps."""
+    rows = corpus_pipeline.run(spark, data).collect()
+    held = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert held.get(r["sequence_id"], 0) == r["offset"]
+        held[r["sequence_id"]] = r["offset"] + r["length"]
+    assert rows and all(n == 1024 or n & (n - 1) == 0 for n in held.values())

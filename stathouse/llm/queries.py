@@ -35,7 +35,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"), secret_scan.vocabularies(_vocabulary)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ keys of at least 20 characters), ``hex`` (at least 24 lower-case hex digits).
 
 Method: a wider net of credential names, each followed by a separator and a
 value of visible characters, proposes values.  A dynamic program finds the
-cheapest way to guess a value as a sequence of spans: common words (with
-capitals and look-alike letters), dates, repeats, keyboard walks, and
-brute force for the rest.  A value that costs at least ``min_guesses`` and
+cheapest way to guess a value as a sequence of spans: words (with capitals
+and look-alike letters), dates, repeats, keyboard walks, and brute force for
+the rest.  Words cost their rank: some common words of passwords first, then
+the whole words of public vocabularies, whose files are a parameter and are
+read where the texts are.  A value that costs at least ``min_guesses`` and
 isn't inside a base span is added as kind ``guess``.
 
 Positions are code points of the whole text, end exclusive.  Null text is
@@ -20,17 +22,20 @@ kept by ``redact``, whose own columns replace those of the same name.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import task_of, text_slices
-from .word_list import WORDS
+from .common import task_of, text_slices, when_done
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -44,7 +49,7 @@ _CONTEXT = re.compile(
     r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE | re.ASCII,
 )
 
-#: Common words of passwords, most common first (their rank is their cost); those of prose (WORDS) follow.
+#: Common words of passwords, most common first (their rank is their cost); those of the vocabularies follow.
 COMMON_WORDS = (
     "password", "qwerty", "letmein", "welcome", "admin", "login", "monkey", "dragon", "master", "princess", "sunshine",
     "football", "baseball", "shadow", "michael", "jennifer", "jordan", "superman", "batman", "iloveyou", "trustno",
@@ -56,18 +61,71 @@ COMMON_WORDS = (
 )
 #: Rows of a keyboard.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *WORDS]))}
-_LONGEST = max(map(len, _RANK))
 _STEP = {(row[i], row[i + d]) for row in KEY_ROWS for d in (1, -1) for i in range(len(row)) if 0 <= i + d < len(row)}
 _LEET = str.maketrans("430157@$!", "aeoistasi")
 _DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d)")
 
 
+#: Files of vocabularies: a word counts if all files of a group have it.
+Vocabularies = tuple[tuple[str, ...], ...]
+
+
+class Words(NamedTuple):
+    """The rank of each word, and the length of the longest."""
+
+    rank: dict[str, int]
+    longest: int
+
+
+def vocabularies(path: Callable[[str], str]) -> Vocabularies:
+    """The public files: English words that two of them share, and the words of one for many languages."""
+    return (path("byte_bpe_50k.json"), path("word_bpe_49k.json")), (path("byte_bpe_multi_50k.tiktoken"),)
+
+
+def _whole_words(path: str) -> dict[str, int]:
+    """Lower-case words of at least four letters of one vocabulary, with their places in it.
+
+    Ranks (``.tiktoken``) and byte-level tokens (``.json``) mark the front of a
+    word by a space, the others its end.  Only ASCII words of the latter two
+    are read, as their other characters stand for bytes.
+    """
+    found: dict[str, int] = {}
+    if path.endswith(".tiktoken"):
+        with open(path, "rb") as file:
+            tokens = ((base64.b64decode(t).decode("utf-8", "replace"), int(i)) for t, i in map(bytes.split, file))
+            words = [(t[1:], i) for t, i in tokens if t.startswith(" ")]
+    else:
+        with open(path, encoding="utf-8") as file:
+            tokens = json.load(file)["model"]["vocab"].items()
+        words = [(t[1:] if t[0] == "\u0120" else t[:-4], i) for t, i in tokens if t.isascii() and t.endswith("</w>") or t[0] == "\u0120" and t[1:].isascii()]
+    for word, i in words:
+        word = word.lower()
+        if len(word) >= 4 and word.isalpha():
+            found[word] = min(i, found.get(word, i))
+    return found
+
+
+@lru_cache(maxsize=2)
+def words_of(groups: Vocabularies) -> Words:
+    """COMMON_WORDS, then the words of the vocabularies by their least place in the first file of a group that has them; equal places by the word."""
+    place: dict[str, int] = {}
+    for first, *others in groups:
+        rest = [_whole_words(path) for path in others]
+        for word, i in _whole_words(first).items():
+            if all(word in r for r in rest):
+                place[word] = min(i, place.get(word, i))
+    every = dict.fromkeys([*COMMON_WORDS, *sorted(place, key=lambda w: (place[w], w))])
+    return Words({w: i + 1 for i, w in enumerate(every)}, max(map(len, every)))
+
+
+when_done(words_of.cache_clear)
+
+
 def _class_size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     best[i] is the cheapest cost of the first i characters.  Each span adds
@@ -93,8 +151,8 @@ def guess_cost(value: str) -> float:
     copied: dict[int, int] = {}
     for i in range(n):
         relax(i, i + 1, math.log10(_class_size(value[i])))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            rank = words.rank.get(low[i:j]) or words.rank.get(plain[i:j])
             if rank:
                 upper, leet = value[i:j] != low[i:j], low[i:j] != plain[i:j]
                 relax(i, j, math.log10(rank * (2 if upper else 1) * (4 if leet else 1) + 1))
@@ -128,13 +186,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], min_guesses: float) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, base: list[tuple[int, int, int]], min_guesses: float, words: Words) -> list[tuple[int, int, int]]:
     out = []
     for m in _CONTEXT.finditer(text):
         lo, hi = m.span(1)
         if any(a <= lo and hi <= b for a, _, b in base):
             continue
-        if guess_cost(m[1]) >= min_guesses:
+        if guess_cost(m[1], words) >= min_guesses:
             out.append((lo, 3, hi))
     return out
 
@@ -143,23 +201,23 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(text: bytes | None, min_guesses: float) -> tuple[list, list]:
+def scan(text: bytes | None, min_guesses: float, words: Words) -> tuple[list, list]:
     """Base spans and all spans of one text."""
     if not text or not (_NAMES.search(text) or _LONG.search(text)):
         return [], []
-    words = text.decode("utf-8", "replace")
-    base = base_spans(words)
-    return base, sorted(base + guess_spans(words, base, min_guesses))
+    whole = text.decode("utf-8", "replace")
+    base = base_spans(whole)
+    return base, sorted(base + guess_spans(whole, base, min_guesses, words))
 
 
-def secret_spans(docs: DataFrame, min_guesses: float = 10.0) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row of ``docs`` (doc_id, text)."""
+def secret_spans(docs: DataFrame, groups: Vocabularies, min_guesses: float = 10.0) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row of ``docs`` (doc_id, text); ``groups`` as of ``vocabularies``."""
 
     @task_of("secret_scan")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
-                both = [scan(t, min_guesses) for t in texts]
+                both = [scan(t, min_guesses, words_of(groups)) for t in texts]
                 counts = [pa.array([sum(k == kind for _, k, _ in every) for _, every in both], pa.int64()) for kind in range(4)]
                 sums = [hashlib.sha256(_named(base).encode()).hexdigest() for base, _ in both]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), *counts[:3], pa.array(sums, pa.string()), pa.array([_named(every) for _, every in both], pa.string()), counts[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
@@ -168,11 +226,11 @@ def secret_spans(docs: DataFrame, min_guesses: float = 10.0) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", min_guesses: float = 10.0) -> DataFrame:
+def redact(docs: DataFrame, groups: Vocabularies, mark: str = "[SECRET]", min_guesses: float = 10.0) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark`` (overlapping spans by one mark), and n_chars made to fit; all rows stay."""
 
     def clean(text: bytes | None) -> str | None:
-        _, spans = scan(text, min_guesses)
+        _, spans = scan(text, min_guesses, words_of(groups))
         if text is None or not spans:
             return None if text is None else text.decode("utf-8", "replace")
         words, out, at = text.decode("utf-8", "replace"), [], 0

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import public_tokenizers
 from test_copies import brute
 
 from stathouse.llm import language_id, mixing, secret_scan
@@ -10,6 +11,7 @@ from stathouse.llm import language_id, mixing, secret_scan
 
 def test_stages(spark, data, docs):
     rows, columns = docs, docs.columns
+    words = secret_scan.words_of(secret_scan.vocabularies(public_tokenizers.path))
     for (name, stage), follow in zip(corpus_pipeline.STAGES, [*corpus_pipeline.STAGES[1:], None], strict=True):
         out = stage(spark, rows, data).cache()
         before, after = [r for r in rows.collect()], [r for r in out.collect()]
@@ -20,7 +22,7 @@ def test_stages(spark, data, docs):
         elif name == "jaccard_join":
             assert sorted(r["doc_id"] for r in after) == sorted({c for _, _, c in brute([(r["doc_id"], r["text"]) for r in before])})
         elif name == "secret_scan":
-            found = {r["doc_id"] for r in before if secret_scan.scan(r["text"].encode(), 10.0)[1]}
+            found = {r["doc_id"] for r in before if secret_scan.scan(r["text"].encode(), 10.0, words)[1]}
             text = {r["doc_id"]: r["text"] for r in before}
             assert {r["doc_id"] for r in after if r["text"] != text[r["doc_id"]]} == found
             assert len(after) == len(before) and all(r["n_chars"] == len(r["text"]) for r in after)

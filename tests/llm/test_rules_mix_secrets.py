@@ -1,17 +1,22 @@
 """Quality rules, mixing and secrets against brute force."""
 
+import base64
 import hashlib
+import json
 import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from stathouse.llm import mixing, queries, secret_scan
 from stathouse.llm.quality_rules import BARS, BOILERPLATE, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+GROUPS = secret_scan.vocabularies(public_tokenizers.path)
+WORDS = secret_scan.words_of(GROUPS)
 
 
 def rules(text):
@@ -173,7 +178,7 @@ def test_secrets(spark, data, texts, edge, none):
         -4: "toKen=abcdefgh", -5: None,
     }
     frame = spark.createDataFrame(list(extra.items()), "doc_id long, text string")
-    found = queries.op4_secret_scan(spark, data).collect() + secret_scan.secret_spans(frame).collect()
+    found = queries.op4_secret_scan(spark, data).collect() + secret_scan.secret_spans(frame, GROUPS).collect()
     for r in found:
         want = base({**texts, **extra}[r["doc_id"]])
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
@@ -183,14 +188,31 @@ def test_secrets(spark, data, texts, edge, none):
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
     spans = {r["doc_id"]: r["spans"] for r in found}
     assert [s.split(":")[0] for s in spans[-2].split(",")] == ["guess"]
-    assert secret_scan.secret_spans(edge).count() == edge.count()
-    assert secret_scan.secret_spans(none).count() == 0
+    assert secret_scan.secret_spans(edge, GROUPS).count() == edge.count()
+    assert secret_scan.secret_spans(none, GROUPS).count() == 0
+
+
+def test_words_of_vocabularies(tmp_path):
+    files = {
+        "a.json": json.dumps({"model": {"vocab": {"\u0120Lemon": 9, "\u0120lemon": 7, "\u0120caf\u00c3\u00a9": 1, "lemons": 2, "\u0120apple": 5, "\u0120pear": 6, "\u0120fig": 3, "\u0120password": 4}}}),
+        "b.json": json.dumps({"model": {"vocab": {"lemon</w>": 0, "pear</w>": 1, "apple": 2, "fig</w>": 3, "password</w>": 4}}}),
+        "c.tiktoken": "\n".join(f"{base64.b64encode(w.encode()).decode()} {i}" for i, w in enumerate([" the", " größe", "apple", " pear", " a-b-c", " lemon"])),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    a, b, c = (str(tmp_path / name) for name in files)
+    n = len(secret_scan.COMMON_WORDS)
+    assert list(secret_scan.words_of(((a, b), (c,))).rank)[n:] == ["größe", "pear", "lemon"]
+    assert list(secret_scan.words_of(((a, b),)).rank)[n:] == ["pear", "lemon"]
+    assert list(WORDS.rank.values()) == list(range(1, len(WORDS.rank) + 1))
+    assert WORDS.longest == max(map(len, WORDS.rank))
+    assert len(WORDS.rank) > 20_000
 
 
 def test_redaction(spark, edge):
     df = spark.createDataFrame([(1, "a token = abcdef123 b", 5), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
-    assert [tuple(r) for r in secret_scan.redact(df).collect()] == [(1, "a [SECRET] b", 12), (2, None, None), (3, "plain", 5)]
-    assert secret_scan.redact(edge).columns == edge.columns
+    assert [tuple(r) for r in secret_scan.redact(df, GROUPS).collect()] == [(1, "a [SECRET] b", 12), (2, None, None), (3, "plain", 5)]
+    assert secret_scan.redact(edge, GROUPS).columns == edge.columns
 
 
 @pytest.mark.parametrize("name", [
@@ -201,7 +223,7 @@ def test_every_context_passes_the_prefilter(name):
     for form in (name, name.upper()):
         text = f"a {form}: xK9#vQ2!pL7@zR4 b"
         lo = text.index("xK9")
-        spans = secret_scan.scan(text.encode(), 10.0)[1]
+        spans = secret_scan.scan(text.encode(), 10.0, WORDS)[1]
         assert any(a <= lo < b for a, _, b in spans)
         assert (lo, 3, lo + 15) in spans
 
@@ -211,17 +233,17 @@ def test_every_context_passes_the_prefilter(name):
     *(f"pwd = {block * n}" for n in (64, 192, 5000) for block in ("xy", "x9Q", "k7Wz", "something-")),
 ])
 def test_prose_and_repeats_are_no_secrets(text):
-    assert secret_scan.scan(text.encode(), 10.0)[1] == []
+    assert secret_scan.scan(text.encode(), 10.0, WORDS)[1] == []
 
 
 def test_repeats_of_any_length():
     for n in (3, 64, 65, 4000):
-        assert secret_scan.guess_cost(("a" * 20 + "b") * n) < 9 + math.log10(n)
-        assert secret_scan.guess_cost("xy" * n) <= 2 * math.log10(26) + math.log10(n) + 1e-9
-    assert min(map(secret_scan.guess_cost, ("xK9#vQ2!pL7@z", "qmzrtwxuip", "xK9#vQ2!pL7@zR4"))) >= 10
+        assert secret_scan.guess_cost(("a" * 20 + "b") * n, WORDS) < 9 + math.log10(n)
+        assert secret_scan.guess_cost("xy" * n, WORDS) <= 2 * math.log10(26) + math.log10(n) + 1e-9
+    assert min(secret_scan.guess_cost(v, WORDS) for v in ("xK9#vQ2!pL7@z", "qmzrtwxuip", "xK9#vQ2!pL7@zR4")) >= 10
 
 
 @pytest.mark.parametrize(("weak", "strong"), [("password1", "xK9#vQ2!pL"), ("qwertyuiop", "qmzrtwxuip"), ("aaaaaaaaaaaaaaaa", "aXbQcZdWeVfUgThS"), ("2019-05-17", "20a9c05b17"), ("abcabcabcabc", "abzqbcxkabwj")])
 def test_guess_cost(weak, strong):
-    assert secret_scan.guess_cost(weak) < secret_scan.guess_cost(strong)
-    assert secret_scan.guess_cost(weak * 100) < 10 * len(weak) * 100
+    assert secret_scan.guess_cost(weak, WORDS) < secret_scan.guess_cost(strong, WORDS)
+    assert secret_scan.guess_cost(weak * 100, WORDS) < 10 * len(weak) * 100

@@ -64,6 +64,26 @@ def unique_matches(pairs: DataFrame, row: str) -> DataFrame:
     return pairs.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def sole_later_match(rows: DataFrame, equal: list[str], either: list[str], row: str, other: str) -> DataFrame:
+    """(row, other): rows with one later row (a greater ``row``, which is unique) that agrees on ``equal`` and on at least one of ``either``.
+
+    No pairs are formed, so a large group costs no more than its rows: a row
+    with one match is among the last two of each of its groups, and these are
+    cut before they are shuffled.  Such a row qualifies if all the groups that
+    offer it a partner offer the same one.  Nulls agree with nothing.
+    """
+    known = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in equal))
+    groups = sum((F.col(c).isNotNull().cast("int") for c in either), F.lit(0))
+    met = None
+    for column in either:
+        order = W.partitionBy(*equal, column).orderBy(F.desc(row))
+        last = known.where(F.col(column).isNotNull()).select(*equal, column, row, groups.alias("_groups"), F.row_number().over(order).alias("_n")).where("_n <= 2")
+        offers = last.select(row, "_groups", F.lag(row).over(order).alias("_other"))
+        met = offers if met is None else met.unionByName(offers)
+    seen = met.groupBy(row).agg(F.count(F.lit(1)).alias("_n"), F.max("_groups").alias("_groups"), F.min("_other").alias(other), F.max("_other").alias("_high"))
+    return seen.where(f"_n = _groups AND {other} = _high").select(row, other)
+
+
 def percentile_of(values: DataFrame, steps: DataFrame, on: list[str], value: str, limit: str, percentile: str, lower_is_better: bool = False, default: float = 100.0) -> DataFrame:
     """The first step whose limit reaches the value; ``default`` beyond the last.
 
@@ -86,6 +106,23 @@ def inside_intervals(points: DataFrame, intervals: DataFrame, on: list[str], at:
     return points.withColumn("_cell", F.floor(F.col(at) / cell)).join(cells, [*on, "_cell"]).where((F.col(at) > F.col(lo)) & (F.col(at) < F.col(hi))).drop("_cell")
 
 
+def since_last_start(rows: DataFrame, on: list[str], at: str, starts: Column, opened: str, cell: int = 65_536) -> DataFrame:
+    """Rows strictly inside the intervals that the ``starts`` of their key open, each until the next one; ``opened`` is where theirs began.
+
+    Such intervals never overlap, so no pairs are needed: the latest start is
+    carried along within cells of ``cell`` units, and each cell gets the last
+    start of the cells before it.  A key with very many rows is thus many
+    groups.  Nulls in ``on`` or ``at`` are in no interval.
+    """
+    begin = F.when(starts, F.col(at))
+    cut = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in [*on, at])).withColumn("_cell", F.floor(F.col(at) / cell))
+    before = W.partitionBy(*on).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = cut.groupBy(*on, "_cell").agg(F.max(begin).alias("_last")).select(*on, "_cell", F.max("_last").over(before).alias("_before"))
+    own = F.max(begin).over(W.partitionBy(*on, "_cell").orderBy(at))
+    out = cut.withColumn("_own", own).join(cells, [*on, "_cell"]).withColumn(opened, F.coalesce("_own", "_before"))
+    return out.where(F.col(at) > F.col(opened)).drop("_cell", "_own", "_before")
+
+
 def nearest(left: DataFrame, right: DataFrame, on: list[str], distance: Column, row: str, value: str, tie: str) -> DataFrame:
     """For each row, the value of the right row that is nearest; ties to the least ``tie``."""
     met = left.join(right, on)

@@ -58,10 +58,9 @@ def semi_required(spark, sf):
 WITH c AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON CAST(a.o_orderdate AS DATE) = CAST(b.o_orderdate AS DATE) AND (a.o_custkey = b.o_custkey OR a.o_orderpriority = b.o_orderpriority) AND a.o_orderkey < b.o_orderkey),
 n AS (SELECT x, y, COUNT(*) OVER (PARTITION BY x) AS m FROM c) SELECT x, y FROM n WHERE m = 1""")
 def theta_match_unique(spark, sf):
-    """Same day, and same customer or same priority; rows with one match."""
+    """Same day, and same customer or same priority; rows with one later match."""
     o = table(spark, sf, "orders").select(day("o_orderdate").alias("d"), "o_custkey", "o_orderpriority", F.col("o_orderkey").alias("x"))
-    pairs = matching.theta_matches(o, o.withColumnRenamed("x", "y"), ["d"], ["o_custkey", "o_orderpriority"], "x", "y", F.col("x") < F.col("y"))
-    return matching.unique_matches(pairs, "x")
+    return matching.sole_later_match(o, ["d"], ["o_custkey", "o_orderpriority"], "x", "y")
 
 
 @registry.add("""
@@ -83,15 +82,8 @@ WITH b AS (SELECT user_id, event_id AS a, COALESCE(lead(event_id) OVER (PARTITIO
 SELECT e.event_id, b.a AS opened FROM events e JOIN b ON e.user_id = b.user_id AND e.event_id > b.a AND e.event_id < b.z""")
 def interval_containment(spark, sf):
     """Rows strictly between the start and the end of their interval."""
-    from pyspark.sql import Window as W
-
-    rows = table(spark, sf, "events")
-    last = rows.agg(F.max("event_id")).first()[0] or 0
-    starts = rows.where("event_type = 'signup'")
-    end = F.coalesce(F.lead("event_id").over(W.partitionBy("user_id").orderBy("event_id")), F.lit(last + 1))
-    intervals = starts.select("user_id", F.col("event_id").alias("opened"), end.alias("z"))
-    met = matching.inside_intervals(rows.select("user_id", "event_id"), intervals, ["user_id"], "event_id", "opened", "z", max(1000, last // 64))
-    return met.select("event_id", "opened")
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return matching.since_last_start(rows, ["user_id"], "event_id", F.col("event_type") == "signup", "opened").select("event_id", "opened")
 
 
 @registry.add("""

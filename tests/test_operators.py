@@ -89,3 +89,46 @@ def test_ties_count_as_losses(spark):
 
 def test_printed_ratio(spark):
     assert spark.range(1).select(half_even(F.lit(2.675), 2)).first()[0] == round(2.675, 2)
+
+
+def test_sole_later_match(spark):
+    import random
+
+    pick = random.Random(5)
+    rows = [(x, pick.choice([1, 2, 3, 4, None]), pick.choice("abcdef"), pick.choice([None, *"uvwxyz"])) for x in range(150)]
+    rows += [(1000 + x, 9, f"c{x}", "hot") for x in range(200)]
+    met = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and (a[2] == b[2] or a[3] is not None and a[3] == b[3])]
+    want = sorted(p for p in met if sum(q[0] == p[0] for q in met) == 1)
+    df = spark.createDataFrame(rows, "x int, d int, c string, p string")
+    assert sorted(tuple(r) for r in matching.sole_later_match(df, ["d"], ["c", "p"], "x", "y").collect()) == want
+    pairs = matching.theta_matches(df, df.withColumnRenamed("x", "y"), ["d"], ["c", "p"], "x", "y", F.col("x") < F.col("y"))
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(met)
+    assert sorted(tuple(r) for r in matching.unique_matches(pairs, "x").collect()) == want
+    assert matching.sole_later_match(df.limit(0), ["d"], ["c", "p"], "x", "y").count() == 0
+
+
+def test_last_rows_are_cut_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, "a", "u")], "x int, d int, c string, p string")
+    plan = matching.sole_later_match(df, ["d"], ["c", "p"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Partial") >= 2 and "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_since_last_start(spark):
+    import random
+
+    pick = random.Random(6)
+    rows = [(pick.choice(["a", "b", None]), pick.choice([None, *range(60)]), pick.random() < 0.15) for _ in range(300)] + [("c", 5, False), ("d", 7, True), ("d", 900, False)]
+    want = []
+    for k, t, _ in rows:
+        begun = [b for j, b, s in rows if s and j is not None and j == k and b is not None and t is not None and b <= t]
+        if begun and max(begun) < t:
+            want.append((k, t, max(begun)))
+    df = spark.createDataFrame(rows, "k string, t int, s boolean")
+    for cell in (1, 7, 65_536):
+        got = matching.since_last_start(df, ["k"], "t", F.col("s"), "opened", cell).select("k", "t", "opened")
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    points, spans = df.where("k IS NOT NULL"), spark.createDataFrame([("a", 3, 20), ("a", 10, 40), ("b", 0, 59)], "k string, lo int, hi int")
+    inside = sorted((k, t, lo) for k, t, _ in rows for j, lo, hi in [("a", 3, 20), ("a", 10, 40), ("b", 0, 59)] if k == j and t is not None and lo < t < hi)
+    met = matching.inside_intervals(points, spans, ["k"], "t", "lo", "hi", 8)
+    assert sorted(tuple(r) for r in met.select("k", "t", "lo").collect()) == inside

@@ -12,7 +12,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,11 +119,6 @@ class BoundedCache(dict):
             self.clear()
 
 
-def word_hashes() -> BoundedCache:
-    """64-bit hashes of words (bytes)."""
-    return BoundedCache(xxhash.xxh3_64_intdigest)
-
-
 _releases: list[Callable[[], None]] = []
 _operator = [""]
 

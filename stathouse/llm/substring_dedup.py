@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import int_lists, mix64, rolling, task_of, text_slices, word_hashes
+from .common import flat_slices, int_lists, mix64, rolling, task_of, text_slices, word_reader
 
 _LAST = (1 << 63) - 1
 
@@ -52,19 +52,16 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of the windows of a list of texts, end to end."""
+    """Hashes of the windows of some texts, end to end."""
 
     def __init__(self, k: int):
-        self.k, self.words = k, word_hashes()
+        self.k, self.words = k, word_reader()
 
-    def read(self, texts: list[bytes | None], hashes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    def read(self, data: np.ndarray, offsets: np.ndarray, hashes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         """For each window: number of its text, place of its first word, anchor, hash (if asked for)."""
-        split = [(t or b"").split() for t in texts]
-        counts = np.asarray([len(w) for w in split], np.int64)
-        h = np.fromiter((self.words[w] for ws in split for w in ws), np.uint64, int(counts.sum()))
-        self.words.trim()
+        h, counts = self.words.read(data, offsets)
         starts = np.cumsum(counts) - counts
-        text = np.repeat(np.arange(len(texts)), counts)
+        text = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(h)) - starts[text]
         half = self.k // 2
         n = max(0, len(h) - self.k + 1)
@@ -77,6 +74,13 @@ class Windows:
         return text[inside], place[inside], anchor.view(np.int64), full
 
 
+def _changes(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Where a pair differs from the one before."""
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+    return new
+
+
 def _anchors(docs: DataFrame, k: int) -> DataFrame:
     """anchor, _id: each anchor of a document once."""
 
@@ -84,13 +88,15 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(k)
         for batch in batches:
-            for lo, texts in text_slices(batch.column("text")):
-                text, _, anchor, _ = windows.read(texts, False)
-                new = np.ones(len(text), bool)  # runs first, then the rest: runs hold most repeats
-                new[1:] = (np.diff(text) != 0) | (np.diff(anchor) != 0)
-                pairs = np.unique(np.stack([text[new], anchor[new]]), axis=1)
-                ids = batch.column("_id").slice(lo, len(texts)).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(ids[pairs[0]])], names=["anchor", "_id"])
+            for lo, data, offsets in flat_slices(batch.column("text")):
+                text, _, anchor, _ = windows.read(data, offsets, False)
+                new = _changes(text, anchor)  # runs first, then the rest: runs hold most repeats
+                text, anchor = text[new], anchor[new]
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                new = _changes(text, anchor)
+                ids = batch.column("_id").slice(lo, len(offsets) - 1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(ids[text[new]])], names=["anchor", "_id"])
 
     return docs.mapInArrow(run, "anchor long, _id long")
 
@@ -113,12 +119,12 @@ def _candidates(docs: DataFrame, k: int, sketch, log_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, bits = Windows(k), sketch.value
         for batch in batches:
-            for lo, texts in text_slices(batch.column("text")):
-                text, place, anchor, full = windows.read(texts, True)
+            for lo, data, offsets in flat_slices(batch.column("text")):
+                text, place, anchor, full = windows.read(data, offsets, True)
                 bit = anchor.view(np.uint64) >> np.uint64(64 - log_bits)
                 hit = ((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)).astype(np.int64)) & 1).astype(bool)
-                ids = batch.column("_id").slice(lo, len(texts)).to_numpy(zero_copy_only=False)
-                tags = batch.column("_tag").slice(lo, len(texts)).to_numpy(zero_copy_only=False)
+                ids = batch.column("_id").slice(lo, len(offsets) - 1).to_numpy(zero_copy_only=False)
+                tags = batch.column("_tag").slice(lo, len(offsets) - 1).to_numpy(zero_copy_only=False)
                 own = text[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(full[hit]), pa.array(ids[own]), pa.array((place[hit] << 30) | tags[own])], names=["hash", "_id", "at"])
 

@@ -75,6 +75,25 @@ def test_missing_numbers(spark):
     assert sorted(tuple(r) for r in sets.missing_numbers(df, ["k"], "n").collect()) == [("a", 2), ("a", 3)]
 
 
+def test_missing_numbers_by_blocks(spark):
+    rows = [("a", n) for n in (-5000, -4097, -4096, -1, 0, 4095, 4096, 4096, 9000, None)] + [(None, 4094), (None, 4097), ("b", 2**62), ("b", 2**62 + 3), ("c", None), ("d", -(2**63)), ("d", 2 - 2**63)]
+    rows += [("e", 2**63 - 1), ("e", 2**63 - 3), ("e", 2**63 - 3)]
+    want = [("a", n) for n in range(-5000, 9000) if ("a", n) not in rows] + [("b", 2**62 + 1), ("b", 2**62 + 2), ("d", 1 - 2**63), ("e", 2**63 - 2)]
+    want += [(None, n) for n in range(4094, 4098)]  # a null equals no key, in SQL as well
+    for kind in ("long", "int"):
+        some = [r for r in rows if kind == "long" or r[1] is None or abs(r[1]) < 2**31]
+        out = sets.missing_numbers(spark.createDataFrame(some, f"k string, n {kind}"), ["k"], "n")
+        assert dict(out.dtypes)["n"] == {"long": "bigint", "int": "int"}[kind]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted((r for r in want if kind == "long" or abs(r[1]) < 2**31), key=str)
+
+
+def test_missing_numbers_of_one_group_are_found_by_many_tasks(spark):
+    out = sets.missing_numbers(spark.createDataFrame([("a", 0), ("a", 200_000)], "k string, n long"), ["k"], "n")
+    found = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in found) == 199_999
+    assert len(found) > 1 and max(r["count"] for r in found) < 150_000
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, s string, n int")
     new = spark.createDataFrame([(2, None, 9), (3, "c", 1)], "id int, s string, n int")

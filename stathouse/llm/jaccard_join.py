@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, flat_slices, materialize, mix64, parts_for, rolling, task_of, word_reader
+from .common import BROADCAST_ROWS, Scratch, flat_slices, map_batches, materialize, mix64, parts_for, rolling, task_of, word_reader
 
 _LAST = (1 << 63) - 1
 #: Bands grow by this factor.
@@ -216,7 +216,7 @@ def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 columns = [batch.column("_id").slice(lo, len(size)), batch.column("_same").slice(lo, len(size)), pa.array(size), pa.array(fingerprints(flat, size)), pa.array(own), pa.array(later), pa.array(parity, pa.int32()), pa.array(short)]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "_same", "n", "fp", "own", "next", "parity", "short"])
 
-    return docs.mapInArrow(run, "_id long, _same long, n long, fp long, own long, next long, parity int, short boolean")
+    return map_batches(docs, run, "_id long, _same long, n long, fp long, own long, next long, parity int, short boolean")
 
 
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sig, row = plan.signatures(flat[np.repeat(keep, size)], np.where(keep, size, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(fp[row])], names=["sig", "fp"])
 
-    return docs.select("text").mapInArrow(run, "sig long, fp long")
+    return map_batches(docs.select("text"), run, "sig long, fp long")
 
 
 def _groups(signatures: DataFrame, parts: int) -> DataFrame:
@@ -291,7 +291,7 @@ def _groups(signatures: DataFrame, parts: int) -> DataFrame:
         if len(held[0]):
             yield shared(*held)
 
-    return signatures.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, fp long, freq long")
+    return map_batches(signatures.repartition(parts, "sig").sortWithinPartitions("sig"), run, "sig long, fp long, freq long")
 
 
 def _kept(groups: DataFrame, classes: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     few = wanted.count() <= BROADCAST_ROWS  # then texts needn't be shuffled
     chosen = docs.join(F.broadcast(wanted) if few else wanted, "_id").select("text", "fp")
-    return chosen.mapInArrow(run, "fp long, n long, parity array<long>, s array<long>")
+    return map_batches(chosen, run, "fp long, n long, parity array<long>, s array<long>")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,7 +354,7 @@ def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if near.count() <= BROADCAST_ROWS:  # then only the sets of these pairs are shuffled
         x, near = x.join(F.broadcast(near.select("a").distinct()), "a"), F.broadcast(near)
     both = y.join(near, "b").join(x, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def _is_forest(edges: DataFrame) -> bool:
@@ -431,7 +431,7 @@ def _others(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, pa
             yield compare(*(held[c] for c in ("item", "block", "fp", "root", "n", "parity")), held["lo"] == held["hi"])
 
     dealt = rows.repartition(parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt, run, "a long, b long").distinct()
 
 
 def _lacking(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:

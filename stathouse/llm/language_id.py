@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, join_small, task_of, text_slices
+from .common import give_back, join_small, map_batches, task_of, text_slices
 from .linear import fit_logistic
 
 UNKNOWN = "und"
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, per_language: int = 700, size: int = 2048, bits: int =
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, len(texts)), batch.column("doc_id").slice(lo, len(texts)), pa.array([r.tobytes() for r in x], pa.binary()), good], names=["lang", "doc_id", "x", "good"])
 
     chosen = labelled.join(F.broadcast(ids.drop("_n")), ["lang", "doc_id"]).select("lang", "doc_id", "text")
-    sample = chosen.mapInArrow(measure, f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, x binary, good boolean").where("good").groupBy("lang", "doc_id").agg(F.min("x").alias("x")).toArrow()
+    sample = map_batches(chosen, measure, f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, x binary, good boolean").where("good").groupBy("lang", "doc_id").agg(F.min("x").alias("x")).toArrow()
     sample = sample.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
     langs = sample.column("lang").to_pylist()
     names = sorted(set(langs))
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
                 names, score, close = model.predict(texts, lead)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def accepted(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
@@ -171,4 +171,4 @@ def accepted(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
                 names, _, _ = model.predict(texts, lead)
                 yield batch.slice(lo, len(texts)).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

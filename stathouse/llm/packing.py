@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import task_of, text_slices
+from .common import map_batches, task_of, text_slices
 from .tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -201,4 +201,4 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
         if rows:
             yield batch_of(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, SCHEMA)

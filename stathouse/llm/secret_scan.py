@@ -10,8 +10,8 @@ cheapest way to guess a value as a sequence of spans: words (with capitals
 and look-alike letters), dates, repeats, keyboard walks, and brute force for
 the rest.  Words cost their rank: some common words of passwords first, then
 the whole words of public vocabularies, whose files are a parameter and are
-read where the texts are.  A value that costs at least ``min_guesses`` and
-isn't inside a base span is added as kind ``guess``.
+read once, by the driver; the workers get the words.  A value that costs at
+least ``min_guesses`` and isn't inside a base span is added as kind ``guess``.
 
 Positions are code points of the whole text, end exclusive.  Null text is
 empty text: no spans.  A value of any length costs time in proportion to
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import task_of, text_slices, when_done
+from .common import give_back, map_batches, task_of, text_slices, when_done
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -114,11 +114,24 @@ def words_of(groups: Vocabularies) -> Words:
         for word, i in _whole_words(first).items():
             if all(word in r for r in rest):
                 place[word] = min(i, place.get(word, i))
-    every = dict.fromkeys([*COMMON_WORDS, *sorted(place, key=lambda w: (place[w], w))])
+    return ranked("\n".join(dict.fromkeys([*COMMON_WORDS, *sorted(place, key=lambda w: (place[w], w))])))
+
+
+@lru_cache(maxsize=2)
+def ranked(lines: str) -> Words:
+    """The words of these lines, the first of rank 1: what a Python worker makes of the driver's list, without the files."""
+    every = lines.split("\n")
     return Words({w: i + 1 for i, w in enumerate(every)}, max(map(len, every)))
 
 
-when_done(words_of.cache_clear)
+when_done(ranked.cache_clear)
+
+
+def _lines_of(groups: Vocabularies) -> str:
+    """What ``ranked`` reads; the files' memory is given back."""
+    lines = "\n".join(words_of(groups).rank)
+    give_back()
+    return lines
 
 
 def _class_size(c: str) -> int:
@@ -212,41 +225,45 @@ def scan(text: bytes | None, min_guesses: float, words: Words) -> tuple[list, li
 
 def secret_spans(docs: DataFrame, groups: Vocabularies, min_guesses: float = 10.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row of ``docs`` (doc_id, text); ``groups`` as of ``vocabularies``."""
+    lines = _lines_of(groups)
 
     @task_of("secret_scan")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ranked(lines)
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
-                both = [scan(t, min_guesses, words_of(groups)) for t in texts]
+                both = [scan(t, min_guesses, words) for t in texts]
                 counts = [pa.array([sum(k == kind for _, k, _ in every) for _, every in both], pa.int64()) for kind in range(4)]
                 sums = [hashlib.sha256(_named(base).encode()).hexdigest() for base, _ in both]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), *counts[:3], pa.array(sums, pa.string()), pa.array([_named(every) for _, every in both], pa.string()), counts[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def redact(docs: DataFrame, groups: Vocabularies, mark: str = "[SECRET]", min_guesses: float = 10.0) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark`` (overlapping spans by one mark), and n_chars made to fit; all rows stay."""
+    lines = _lines_of(groups)
 
-    def clean(text: bytes | None) -> str | None:
-        _, spans = scan(text, min_guesses, words_of(groups))
+    def clean(text: bytes | None, words: Words) -> str | None:
+        _, spans = scan(text, min_guesses, words)
         if text is None or not spans:
             return None if text is None else text.decode("utf-8", "replace")
-        words, out, at = text.decode("utf-8", "replace"), [], 0
+        whole, out, at = text.decode("utf-8", "replace"), [], 0
         for lo, _, hi in spans:
             if lo >= at:
-                out += [words[at:lo], mark]
+                out += [whole[at:lo], mark]
             at = max(at, hi)
-        return "".join([*out, words[at:]])
+        return "".join([*out, whole[at:]])
 
     @task_of("secret_scan")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ranked(lines)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for lo, texts in text_slices(batch.column("text")):
                 piece = batch.slice(lo, len(texts))
-                yield piece.set_column(at, "text", pa.array([clean(t) for t in texts], pa.string()))
+                yield piece.set_column(at, "text", pa.array([clean(t, words) for t in texts], pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_batches(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

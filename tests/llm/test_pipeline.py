@@ -4,9 +4,12 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from test_copies import brute
 
-from stathouse.llm import language_id, mixing, secret_scan
+from stathouse.llm import common, language_id, mixing, secret_scan
 
 
 def test_stages(spark, data, docs):
@@ -55,3 +58,40 @@ def test_run_is_all_stages(spark, data):
         assert held.get(r["sequence_id"], 0) == r["offset"]
         held[r["sequence_id"]] = r["offset"] + r["length"]
     assert rows and all(n == 1024 or n & (n - 1) == 0 for n in held.values())
+
+
+@pytest.mark.parametrize("name", ["language_id", "jaccard_join", "secret_scan", "packing"])
+def test_batches_are_bounded_by_bytes(spark, data, name):
+    """Once a stage is planned, no worker of the session gets more than some BATCH_BYTES at once (or one row), nor fewer rows in all."""
+    rows = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), "id"), F.when(F.col("id") == 7, 2_000_000).otherwise(500)).alias("text"))
+    rows = rows.select("*", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.length("text").cast("long").alias("n_chars"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    spark.conf.unset(common._BATCH_BYTES)
+    dict(corpus_pipeline.STAGES)[name](spark, rows.limit(3), data)
+    found = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 4000
+    small = [r["size"] for r in found if r["size"] < 10_000_000]
+    assert len(found) - len(small) == 1 and max(small) < 2 * common.BATCH_BYTES
+
+
+def test_own_bound_of_a_session_stays(spark, none):
+    spark.conf.set(common._BATCH_BYTES, 1 << 16)
+    try:
+        secret_scan.redact(none, ())
+        assert spark.conf.get(common._BATCH_BYTES) == str(1 << 16)
+    finally:
+        spark.conf.unset(common._BATCH_BYTES)
+
+
+def test_memory_of_another_operator_goes_back_first(monkeypatch):
+    """What it left is given back to the system before the next operator takes memory of its own, not when its first task ends."""
+    done = []
+    monkeypatch.setattr(common, "_operator", ["another"])
+    monkeypatch.setattr(common, "_releases", [lambda: done.append("freed")])
+    monkeypatch.setattr(common, "give_back", lambda: done.append("given back"))
+    list(common.task_of("this")(lambda batches: (done.append("run") or b for b in batches))(iter([1])))
+    assert done == ["freed", "given back", "run", "given back"]

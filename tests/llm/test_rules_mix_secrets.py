@@ -209,6 +209,18 @@ def test_words_of_vocabularies(tmp_path):
     assert len(WORDS.rank) > 20_000
 
 
+def test_workers_read_no_vocabulary(spark, tmp_path):
+    """The driver reads the files when the plan is made; a worker that parsed them would hold tens of MB more."""
+    text = "pwd = lemonapple and pwd = xK9#vQ2!pL7@z"
+    (tmp_path / "a.tiktoken").write_text("\n".join(f"{base64.b64encode(w.encode()).decode()} {i}" for i, w in enumerate([" lemon", " apple"])))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    groups = ((str(tmp_path / "a.tiktoken"),),)
+    plans = secret_scan.redact(df, groups), secret_scan.secret_spans(df, groups)
+    (tmp_path / "a.tiktoken").unlink()
+    assert plans[0].first()["text"] == "pwd = lemonapple and pwd = [SECRET]"
+    assert plans[1].first()["n_guess"] == 1
+
+
 def test_redaction(spark, edge):
     df = spark.createDataFrame([(1, "a token = abcdef123 b", 5), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secret_scan.redact(df, GROUPS).collect()] == [(1, "a [SECRET] b", 12), (2, None, None), (3, "plain", 5)]

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, parts_for, shared_dir, task_of, text_slices
+from .common import flat_slices, join_small, materialize, parts_for, shared_dir, task_of
 from .tokens import encoder
 
 SCHEMA = "doc_id long, shard int, token_offset long, ids array<int>"
 END_ID = 1
+#: Bytes of texts that are encoded at once: each distinct piece among them is looked up once.
+SLICE_BYTES = 4 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, stripe_bytes: int = 16 << 20, row_stride: int = 1000) -> None:
@@ -39,15 +41,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         shard, offset, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            ids_of, first = batch.column("doc_id"), batch.column("text")
-            for lo, texts in text_slices(first):
-                out = [enc.encode(t or b"") + end for t in texts]
-                counts = np.asarray([len(x) // 4 for x in out], np.int64)
-                starts = offset + np.cumsum(counts) - counts
-                offset += int(counts.sum())
-                values = np.frombuffer(b"".join(out), "<u4").astype(np.int32)
-                bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids_of.slice(lo, len(texts)), pa.array(np.full(len(texts), shard, np.int32)), pa.array(starts), pa.ListArray.from_arrays(bounds, pa.array(values))], names=["doc_id", "shard", "token_offset", "ids"])
+            ids_of = batch.column("doc_id")
+            for lo, data, at in flat_slices(batch.column("text"), SLICE_BYTES):
+                values, bounds = enc.encode_all(data, at, end)
+                n, starts = len(at) - 1, offset + bounds[:-1]
+                offset += len(values)
+                yield pa.RecordBatch.from_arrays([ids_of.slice(lo, n), pa.array(np.full(n, shard, np.int32)), pa.array(starts), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))], names=["doc_id", "shard", "token_offset", "ids"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     (

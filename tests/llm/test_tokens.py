@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from stathouse.llm import packing, queries, token_store
-from stathouse.llm.tokens import encoder
+from stathouse.llm.tokens import WordEncoder, encoder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,36 @@ def test_pieces_give_the_ids_of_the_whole(path, spaced):
     same()
 
 
+def test_capitals_and_marks_are_no_new_words():
+    """What costs most is merging: once for each piece, whatever capitals, marks or texts it comes in."""
+    want, mine, merged = library(WORDS), WordEncoder(WORDS), []
+    merge = mine.tokenize
+    mine.tokenize = lambda piece: merged.append(piece) or merge(piece)
+    for text in ("Zorkel zorkel, ZORKEL", "ZORKEL! zorkeL", "zorkel's (Zorkel)"):
+        assert np.frombuffer(mine.encode(text.encode()), "<u4").tolist() == want(text)
+    assert sorted(merged) == ["!", "'s", "(", ")", ",", "zorkel"]
+
+
+@pytest.mark.parametrize("text", ["Ɓ", "ƁA Ɔ Ɗaɗi ƎƏ", "İx KELVIN Å W\u030a É'S ½ x² «'s» ¿'T'll'LLama'd're'rest'v", "ǅ Ȿ Ⱥ ȶ ȷ"])
+def test_letters_whose_lower_case_is_elsewhere(text):
+    assert np.frombuffer(encoder(WORDS).encode(text.encode()), "<u4").tolist() == library(WORDS)(text)
+
+
+def test_texts_of_a_slice_stay_apart():
+    want, mine = library(WORDS), WordEncoder(WORDS)
+    piece = st.sampled_from(["it's", "'", "'LL", "s", "\n", " ", "Éa", "日本", "²", "7", "!?", "<|endoftext|>", "\x85", "W\u030a", "Ɓ", "é", "x" * 70, "·"])
+    raw = st.sampled_from([b"\xc3", b"\xa9", b"\xc3\xa9", b"'", b"ll", b""])
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.one_of(st.lists(piece, max_size=9).map(lambda x: "".join(x).encode()), st.binary(max_size=9), raw), min_size=1, max_size=6), st.sampled_from([4, 1 << 20]))
+    def same(texts, chunk):
+        mine.CHUNK = chunk  # a text alone is cut beyond it
+        values, bounds = mine.encode_all(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array([1], "<u4").tobytes())
+        assert [values[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [[*want(t.decode("utf-8", "replace")), 1] for t in texts]
+
+    same()
+
+
 def check_store(rows, texts):
     ids, start = library(WORDS), 0
     got = {r["doc_id"]: r for r in rows}

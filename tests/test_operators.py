@@ -94,6 +94,22 @@ def test_missing_numbers_of_one_group_are_found_by_many_tasks(spark):
     assert len(found) > 1 and max(r["count"] for r in found) < 150_000
 
 
+def test_missing_numbers_take_few_bytes_where_they_are_written(spark, tmp_path):
+    rows = [(k, n) for k in range(120) for n in (k, 300 + 41 * k, 12_000 + k)]
+    spark.createDataFrame(rows, "k long, n long").transform(sets.missing_numbers, ["k"], "n").write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.distinct().count() == 120 * 11_998
+    assert out.join(spark.createDataFrame(rows, "k long, n long"), ["k", "n"]).count() == out.where("n < k OR n > 12000 + k").count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 120 * 11_998  # 4 bytes a row, if each number is written out
+
+
+def test_missing_numbers_of_long_ranges_are_dealt_to_more_tasks(spark):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(k, n) for k in range(128) for n in (0, (few + 3) << 16)]
+    assert sets.missing_numbers(spark.createDataFrame(rows, "k long, n long"), ["k"], "n").rdd.getNumPartitions() == few + 4
+    assert sets.missing_numbers(spark.createDataFrame(rows[:2], "k long, n long"), ["k"], "n").rdd.getNumPartitions() <= few
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, s string, n int")
     new = spark.createDataFrame([(2, None, 9), (3, "c", 1)], "id int, s string, n int")

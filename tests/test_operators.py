@@ -110,6 +110,12 @@ def test_missing_numbers_of_long_ranges_are_dealt_to_more_tasks(spark):
     assert sets.missing_numbers(spark.createDataFrame(rows[:2], "k long, n long"), ["k"], "n").rdd.getNumPartitions() <= few
 
 
+def test_missing_numbers_of_any_names_and_of_no_rows(spark):
+    df = spark.createDataFrame([("x", 1, 1), ("x", 1, 700), ("x", 2, 5), (None, 1, 9)], "a string, b int, n long")
+    assert {tuple(r) for r in sets.missing_numbers(df, ["a", "b"], "n").collect()} == {("x", 1, n) for n in range(2, 700)} | {(None, 1, 9)}
+    assert sets.missing_numbers(df.limit(0), ["a", "b"], "n").count() == 0
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, s string, n int")
     new = spark.createDataFrame([(2, None, 9), (3, "c", 1)], "id int, s string, n int")
